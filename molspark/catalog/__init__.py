@@ -1,3 +1,3 @@
 """All registered queries."""
 
-from molspark.catalog import base, tokens  # noqa: F401
+from molspark.catalog import base, metrics, scans, selection, splits, tokens  # noqa: F401

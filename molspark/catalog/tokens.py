@@ -263,7 +263,7 @@ _DEPTH = """list_reduce(list_concat([0], list_transform(regexp_extract_all({0},
  lambda d, c: CASE WHEN d < 0 THEN d ELSE d + c END) = 0"""
 
 
-def _checks(c: str) -> str:
+def checks_sql(c: str) -> str:
     bare = f"regexp_replace({c}, '\\[[^\\[\\]]*\\]', '', 'g')"
     labels = f"regexp_extract_all({bare}, '(%[0-9]{{2}}|[0-9])', 1)"
     return f"""({c} <> '' AND regexp_replace({c}, '{tk.STRICT_TOKEN_PATTERN}', '', 'g') = '') AS covered,
@@ -271,19 +271,19 @@ def _checks(c: str) -> str:
  len(list_filter(list_distinct({labels}), lambda q: len(list_filter({labels}, lambda z: z = q)) % 2 = 1)) = 0 AS rings"""
 
 
-@query("flt1_validity", f"""WITH {MOLECULES_SQL}, c AS (SELECT mol_id, {_checks('smiles')} FROM molecules)
+@query("flt1_validity", f"""WITH {MOLECULES_SQL}, c AS (SELECT mol_id, {checks_sql('smiles')} FROM molecules)
 SELECT *, covered AND parens AND brackets AND rings AS valid FROM c""")
 def _(spark, sf):
     return _validity(molecules(spark, sf), "mol_id", "smiles")
 
 
-@query("flt1_validity_text", f"""WITH c AS (SELECT doc_id, {_checks('text')} FROM documents)
+@query("flt1_validity_text", f"""WITH c AS (SELECT doc_id, {checks_sql('text')} FROM documents)
 SELECT *, covered AND parens AND brackets AND rings AS valid FROM c""")
 def _(spark, sf):
     return _validity(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("flt1_validity_pages", f"""WITH c AS (SELECT page_id, {_checks('html')} FROM pages)
+@query("flt1_validity_pages", f"""WITH c AS (SELECT page_id, {checks_sql('html')} FROM pages)
 SELECT *, covered AND parens AND brackets AND rings AS valid FROM c""")
 def _(spark, sf):
     return _validity(table(spark, sf, "pages"), "page_id", "html")

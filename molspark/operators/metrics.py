@@ -20,7 +20,7 @@ def drop_unpredicted(df: DataFrame, columns: Sequence[str] = ("mean", "sigma"))
 
 
 def regression_metrics(
-    df: DataFrame, keys: Sequence[str], true: str = "true", pred: str = "mean", sigma: str | None = None
+    df: DataFrame, keys: Sequence[str], true: str = "target", pred: str = "mean", sigma: str | None = None
 ) -> DataFrame:
     """RMSE, MAE and R2 per key in one pass, with their propagated errors."""
     d = F.col(true) - F.col(pred)
@@ -47,7 +47,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, 0.0).otherwise(top / bottom)
 
 
-def confusion_counts(df: DataFrame, keys: Sequence[str], true: str = "true", pred: str = "pred") -> DataFrame:
+def confusion_counts(df: DataFrame, keys: Sequence[str], true: str = "target", pred: str = "pred") -> DataFrame:
     hit, cls = F.col(true) == 1, binary_class(F.col(pred)) == 1
     return df.groupBy(*keys).agg(
         F.count_if(hit & cls).alias("tp"),
@@ -57,7 +57,7 @@ def confusion_counts(df: DataFrame, keys: Sequence[str], true: str = "true", pre
     )
 
 
-def classification_metrics(df: DataFrame, keys: Sequence[str], true: str = "true", pred: str = "pred") -> DataFrame:
+def classification_metrics(df: DataFrame, keys: Sequence[str], true: str = "target", pred: str = "pred") -> DataFrame:
     """Accuracy, precision, recall and F1 at 0.5; zero where undefined."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return confusion_counts(df, keys, true, pred).select(
@@ -69,14 +69,14 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], true: str = "true
     )
 
 
-def confusion_matrix(df: DataFrame, keys: Sequence[str] = (), true: str = "true", pred: str = "pred") -> DataFrame:
+def confusion_matrix(df: DataFrame, keys: Sequence[str] = (), true: str = "target", pred: str = "pred") -> DataFrame:
     """Rows observed class, columns ``pred_0`` and ``pred_1``."""
     cls = df.withColumn("_p", binary_class(F.col(pred)))
     wide = cls.groupBy(*keys, true).pivot("_p", [0, 1]).agg(F.count(F.lit(1)))
     return wide.na.fill(0, ["0", "1"]).withColumnsRenamed({"0": "pred_0", "1": "pred_1"})
 
 
-def pr_curve(df: DataFrame, keys: Sequence[str], true: str = "true", pred: str = "pred") -> DataFrame:
+def pr_curve(df: DataFrame, keys: Sequence[str], true: str = "target", pred: str = "pred") -> DataFrame:
     """One point per distinct score: ``threshold, precision, recall, f1``.
 
     Equal scores collapse before the running totals, which are taken over range
@@ -126,7 +126,7 @@ def best_threshold(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     return curve.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.threshold", "_b.f1")
 
 
-def positive_share(df: DataFrame, keys: Sequence[str], true: str = "true") -> DataFrame:
+def positive_share(df: DataFrame, keys: Sequence[str], true: str = "target") -> DataFrame:
     """Precision of a random classifier."""
     return df.groupBy(*keys).agg(F.avg(F.col(true).cast("double")).alias("random_precision"))
 
@@ -144,7 +144,7 @@ def classification_sigma(
     keys: Sequence[str],
     n_mc: int = 1000,
     seed: int = 7,
-    true: str = "true",
+    true: str = "target",
     pred: str = "pred",
     sigma: str = "sigma",
 ) -> DataFrame:

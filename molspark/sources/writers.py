@@ -30,7 +30,10 @@ def saved_scaler(spark: SparkSession, path: str, build: Callable[[], DataFrame])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True)
+    """CSV with a header; blanks around strings are kept."""
+    df.write.csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def dump_iteration(selected: DataFrame, labeled: DataFrame, folder: str, iteration: int) -> None:
@@ -49,5 +52,5 @@ def write_score_report(df: DataFrame, path: str) -> None:
     df.where(F.col("smiles").isNotNull()).select(
         "smiles",
         F.col("name").alias("Name"),
-        F.coalesce(F.format_string("%.6f", "sa_score"), F.lit("None")).alias("sa_score"),
+        F.when(F.col("sa_score").isNull(), "None").otherwise(F.format_string("%.6f", "sa_score")).alias("sa_score"),
     ).write.csv(path, sep="\t", header=True)
