@@ -86,9 +86,9 @@ def list_text(lst: str) -> str:
 
 def grams(tokens: str, n: int) -> str:
     """n-gram list over a token list expression."""
-    inner = " || ".join(f"t[i + {j}]" for j in range(n))
-    return (f"(SELECT CASE WHEN len(t) >= {n} THEN list_transform(range(1, len(t) - {n - 2}), lambda i: {inner}) "
-            f"ELSE [] END FROM (SELECT {tokens} AS t))")
+    inner = " || ".join(f"_g[i + {j}]" for j in range(n))
+    return (f"(SELECT CASE WHEN len(_g) >= {n} THEN list_transform(range(1, len(_g) - {n - 2}), lambda i: {inner}) "
+            f"ELSE [] END FROM (SELECT {tokens} AS _g))")
 
 
 def bits_sql(tokens: str, n: int = 2) -> str:

@@ -101,19 +101,19 @@ def _(spark, sf):
     return selection.preview(table(spark, sf, "lineitem").select(*cols), [F.col(c) for c in cols])
 
 
-def _valid_sql():
+def accepted_sql():
     return f"""{MOLECULES_SQL}, checked AS (SELECT mol_id, smiles, {checks_sql('smiles')}, NOT regexp_matches(smiles, '[.+-]') AS neutral FROM molecules),
 kept AS (SELECT mol_id, smiles FROM checked WHERE covered AND parens AND brackets AND rings AND neutral)"""
 
 
-@query("agg25_acceptance", f"""WITH {_valid_sql()}, v AS (SELECT count(*) AS valid FROM checked WHERE covered AND parens AND brackets AND rings),
+@query("agg25_acceptance", f"""WITH {accepted_sql()}, v AS (SELECT count(*) AS valid FROM checked WHERE covered AND parens AND brackets AND rings),
 a AS (SELECT count(*) AS attempts FROM molecules), k AS (SELECT count(*) AS kept, count(DISTINCT smiles) AS uniq FROM kept)
 SELECT attempts, valid, kept, kept - uniq AS duplicates, least(uniq, 3000)::BIGINT AS accepted, (3000 - least(uniq, 3000))::BIGINT AS shortfall FROM v, a, k""")
 def _(spark, sf):
     return selection.acceptance(molecules(spark, sf), 3000)
 
 
-@query("ml9_accept_candidates", f"""WITH {_valid_sql()} SELECT min(mol_id) AS cand_id, smiles FROM kept GROUP BY smiles ORDER BY 1 LIMIT 3000""")
+@query("ml9_accept_candidates", f"""WITH {accepted_sql()} SELECT min(mol_id) AS cand_id, smiles FROM kept GROUP BY smiles ORDER BY 1 LIMIT 3000""")
 def _(spark, sf):
     drawn = molecules(spark, sf).select(F.col("mol_id").alias("cand_id"), "smiles")
     return discovery.accept(drawn, 3000)

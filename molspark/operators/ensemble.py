@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from molspark.operators.scaling import inverse_transform
 
@@ -25,7 +25,7 @@ def score_expression(df: DataFrame, score: Column, out: str = "pred") -> DataFra
 
 def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], out: str = "pred") -> DataFrame:
     """Score Arrow batches with a Python callable: a frame in, one float per row out."""
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

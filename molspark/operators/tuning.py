@@ -104,6 +104,14 @@ def common_weights(chosen: DataFrame, weight: str = "weight") -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc(weight)).offset(1).limit(5)
 
 
+def bound_values(df: DataFrame, column: str, limit: int = 1000) -> list:
+    """Sorted distinct values of a column that serves as a bound list."""
+    rows = df.select(column).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{column} has more than {limit} values")
+    return sorted(r[0] for r in rows)
+
+
 def parameter_grid(spark: SparkSession, bounds: dict[str, Sequence]) -> DataFrame:
     """All combinations of the bound lists, one column per parameter."""
     grid = spark.range(1).select()
