@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from molspark.staging import stage
+from molspark.staging import broadcast_checked, stage
 
 _PART, _LOCAL = "_part", "_local"
 _LOCAL_MASK = (1 << 33) - 1
+CARRY_LIMIT = 200_000
 
 
 def ordered(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -44,8 +45,8 @@ def ordinal(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), na
     carry = parts.select(
         *keys, _PART, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    if not keys:  # one row per partition
-        carry = F.broadcast(carry)
+    # one row per partition, and per key it holds
+    carry = F.broadcast(carry) if not keys else broadcast_checked(carry, CARRY_LIMIT)
     return rows.join(carry, [*keys, _PART]).withColumn(
         name, F.col(_LOCAL) + F.col("_shift")
     ).drop(_PART, _LOCAL, "_shift")

@@ -1,9 +1,10 @@
 """Seeded splits and folds.
 
-All of them are quotas over the md5 order of the row key inside a stratum. The
-order is cut into buckets by leading digits; a bucket that lies wholly inside one
-quota needs no sort, so only the few buckets a quota border crosses are ranked.
-The large table is scanned and labeled, never shuffled.
+All of them are quotas over the md5 order of the row key inside a stratum. A count
+per leading digits of the digest locates each quota border in one bucket; only the
+keys of those buckets are sorted, to read off the digest at the border. Labeling is
+then a comparison with a few digests per stratum: the large table is neither
+shuffled nor sorted.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from molspark.functions.hashing import leading_bits, seeded_digest, uniform
 from molspark.operators.rank import ordinal
 from molspark.staging import stage
 
-BUCKET_DIGITS = 3
-BROADCAST_ROWS = 500_000
+BUCKET_DIGITS = 4
+BROADCAST_ROWS = 100_000
 
 
 def quota_labels(
@@ -35,45 +36,43 @@ def quota_labels(
 
     ``cuts`` receives one row per stratum with its size ``n`` and adds an array
     ``cuts`` of cumulative row counts; the label is how many cuts a rank has
-    reached. ``key`` must identify a row. Strata times buckets bounds the plan; it
-    is broadcast while that stays small and joined by shuffle beyond.
+    reached. ``key`` must identify a row. The border table has one row per
+    stratum and is broadcast while there are few strata, joined by shuffle beyond.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    strata = list(strata) or ["_all"]
-    if strata == ["_all"]:
-        df, n_strata = df.withColumn("_all", F.lit(0)), 1
+    strata = list(strata)
+    if not strata:
+        df, strata, n_strata = df.withColumn("_all", F.lit(0)), ["_all"], 1
     if n_strata is None:
         n_strata = df.select(*strata).distinct().count()
-    small = n_strata * 16**bucket_digits <= BROADCAST_ROWS
-    digest = seeded_digest(seed, *[F.col(k) for k in keys])
-    rows = df.withColumn("_h", digest).withColumn("_b", leading_bits(F.col("_h"), bucket_digits))
 
-    buckets = rows.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    def small(t):
+        return F.broadcast(t) if n_strata <= BROADCAST_ROWS else t
+
+    digest = seeded_digest(seed, *[F.col(k) for k in keys])
+    order = df.select(*strata, digest.alias("_h")).withColumn("_b", leading_bits(F.col("_h"), bucket_digits))
+    buckets = order.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
     run = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     sized = cuts(buckets.groupBy(*strata).agg(F.sum("_c").alias("n")))
-    spans = (
+    targets = (
         buckets.withColumn("_end", F.sum("_c").over(run))
-        .join(sized.select(*strata, "cuts"), strata)
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-        .withColumn("_lab0", _reached(F.col("cuts"), F.col("_start")))
-        .withColumn("_lab1", _reached(F.col("cuts"), F.col("_end") - 1))
+        .join(small(sized.select(*strata, F.posexplode("cuts").alias("_i", "_cut"))), strata)
+        .where("_cut >= _end - _c AND _cut < _end")
+        .select(*strata, "_b", "_i", (F.col("_cut") - F.col("_end") + F.col("_c") + 1).alias("_nth"))
     )
-    pure = spans.where("_lab0 = _lab1").select(*strata, "_b", F.col("_lab0").alias(label))
-    crossed = spans.where("_lab0 <> _lab1").select(*strata, "_b", "_start", "cuts")
-    if small:
-        pure, crossed = F.broadcast(pure), F.broadcast(crossed)
-    whole = rows.join(pure, [*strata, "_b"])
-    border = rows.join(crossed, [*strata, "_b"])
-    inside = Window.partitionBy(*strata, "_b").orderBy("_h", *keys)
-    border = border.withColumn(
-        label, _reached(F.col("cuts"), F.col("_start") + F.row_number().over(inside) - 1)
+    inside = Window.partitionBy(*strata, "_b", "_i").orderBy("_h")
+    borders = (
+        order.join(small(targets), [*strata, "_b"])
+        .withColumn("_rn", F.row_number().over(inside))
+        .where("_rn = _nth")
+        .groupBy(*strata)
+        .agg(F.collect_list("_h").alias("_borders"))  # one per cut
     )
-    out = [*df.columns, label]
-    return whole.select(*out).unionByName(border.select(*out)).drop("_all")
-
-
-def _reached(cuts: Column, rank: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c <= rank))
+    reached = F.when(F.col("_borders").isNull(), 0).otherwise(
+        F.size(F.filter("_borders", lambda c: c <= F.col("_h")))
+    )
+    labeled = df.withColumn("_h", digest).join(small(borders), strata, "left").withColumn(label, reached)
+    return labeled.drop("_h", "_borders", "_all")
 
 
 def _cumulative(counts: list[Column]) -> Column:
