@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from molspark.functions.tokens import TOKEN_PATTERN
+from molspark.staging import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for heavy per-row work, spread over the cores if badly split."""
+    return spread(table(spark, folder, name))
+
+
 def r6(value: Column, name: str) -> Column:
     return F.round(value, 6).alias(name)
 
@@ -48,7 +54,7 @@ MOLECULE = """concat(translate(CAST(o_custkey AS STRING), '0123456789', 'CNOSPFI
 
 def molecules(spark: SparkSession, folder: str) -> DataFrame:
     """``mol_id, smiles, property, custkey`` from orders."""
-    return table(spark, folder, "orders").select(
+    return heavy(spark, folder, "orders").select(
         F.col("o_orderkey").alias("mol_id"),
         F.expr(MOLECULE).alias("smiles"),
         (F.col("o_totalprice") / 100000.0).alias("property"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molspark.catalog.base import MOLECULES_SQL, bits_sql, molecules, query, r6, table, tok
+from molspark.catalog.base import heavy, MOLECULES_SQL, bits_sql, molecules, query, r6, table, tok
 from molspark.catalog.joins import molecule_scorer, pairs_sql
 from molspark.catalog.selection import accepted_sql
 from molspark.functions import tokens as tk
@@ -45,7 +45,7 @@ def _(spark, sf):
 
 def text_model(spark, sf, kind="regression"):
     """Prepared documents: length from text, or quality class from text."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("n_chars") / 1000.0).alias("kchars"))
+    docs = heavy(spark, sf, "documents").select("doc_id", "text", (F.col("n_chars") / 1000.0).alias("kchars"))
     if kind == "classification":
         docs = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     target = "quality" if kind == "classification" else "kchars"
@@ -114,7 +114,7 @@ fg AS (SELECT doc_id AS id, {bits_sql(tok('text'))} AS bits FROM documents), {pa
 def _(spark, sf):
     out = discovery.similarity_report({
         "training": table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("smiles")),
-        "generated": table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("smiles")),
+        "generated": heavy(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("smiles")),
     }, "id")
     return out.select("series", "bin", r6(F.col("lo"), "lo"), r6(F.col("hi"), "hi"), r6(F.col("density"), "density"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from molspark.catalog.base import (
-    MOLECULES_SQL, bits_sql, body, grams, hexint, molecules, query, r6, table, tok,
+    heavy, MOLECULES_SQL, bits_sql, body, grams, hexint, molecules, query, r6, table, tok,
 )
 from molspark.functions import tokens as tk
 from molspark.functions.hashing import fingerprint, fragment_id
@@ -31,7 +31,7 @@ def linear_score(df):
 
 def encoded_variants(spark, sf):
     """Part names as encoded rotation variants."""
-    part = table(spark, sf, "part").select(
+    part = heavy(spark, sf, "part").select(
         F.col("p_partkey").alias("src_id"), augment.rotation_variants(F.col("p_name")).alias("variants")
     )
     rows = augment.explode_variants(part).select("src_id", "variant_no", tk.tokenize(F.col("variant")).alias("tokens"))
@@ -81,7 +81,7 @@ def _(spark, sf):
 @query("udf2_batch_scorer", """SELECT doc_id, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sigma FROM (SELECT doc_id, n_chars * 0.01::DOUBLE + f + r * 0.5::DOUBLE AS x
 FROM documents, (SELECT unnest([0, 1, 2]) AS f), (SELECT unnest([0, 1]) AS r)) GROUP BY 1""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("src_id"), "n_chars")
+    docs = heavy(spark, sf, "documents").select(F.col("doc_id").alias("src_id"), "n_chars")
     score = lambda df: ensemble.score_batches(df, lambda b: b["n_chars"] * 0.01 + b["fold"] + b["run"] * 0.5)
     out = ensemble.infer(docs, score, 3, 2)
     return out.select(F.col("src_id").alias("doc_id"), r6(F.col("mean"), "mean"), r6(F.col("sigma"), "sigma"))
@@ -129,7 +129,7 @@ joined AS (SELECT doc_id, cnt.fragment_id, cnt, coalesce(score, -4) AS score FRO
 
 def doc_fragments(spark, sf):
     """Counts per document and a contribution table made from a part of them."""
-    docs = table(spark, sf, "documents")
+    docs = heavy(spark, sf, "documents")
     counts = stage(
         accessibility.fragment_counts(docs, "doc_id", tk.ngrams(tk.tokenize(F.col("text")), 2)), "fragments"
     )
@@ -210,7 +210,7 @@ def text_bits(df, key, text="text"):
 @query("jon6_similarity_distribution", f"""WITH fp AS (SELECT doc_id AS id, {bits_sql(tok('text'))} AS bits FROM documents), {pairs_sql('fp')}
 SELECT round(sim, 9) AS sim, n_pairs::BIGINT AS n_pairs FROM dist""")
 def _(spark, sf):
-    out = similarity.similarity_distribution(text_bits(table(spark, sf, "documents"), "doc_id"), "id")
+    out = similarity.similarity_distribution(text_bits(heavy(spark, sf, "documents"), "doc_id"), "id")
     return out.select(F.round("sim", 9).alias("sim"), "n_pairs")
 
 
@@ -228,7 +228,7 @@ def _(spark, sf):
 {pairs_sql('fp')} SELECT i AS rep_a, j AS rep_b, x.m AS m_a, y.m AS m_b, round(c / (ni + nj - c), 6) AS sim FROM ov JOIN fp x ON x.id = i JOIN fp y ON y.id = j
 WHERE c / (ni + nj - c) >= 0.8""")
 def _(spark, sf):
-    out = similarity.similar_fingerprints(text_bits(table(spark, sf, "documents"), "doc_id"), "id", 0.8)
+    out = similarity.similar_fingerprints(text_bits(heavy(spark, sf, "documents"), "doc_id"), "id", 0.8)
     return out.withColumn("sim", F.round("sim", 6))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molspark.catalog.base import MOLECULES_SQL, molecules, query, table, tok
+from molspark.catalog.base import heavy, MOLECULES_SQL, molecules, query, table, tok
 from molspark.catalog.tokens import checks_sql
 from molspark.functions import tokens as tk
 from molspark.operators import metrics, selection, splits, tuning, vocabulary
@@ -15,7 +15,7 @@ from molspark.plans import discovery
 @query("flt3_positive", """SELECT doc_id, prob FROM (SELECT doc_id, (n_chars % 100) / 100.0::DOUBLE AS prob FROM documents) WHERE prob > 0.5""")
 def _(spark, sf):
     return selection.keep_positive(
-        table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 100 / 100.0).alias("prob")), "prob"
+        heavy(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 100 / 100.0).alias("prob")), "prob"
     )
 
 
@@ -66,7 +66,7 @@ def _(spark, sf):
 
 @query("set3_distinct_strings", "SELECT DISTINCT text FROM documents")
 def _(spark, sf):
-    return selection.distinct_strings(table(spark, sf, "documents"), "text")
+    return selection.distinct_strings(heavy(spark, sf, "documents"), "text")
 
 
 @query("srt1_top_fraction", """SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT (SELECT ceil(count(*) * 0.35)::BIGINT FROM part)""")
@@ -122,7 +122,7 @@ def _(spark, sf):
 @query("jon7_new_tokens", f"""SELECT DISTINCT token FROM (SELECT unnest({tok('text')}) AS token FROM documents)
 WHERE token NOT IN (SELECT unnest({tok('p_name')}) FROM part)""")
 def _(spark, sf):
-    toks = lambda t, c: vocabulary.distinct_tokens(table(spark, sf, t).select(tk.tokenize(F.col(c)).alias("tokens")))
+    toks = lambda t, c: vocabulary.distinct_tokens(heavy(spark, sf, t).select(tk.tokenize(F.col(c)).alias("tokens")))
     return vocabulary.new_tokens(toks("documents", "text"), toks("part", "p_name"))
 
 
@@ -130,7 +130,7 @@ def _(spark, sf):
 b AS (SELECT DISTINCT unnest({tok('p_name')}) AS token FROM part)
 SELECT a.token, b.token IS NOT NULL AS in_train FROM a LEFT JOIN b USING (token)""")
 def _(spark, sf):
-    toks = lambda t, c: vocabulary.distinct_tokens(table(spark, sf, t).select(tk.tokenize(F.col(c)).alias("tokens")))
+    toks = lambda t, c: vocabulary.distinct_tokens(heavy(spark, sf, t).select(tk.tokenize(F.col(c)).alias("tokens")))
     return vocabulary.flag_known(toks("documents", "text"), toks("part", "p_name"))
 
 

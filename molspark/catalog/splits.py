@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molspark.catalog.base import digest, query, r6, table, uniform_sql
+from molspark.catalog.base import heavy, digest, query, r6, table, uniform_sql
 from molspark.catalog.scans import SCALER_SQL, fold_scaler
 from molspark.operators import scaling, splits
 from molspark.staging import stage
@@ -18,7 +18,7 @@ def _(spark, sf):
 
 @query("win2_group_numbers_text", "SELECT doc_id, dense_rank() OVER (ORDER BY text) - 1 AS group_no FROM documents")
 def _(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text")
+    rows = heavy(spark, sf, "documents").select("doc_id", "text")
     return splits.group_numbers(rows, "text").drop("text")
 
 
@@ -87,7 +87,7 @@ def _(spark, sf):
 @query("win7_floor_split", f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {digest(42, 'doc_id')}, doc_id) <= floor((SELECT count(*) FROM documents) * 0.8::DOUBLE)
 THEN 'train' ELSE 'valid' END AS split FROM documents""")
 def _(spark, sf):
-    return splits.train_valid(table(spark, sf, "documents").select("doc_id"), "doc_id", share="floor_0_8")
+    return splits.train_valid(heavy(spark, sf, "documents").select("doc_id"), "doc_id", share="floor_0_8")
 
 
 @query("set6_resample", f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no FROM orders),

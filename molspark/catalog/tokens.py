@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from molspark.catalog.base import (
-    MOLECULES_SQL, bits_sql, body, grams, hexint, joined, list_text, molecules, query, r6, table, tok,
+    heavy, MOLECULES_SQL, bits_sql, body, grams, hexint, joined, list_text, molecules, query, r6, table, tok,
 )
 from molspark.functions import scores, tokens as tk, validity
 from molspark.functions.hashing import fingerprint
@@ -15,13 +15,13 @@ from molspark.staging import stage
 
 @query("scl1_tokenize", f"SELECT doc_id, {list_text(tok('text'))} AS tokens FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", joined(tk.tokenize(F.col("text")), "tokens"))
+    return heavy(spark, sf, "documents").select("doc_id", joined(tk.tokenize(F.col("text")), "tokens"))
 
 
 @query("scl1_tokenize_strict", f"""SELECT doc_id, len(regexp_extract_all(text, '{tk.STRICT_TOKEN_PATTERN}', 1))::INT AS n
 FROM documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(tk.body_tokens(F.col("text"), True)).alias("n"))
+    return heavy(spark, sf, "documents").select("doc_id", F.size(tk.body_tokens(F.col("text"), True)).alias("n"))
 
 
 @query("scl2_ngrams", f"""WITH t AS (SELECT p_partkey, {tok('p_name')} AS k FROM part)
@@ -38,13 +38,13 @@ _VOCAB = f"""vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS t
 @query("agg2_vocabulary", f"""WITH {_VOCAB} SELECT token, token_id::INT AS token_id FROM vocab
 UNION ALL SELECT 'pad', 0 UNION ALL SELECT 'unk', 1""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(tk.tokenize(F.col("text")).alias("tokens"))
+    docs = heavy(spark, sf, "documents").select(tk.tokenize(F.col("text")).alias("tokens"))
     return vocabulary.build_vocabulary(docs)
 
 
 @query("agg3_max_length", f"SELECT max(len({tok('text')}))::INT AS max_length FROM documents")
 def _(spark, sf):
-    return vocabulary.max_length(table(spark, sf, "documents").select(tk.tokenize(F.col("text")).alias("tokens")))
+    return vocabulary.max_length(heavy(spark, sf, "documents").select(tk.tokenize(F.col("text")).alias("tokens")))
 
 
 _ENCODED = f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM
@@ -76,7 +76,7 @@ def _(spark, sf):
 t AS (SELECT doc_id, unnest({tok('text')}) AS token FROM documents)
 SELECT doc_id, coalesce(token_id, 1)::INT AS token_id, count(*) AS n FROM t LEFT JOIN known USING (token) GROUP BY ALL""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", tk.tokenize(F.col("text")).alias("tokens"))
+    docs = heavy(spark, sf, "documents").select("doc_id", tk.tokenize(F.col("text")).alias("tokens"))
     bench = table(spark, sf, "benchmark").select(tk.tokenize(F.col("text")).alias("tokens"))
     known = stage(vocabulary.build_vocabulary(bench), "vocabulary")
     return vocabulary.lookup_tokens(docs, known).groupBy("doc_id", "token_id").agg(F.count(F.lit(1)).alias("n"))
@@ -176,13 +176,13 @@ def _(spark, sf):
 @query("scl14_fingerprint", f"SELECT doc_id, {list_text(bits_sql(tok('text')))} AS bits FROM documents")
 def _(spark, sf):
     bits = fingerprint(tk.ngrams(tk.tokenize(F.col("text")), 2))
-    return table(spark, sf, "documents").select("doc_id", joined(bits, "bits"))
+    return heavy(spark, sf, "documents").select("doc_id", joined(bits, "bits"))
 
 
 @query("scl15_fragment_counts", f"""SELECT doc_id, {hexint('md5(g)')} AS fragment_id, count(*) AS cnt FROM
 (SELECT doc_id, unnest({grams(tok('text'), 2)}) AS g FROM documents) GROUP BY ALL""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = heavy(spark, sf, "documents")
     return accessibility.fragment_counts(docs, "doc_id", tk.ngrams(tk.tokenize(F.col("text")), 2))
 
 
@@ -282,13 +282,13 @@ def _(spark, sf):
 @query("flt1_validity_text", f"""WITH c AS (SELECT doc_id, {checks_sql('text')} FROM documents)
 SELECT *, covered AND parens AND brackets AND rings AS valid FROM c""")
 def _(spark, sf):
-    return _validity(table(spark, sf, "documents"), "doc_id", "text")
+    return _validity(heavy(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("flt1_validity_pages", f"""WITH c AS (SELECT page_id, {checks_sql('html')} FROM pages)
 SELECT *, covered AND parens AND brackets AND rings AS valid FROM c""")
 def _(spark, sf):
-    return _validity(table(spark, sf, "pages"), "page_id", "html")
+    return _validity(heavy(spark, sf, "pages"), "page_id", "html")
 
 
 def _validity(df, key, text):
@@ -321,13 +321,13 @@ u AS (SELECT doc_id, unnest(t) AS x, unnest(range(len(t))) AS i FROM t),
 f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY ALL)
 SELECT doc_id, coalesce(string_agg(x, '~' ORDER BY i), '') AS tokens FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", joined(F.array_distinct(tk.body_tokens(F.col("text"))), "tokens"))
+    return heavy(spark, sf, "documents").select("doc_id", joined(F.array_distinct(tk.body_tokens(F.col("text"))), "tokens"))
 
 
 @query("set5_vocabulary_union", f"""SELECT DISTINCT unnest({tok('text')}) AS token FROM (SELECT text FROM documents UNION ALL
 SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)""")
 def _(spark, sf):
-    toks = lambda n: table(spark, sf, n).select(tk.tokenize(F.col("text")).alias("tokens"))
+    toks = lambda n: heavy(spark, sf, n).select(tk.tokenize(F.col("text")).alias("tokens"))
     return vocabulary.union_tokens(toks("documents"), toks("benchmark"), toks("conversations"))
 
 

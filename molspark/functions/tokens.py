@@ -6,12 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# The token alternatives in matching order, the sentinel, the
-# multi-string joint and the two reserved vocabulary entries.
-TOKEN_PATTERN = (
-    r"(\*|N|O|S|P|F|Cl?|Br?|I|b|c|n|o|s|p|j|\[[^\n]*?\]|-|=|#|\$|:|/|\|\.|"
-    r"[0-9]|%[0-9]{2}|\(|\))"
-)
+# The token alternatives, the sentinel, the multi-string joint and
+# the two reserved vocabulary entries. Every alternative starts with a different
+# character, so the single characters can share one class.
+TOKEN_PATTERN = r"([*NOSPFIbcnospj=#$:/()0-9-]|Cl?|Br?|\[[^\n]*?\]|\|\.|%[0-9]{2})"
 SENTINEL = " "
 JOINT = "j"
 PAD, UNK = "pad", "unk"
@@ -19,7 +17,7 @@ PAD_ID, UNK_ID = 0, 1
 STRUCTURAL_TOKENS = ["-", "=", "#", "$", "/", "\\", ".", "(", ")"]
 
 # With the lone backslash and dot that the default pattern skips.
-STRICT_TOKEN_PATTERN = TOKEN_PATTERN[:-1] + r"|\\|\.)"
+STRICT_TOKEN_PATTERN = TOKEN_PATTERN[:-1] + r"|[\\.])"
 
 
 def bound(value: Column, fn: Callable[[Column], Column]) -> Column:

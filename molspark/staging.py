@@ -44,3 +44,13 @@ def broadcast_checked(df: DataFrame, limit: int) -> DataFrame:
     Meant for staged or source tables, since it counts up to ``limit`` rows.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows when a table comes in fewer splits than there are cores.
+
+    Meant before heavy per-row work on a small or badly split file; a table with
+    enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
