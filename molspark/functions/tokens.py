@@ -59,21 +59,10 @@ def join_strings(strings: Column) -> Column:
 
 def fit_width(ids: Column, width: int) -> Column:
     """Left-pad to ``width`` or keep the last ``width`` entries."""
-    tail = F.when(F.size(ids) > width, F.slice(ids, F.lit(-width), F.lit(width))).otherwise(ids)
-    return F.concat(F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(width) - F.size(ids), F.lit(0))), tail)
-
-
-def pad_right(ids: Column, width: int | Column) -> Column:
-    width = F.lit(width) if isinstance(width, int) else width
-    return F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.greatest(width - F.size(ids), F.lit(0))))
-
-
-def attention_mask(ids: Column, width: int | Column) -> Column:
-    width = F.lit(width) if isinstance(width, int) else width
-    return F.concat(
-        F.array_repeat(F.lit(1), F.size(ids)),
-        F.array_repeat(F.lit(0), F.greatest(width - F.size(ids), F.lit(0))),
-    )
+    return bound(ids, lambda x: F.concat(
+        F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(width) - F.size(x), F.lit(0))),
+        F.when(F.size(x) > width, F.slice(x, F.lit(-width), F.lit(width))).otherwise(x),
+    ))
 
 
 def rotate(items: Column, by: Column | int) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from molspark.functions.tokens import all_rotations, body_tokens, bound
+from molspark.operators.shaping import unnest
 
 
 def rotation_variants(text: Column) -> Column:
@@ -47,7 +48,7 @@ def split_rejected(df: DataFrame, variants: str = "variants", require: bool = Fa
 def explode_variants(df: DataFrame, variants: str = "variants", name: str = "variant") -> DataFrame:
     """One row per variant with its number; other columns repeat."""
     other = [c for c in df.columns if c != variants]
-    return df.select(*other, F.posexplode(variants).alias("variant_no", name))
+    return unnest(df, other, F.col(variants), name, "variant_no")
 
 
 def combine_variants(*variants: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from molspark.functions.hashing import uniform
 from molspark.functions.tokens import SENTINEL, bound, tokenize
+from molspark.operators.shaping import unnest
 from molspark.staging import stage
 
 MAX_LENGTH = 100
@@ -24,12 +25,7 @@ def transition_counts(df: DataFrame, text: str = "smiles", strict: bool = False)
         F.sequence(F.lit(1), F.size(t) - 1),
         lambda i: F.struct(F.element_at(t, i).alias("cur"), F.element_at(t, i + 1).alias("next")),
     ))
-    return (
-        df.where(F.col(text).isNotNull())
-        .select(F.explode(pairs).alias("p"))
-        .groupBy("p.cur", "p.next")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return unnest(df, [], pairs, "p").groupBy("p.cur", "p.next").agg(F.count(F.lit(1)).alias("n"))
 
 
 def transition_shares(counts: DataFrame) -> DataFrame:

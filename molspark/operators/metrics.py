@@ -57,16 +57,20 @@ def confusion_counts(df: DataFrame, keys: Sequence[str], true: str = "target", p
     )
 
 
-def classification_metrics(df: DataFrame, keys: Sequence[str], true: str = "target", pred: str = "pred") -> DataFrame:
-    """Accuracy, precision, recall and F1 at 0.5; zero where undefined."""
+def _counts_to_metrics(keys: Sequence[str | Column]) -> list[str | Column]:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return confusion_counts(df, keys, true, pred).select(
+    return [
         *keys,
         ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-    )
+    ]
+
+
+def classification_metrics(df: DataFrame, keys: Sequence[str], true: str = "target", pred: str = "pred") -> DataFrame:
+    """Accuracy, precision, recall and F1 at 0.5; zero where undefined."""
+    return confusion_counts(df, keys, true, pred).select(*_counts_to_metrics(keys))
 
 
 def confusion_matrix(df: DataFrame, keys: Sequence[str] = (), true: str = "target", pred: str = "pred") -> DataFrame:
@@ -89,10 +93,7 @@ def pr_curve(df: DataFrame, keys: Sequence[str], true: str = "target", pred: str
     points = prefix(
         levels, [F.col("threshold").desc()], {"tp": ("sum", "_pos"), "taken": ("sum", "_all")}, keys
     )
-    totals = points.groupBy(*keys).agg(F.max("tp").alias("positives"))
-    points = points.join(totals, keys) if keys else points.withColumn("_g", F.lit(0)).join(
-        totals.withColumn("_g", F.lit(0)), "_g"
-    ).drop("_g")
+    points = points.withColumnsRenamed({"tp_total": "positives", "taken_total": "n"})
     precision = F.col("tp") / F.col("taken")
     # without positives recall is 1 by convention
     recall = F.when(F.col("positives") == 0, 1.0).otherwise(F.col("tp") / F.col("positives"))
@@ -101,8 +102,8 @@ def pr_curve(df: DataFrame, keys: Sequence[str], true: str = "target", pred: str
     return points.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
-def pr_auc(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Trapezoid area from (recall 0, precision 1) through the curve.
+def _trapezoid() -> Column:
+    """Area of one curve step, starting from (recall 0, precision 1).
 
     The previous point of a level follows from its own counts, so no window is
     needed: before adding its ``_all`` rows there were ``taken - _all``.
@@ -114,8 +115,26 @@ def pr_auc(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     width = F.when(F.col("positives") > 0, F.col("_pos") / F.col("positives")).otherwise(
         F.when(prev_taken == 0, 1.0).otherwise(0.0)
     )
-    area = width * (F.col("precision") + prev_precision) / 2
-    return curve.groupBy(*keys).agg(F.sum(area).alias("pr_auc"))
+    return width * (F.col("precision") + prev_precision) / 2
+
+
+def pr_auc(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Trapezoid area under the curve."""
+    return curve.groupBy(*keys).agg(F.sum(_trapezoid()).alias("pr_auc"))
+
+
+def curve_metrics(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All five metrics from the curve: the point of the lowest threshold above
+    0.5 holds the counts of the 0.5 classifier."""
+    above = F.col("threshold") > 0.5
+    at = lambda c: F.coalesce(F.max(F.when(above, F.col(c))), F.lit(0))
+    sums = curve.groupBy(*keys).agg(
+        at("tp").alias("tp"), (at("taken") - at("tp")).alias("fp"),
+        (F.max("positives") - at("tp")).alias("fn"),
+        (F.max("n") - F.max("positives") - at("taken") + at("tp")).alias("tn"),
+        F.sum(_trapezoid()).alias("pr_auc"),
+    )
+    return sums.select(*_counts_to_metrics(keys), "pr_auc")
 
 
 def best_threshold(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -152,9 +171,7 @@ def classification_sigma(
     keys = list(keys)
     noisy = noisy_replicas(df.select(*keys, row_id, true, pred, sigma), row_id, n_mc, seed, pred, sigma)
     by = [*keys, "rep"]
-    per_rep = classification_metrics(noisy, by, true, pred).join(
-        pr_auc(pr_curve(noisy, by, true, pred), by), by
-    )
+    per_rep = curve_metrics(pr_curve(noisy, by, true, pred), by)
     return per_rep.groupBy(*keys).agg(
         *[F.stddev_pop(m).alias(f"{m}_sigma") for m in CLASSIFICATION]
     )

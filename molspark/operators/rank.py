@@ -58,7 +58,10 @@ def prefix(
     totals: dict[str, tuple[str, str]],
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Inclusive running totals; ``totals`` maps a new name to (op, column), op in sum, min, max."""
+    """Inclusive running totals; ``totals`` maps a new name to (op, column), op in sum, min, max.
+
+    ``<name>_total`` holds the value over the whole key.
+    """
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
     merge = {
         "sum": lambda a, b: F.coalesce(a, F.lit(0)) + b,
@@ -69,8 +72,11 @@ def prefix(
     keys = list(keys)
     parts = rows.groupBy(*keys, _PART).agg(*[fn[op](c).alias(f"_t_{n}") for n, (op, c) in totals.items()])
     before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     carry = parts.select(
-        *keys, _PART, *[fn[op](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (op, _) in totals.items()]
+        *keys, _PART,
+        *[fn[op](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (op, _) in totals.items()],
+        *[fn[op](f"_t_{n}").over(whole).alias(f"{n}_total") for n, (op, _) in totals.items()],
     )
     if not keys:  # one row per partition
         carry = F.broadcast(carry)
@@ -87,7 +93,7 @@ def order_statistics(
     probs: dict[str, float],
     keys: Sequence[str],
     ranks: dict[str, Column] | None = None,
-    accuracy: int = 100_000,
+    accuracy: int = 50_000,
 ) -> DataFrame:
     """Exact values at ranks of ``value`` per key, one row per (key, name).
 
@@ -108,8 +114,7 @@ def order_statistics(
         F.count(F.lit(1)).alias("n"),
         F.min("_x").alias("_min"),
         F.max("_x").alias("_max"),
-        F.percentile_approx("_x", lows, accuracy).alias("_lo"),
-        F.percentile_approx("_x", highs, accuracy).alias("_hi"),
+        F.percentile_approx("_x", lows + highs, accuracy).alias("_q"),
     )
     brackets = sketch.select(
         *keys,
@@ -121,9 +126,9 @@ def order_statistics(
                     ranks.get(n, F.lit(probs[n]) * (F.col("n") - 1)).cast("double").alias("rank"),
                     # small groups and the outer ends keep their true extremes
                     F.when((F.col("n") * margin < 8) | (lows[i] == 0.0), F.col("_min"))
-                    .otherwise(F.col("_lo")[i]).alias("lo"),
+                    .otherwise(F.col("_q")[i]).alias("lo"),
                     F.when((F.col("n") * margin < 8) | (highs[i] == 1.0), F.col("_max"))
-                    .otherwise(F.col("_hi")[i]).alias("hi"),
+                    .otherwise(F.col("_q")[i + len(names)]).alias("hi"),
                 )
                 for i, n in enumerate(names)
             ]

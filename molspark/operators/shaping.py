@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def unnest(df: DataFrame, keep: Sequence[str | Column], values: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per array entry next to ``keep``; empty and null arrays give none.
+
+    The outer form plus a test on the position spares the optimizer's extra
+    "array is not empty" filter, which would evaluate ``values`` again before it.
+    """
+    rows = df.select(*keep, F.posexplode_outer(values).alias(pos or "_pos", name))
+    rows = rows.where(F.col(pos or "_pos").isNotNull())
+    return rows if pos else rows.drop("_pos")
 
 
 def fill_strings(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -171,8 +171,7 @@ def evaluate(oof: DataFrame, kind: str = "regression", n_mc: int = 100, true: st
         return metrics.metrics_long(wide, keys, metrics.REGRESSION)
     both = stage(both.withColumn("_id", F.concat_ws("|", "row_id", "fold", "set")), "scored")
     wide = (
-        metrics.classification_metrics(both, keys, true, "mean")
-        .join(metrics.pr_auc(metrics.pr_curve(both, keys, true, "mean"), keys), keys)
+        metrics.curve_metrics(metrics.pr_curve(both, keys, true, "mean"), keys)
         .join(metrics.classification_sigma(both, "_id", keys, n_mc, true=true, pred="mean"), keys)
     )
     return metrics.metrics_long(wide, keys, metrics.CLASSIFICATION)
