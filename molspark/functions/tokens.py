@@ -43,13 +43,15 @@ def ngrams(tokens: Column, length: int = 1) -> Column:
     """Joined runs of ``length`` tokens, empty when there are fewer tokens."""
     if length == 1:
         return tokens
-    return bound(tokens, lambda t: F.when(
-        F.size(t) >= length,
-        F.transform(
-            F.sequence(F.lit(1), F.size(t) - (length - 1)),
-            lambda i: F.array_join(F.slice(t, i, F.lit(length)), ""),
-        ),
-    ).otherwise(F.array().cast("array<string>")))
+
+    def runs(t: Column) -> Column:
+        n = F.size(t) - (length - 1)
+        out = F.slice(t, F.lit(1), n)
+        for j in range(1, length):
+            out = F.zip_with(out, F.slice(t, F.lit(j + 1), n), lambda a, b: F.concat(a, b))
+        return F.when(n > 0, out).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, runs)
 
 
 def join_strings(strings: Column) -> Column:

@@ -21,9 +21,9 @@ TABLE_LIMIT = 200_000
 
 def transition_counts(df: DataFrame, text: str = "smiles", strict: bool = False) -> DataFrame:
     """``cur, next, n``: neighbouring tokens, sentinels included."""
-    pairs = bound(tokenize(F.col(text), strict), lambda t: F.transform(
-        F.sequence(F.lit(1), F.size(t) - 1),
-        lambda i: F.struct(F.element_at(t, i).alias("cur"), F.element_at(t, i + 1).alias("next")),
+    pairs = bound(tokenize(F.col(text), strict), lambda t: F.zip_with(
+        F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1),
+        lambda a, b: F.struct(a.alias("cur"), b.alias("next")),
     ))
     return unnest(df, [], pairs, "p").groupBy("p.cur", "p.next").agg(F.count(F.lit(1)).alias("n"))
 

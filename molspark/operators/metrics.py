@@ -151,8 +151,14 @@ def positive_share(df: DataFrame, keys: Sequence[str], true: str = "target") ->
 
 
 def noisy_replicas(df: DataFrame, row_id: str, n_mc: int, seed: int, pred: str = "pred", sigma: str = "sigma") -> DataFrame:
-    """Each row ``n_mc`` times with Gaussian noise drawn from row key and replica."""
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_mc - 1))))
+    """Each row ``n_mc`` times with Gaussian noise drawn from row key and replica.
+
+    The few input rows are dealt out first, so that the many replicas are made by
+    all cores.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    reps = df.repartition(parts, F.col(row_id)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_mc - 1))))
     noise = normal(seed, F.col(row_id), F.col("rep")) * F.col(sigma)
     return reps.withColumn(pred, F.col(pred) + noise)
 

@@ -43,8 +43,10 @@ def dump_iteration(selected: DataFrame, labeled: DataFrame, folder: str, iterati
 
 
 def write_ranked(df: DataFrame, path: str, value: str = "property") -> None:
-    """Final list by descending value; part files follow the order."""
-    write_csv(df.orderBy(F.col(value).desc()), path)
+    """Final list by descending value; part files follow the order. The other
+    columns break ties, which also lets a frequent value span several files."""
+    rest = [c for c in df.columns if c != value]
+    write_csv(df.orderBy(F.col(value).desc(), *rest), path)
 
 
 def write_score_report(df: DataFrame, path: str) -> None:
