@@ -125,9 +125,9 @@ def order_statistics(
                     F.lit(n).alias("name"),
                     ranks.get(n, F.lit(probs[n]) * (F.col("n") - 1)).cast("double").alias("rank"),
                     # small groups and the outer ends keep their true extremes
-                    F.when((F.col("n") * margin < 8) | (lows[i] == 0.0), F.col("_min"))
+                    F.when((F.col("n") * margin < 3) | (lows[i] == 0.0), F.col("_min"))
                     .otherwise(F.col("_q")[i]).alias("lo"),
-                    F.when((F.col("n") * margin < 8) | (highs[i] == 1.0), F.col("_max"))
+                    F.when((F.col("n") * margin < 3) | (highs[i] == 1.0), F.col("_max"))
                     .otherwise(F.col("_q")[i + len(names)]).alias("hi"),
                 )
                 for i, n in enumerate(names)

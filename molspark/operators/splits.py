@@ -38,6 +38,7 @@ def quota_labels(
     ``cuts`` of cumulative row counts; the label is how many cuts a rank has
     reached. ``key`` must identify a row. The border table has one row per
     stratum and is broadcast while there are few strata, joined by shuffle beyond.
+    The keys are read a few times, so pass a stored table rather than a costly plan.
     """
     keys = [key] if isinstance(key, str) else list(key)
     strata = list(strata)
