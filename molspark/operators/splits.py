@@ -42,15 +42,16 @@ def quota_labels(
     """
     keys = [key] if isinstance(key, str) else list(key)
     strata = list(strata)
+    digest = seeded_digest(seed, *[F.col(k) for k in keys])
     if not strata:
-        df, strata, n_strata = df.withColumn("_all", F.lit(0)), ["_all"], 1
+        # one stratum as a real column (digests are 32 long), so that joins stay hash joins
+        df, strata, n_strata = df.withColumn("_all", F.length(digest)), ["_all"], 1
     if n_strata is None:
         n_strata = df.select(*strata).distinct().count()
 
     def small(t):
         return F.broadcast(t) if n_strata <= BROADCAST_ROWS else t
 
-    digest = seeded_digest(seed, *[F.col(k) for k in keys])
     order = df.select(*strata, digest.alias("_h")).withColumn("_b", leading_bits(F.col("_h"), bucket_digits))
     buckets = order.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_c"))
     run = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
