@@ -134,7 +134,15 @@ def order_statistics(
             ]
         ).alias("_b"),
     )
-    tagged = data.join(brackets, keys).select(*keys, "n", "_x", F.explode("_b").alias("b"))
+    if keys:
+        tagged = data.join(brackets, keys).select(*keys, "n", "_x", F.explode("_b").alias("b"))
+    else:  # one row: its values become literals, which the scan can filter by
+        row, kind = brackets.first(), brackets.schema["_b"].dataType.elementType
+        found = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in kind]) for b in row["_b"]]
+        top = max((b["hi"] for b in row["_b"] if b["hi"] is not None), default=None)
+        tagged = data.where(F.col("_x") <= F.lit(top)).select(
+            F.lit(row["n"]).alias("n"), "_x", F.explode(F.array(*found)).alias("b")
+        )
     # everything under the bracket collapses into one null value before the shuffle
     counts = (
         tagged.where("_x <= b.hi")
@@ -165,10 +173,7 @@ def order_statistics(
 
 def kth_value(df: DataFrame, value: str, k: int, n: int) -> object:
     """Exact k-th largest value (1-based) among ``n`` rows."""
-    one = df.withColumn("_g", F.lit(0))
-    stat = order_statistics(
-        one, value, {"cut": (n - k) / max(n - 1, 1)}, ["_g"], {"cut": F.lit(float(n - k))}
-    )
+    stat = order_statistics(df, value, {"cut": (n - k) / max(n - 1, 1)}, [], {"cut": F.lit(float(n - k))})
     return stat.first()["at_rank"]
 
 

@@ -57,3 +57,12 @@ def test_top_rows_with_ties(skewed, k):
     df, rows = skewed
     got = sorted(r["id"] for r in rank.top_rows(df, "v", "id", k).collect())
     assert got == sorted(i for i, _, _ in sorted(rows, key=lambda r: (-r[2], r[0]))[:k])
+
+
+def test_order_statistics_without_key(skewed):
+    df, rows = skewed
+    out = rank.order_statistics(df, "v", {"a": 0.25, "b": 0.5}, [], accuracy=100).collect()
+    values = [v for _, _, v in rows]
+    assert {r["name"]: r["stat"] for r in out} == {"a": pytest.approx(np.quantile(values, 0.25)), "b": pytest.approx(np.quantile(values, 0.5))}
+    plan = rank.order_statistics(df, "v", {"a": 0.25}, [])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
