@@ -85,7 +85,7 @@ def least_correlated_weights(preds: DataFrame, weight: str = "weight", sample: s
     table. Only the weight x weight matrix reaches the driver.
     """
     ranked = ordinal(preds, [F.col(pred), F.col(sample)], [weight], name="rank")
-    weights = [r[0] for r in preds.select(weight).distinct().orderBy(weight).collect()]
+    weights = bound_values(preds, weight)
     wide = ranked.groupBy("rank").agg(
         *[F.max(F.when(F.col(weight) == w, F.col(sample))).cast("double").alias(f"w{i}") for i, w in enumerate(weights)]
     )
