@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molspark.llm import simhash
+from molspark.llm import contamination, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,9 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query("op3_benchmark_contamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Test items found in documents, with their alignment scores."""
+    return contamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
