@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molspark.llm import contamination, simhash
+from molspark.llm import adaptive_rules, contamination, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Test items found in documents, with their alignment scores."""
     return contamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op7_adaptive_quality_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, the fixed rule and the adaptive verdict of every document."""
+    return adaptive_rules.judge(_table(spark, folder, "documents"))
