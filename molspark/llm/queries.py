@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molspark.llm import adaptive_rules, contamination, simhash
+from molspark.llm import adaptive_rules, contamination, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, the fixed rule and the adaptive verdict of every document."""
     return adaptive_rules.judge(_table(spark, folder, "documents"))
+
+
+@_query("op6_secret_spans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.find_secrets(_table(spark, folder, "documents"))
