@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from molspark.llm import adaptive_rules, contamination, secrets, simhash
+from molspark.llm import adaptive_rules, bpe, contamination, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.find_secrets(_table(spark, folder, "documents"))
+
+
+@_query("op8_byte_bpe_round_trip")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts and digests of every document's ids and of the text decoded from them."""
+    return bpe.digests(_table(spark, folder, "documents"))

@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _PIECE = 1 << 20
+_ARROW = {
+    "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(),
+    "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
+}
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:
@@ -39,7 +43,7 @@ def per_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = function(text_bytes(batch.column(within)))
-            added = [pa.array(out[n], {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}.get(t)) for n, t in fields.items()]
+            added = [pa.array(out[n], _ARROW[t]) for n, t in fields.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], [*names, *fields])
 
     return chosen.mapInArrow(run, ", ".join(kinds))
