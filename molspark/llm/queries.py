@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.llm import adaptive_rules, bpe, contamination, secrets, simhash
+from molspark.llm import adaptive_rules, bpe, contamination, lattice_lm, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _fold(folds: int) -> Column:
+    """Number of a document's fold, by the digits of its id."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
 @_query("op1_simhash_near_duplicates")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
@@ -53,3 +58,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the text decoded from them."""
     return bpe.digests(_table(spark, folder, "documents"))
+
+
+@_query("op10_lattice_likelihood")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram and subword-lattice scores of every document; one fold of seven is held out."""
+    return lattice_lm.score(_table(spark, folder, "documents"), _fold(7) == 2)
