@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.llm import adaptive_rules, bpe, contamination, lattice_lm, secrets, simhash
+from molspark.llm import adaptive_rules, bpe, contamination, lattice_lm, secrets, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,11 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+# Rules (host, path, verdict), and parts of names by which hosts are listed.
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+LISTED_NAMES = ("ads", "bets", "casino", "pills")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -64,3 +69,25 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram and subword-lattice scores of every document; one fold of seven is held out."""
     return lattice_lm.score(_table(spark, folder, "documents"), _fold(7) == 2)
+
+
+@_query("op9_url_verdicts", f"""
+WITH parts AS (
+ SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (
+ SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, RULES))}),
+best AS (
+ SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+  arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+ FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+ GROUP BY page_id)
+SELECT page_id, host, path, rule,
+ coalesce(rule_verdict, CASE WHEN list_has_any(string_split_regex(host, '[.-]'), {list(LISTED_NAMES)}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls LEFT JOIN best USING (page_id)""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page's url."""
+    pages = _table(spark, folder, "pages")
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return url_filter.judge(pages, rules, url_filter.hosts_named(pages, list(LISTED_NAMES)))
