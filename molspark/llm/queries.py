@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.llm import adaptive_rules, bpe, contamination, lattice_lm, secrets, simhash, url_filter
+from molspark.llm import adaptive_rules, bpe, contamination, lattice_lm, quality_model, secrets, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
     return url_filter.judge(pages, rules, url_filter.hosts_named(pages, list(LISTED_NAMES)))
+
+
+@_query("op2_quality_scores")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document; one fold of three is held out."""
+    return quality_model.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), _fold(3) == 1)
