@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.llm import adaptive_rules, bpe, contamination, lattice_lm, quality_model, secrets, simhash, url_filter
+from molspark.llm import adaptive_rules, bpe, contamination, lattice_lm, quality_model, secrets, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; one fold of three is held out."""
     return quality_model.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), _fold(3) == 1)
+
+
+@_query("op5_warc_round_trip")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests and record types of all pages, from archives written and read back."""
+    return warc.archive_round_trip(_table(spark, folder, "pages"))
