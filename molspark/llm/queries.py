@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.llm import adaptive_rules, bpe, contamination, lattice_lm, quality_model, secrets, simhash, url_filter, warc
+from molspark.llm import adaptive_rules, bpe, contamination, html_text, lattice_lm, quality_model, secrets, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Digests and record types of all pages, from archives written and read back."""
     return warc.archive_round_trip(_table(spark, folder, "pages"))
+
+
+@_query("op4_main_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, folder, "pages"))
