@@ -25,12 +25,14 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from molspark.llm.text import text_bytes
+from molspark.llm.text import slices, text_bytes
 from molspark.staging import stage
 
 FREQUENT_WORDS, WORD_BYTES = 200_000, 64  # words that travel to the tasks, and their length at most
 ZIPF_SHIFT, SMOOTHING = 2.7, 0.1
 _SPACE, _END = "▁", "</s>"
+_STEP, _CELLS = 0x9E3779B97F4A7C15, 1 << 15
+_ROWS, _KEPT_WORDS = 512, 100_000
 
 
 def read_vocabulary(path: str) -> dict[str, float]:
@@ -61,78 +63,117 @@ def _normalised(logs: dict[str, float]) -> dict[str, float]:
     return {p: v - total for p, v in logs.items()}
 
 
-def _log_add(a: float, b: float) -> float:
-    high, low = (a, b) if a > b else (b, a)
-    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
-
-
 class Lattice:
-    """Sums over the segmentations of a word."""
+    """Sums over the segmentations of words, for many words of equal length at a time.
+
+    A character without a piece takes the pieces of its bytes. Pieces are found by
+    rolling 64-bit hashes of the characters.
+    """
 
     def __init__(self, logs: dict[str, float]) -> None:
         self.pieces = list(logs)
-        self.logs = list(logs.values())
-        self.number = {p: i for i, p in enumerate(self.pieces)}
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p))}
-
-    def arcs(self, word: str) -> tuple[int, list[tuple[int, int, float, tuple[int, ...]]]]:
-        """Length, and arcs (from, to, logarithm, pieces) by their start; a character without a piece takes its bytes."""
-        text, out, number, logs = _SPACE + word, [], self.number, self.logs
-        n = len(text)
-        for i in range(n):
-            j = i + 1
-            first = number.get(text[i:j])
-            if first is None:
-                used = tuple(number[f"<0x{b:02X}>"] for b in text[i].encode())
-                out.append((i, j, sum(logs[k] for k in used), used))
-            else:
-                out.append((i, j, logs[first], (first,)))
-            while j < n and text[i:j] in self.prefixes:
-                j += 1
-                k = number.get(text[i:j])
-                if k is not None:
-                    out.append((i, j, logs[k], (k,)))
-        return n, out
-
-    def forward(self, word: str) -> float:
-        """Natural logarithm of the word's probability over all segmentations."""
-        n, arcs = self.arcs(word)
-        return self._forward(n, arcs)[n]
+        self.logs = np.array(list(logs.values()))
+        self._number = {p: i for i, p in enumerate(self.pieces)}
+        self._longest = max(map(len, self.pieces))
+        hashes = np.array([self._hash(p) for p in self.pieces], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self._hashes, self._order = hashes[order], order
+        self._maybe = np.zeros(1 << 20, dtype=bool)
+        self._maybe[hashes >> np.uint64(44)] = True
 
     @staticmethod
-    def _forward(n: int, arcs: list) -> list[float]:
-        ahead = [-math.inf] * (n + 1)
-        ahead[0] = 0.0
-        for i, j, log, _ in arcs:
-            ahead[j] = _log_add(ahead[j], ahead[i] + log)
-        return ahead
-
-    def expect(self, word: str, times: int, counts: np.ndarray) -> None:
-        """Adds the expected number of each piece in ``times`` such words."""
-        n, arcs = self.arcs(word)
-        ahead = self._forward(n, arcs)
-        behind = [-math.inf] * (n + 1)
-        behind[n] = 0.0
-        for i, j, log, _ in reversed(arcs):
-            behind[i] = _log_add(behind[i], behind[j] + log)
-        for i, j, log, used in arcs:
-            share = times * math.exp(ahead[i] + log + behind[j] - ahead[n])
-            for k in used:
-                counts[k] += share
+    def _hash(piece: str) -> int:
+        h = 0
+        for char in piece:
+            h = (h + ord(char) + 1) * _STEP % 2**64
+        return h
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose hash is a piece's, and the pieces."""
+        rows = np.flatnonzero(self._maybe[hashes >> np.uint64(44)])
+        at = np.searchsorted(self._hashes, hashes[rows])
+        good = self._hashes[np.minimum(at, len(self._hashes) - 1)] == hashes[rows]
+        return rows[good], self._order[at[good]]
+
+    def _arcs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Arcs by their start: from, to, rows that have one, its logarithm, and the piece (or minus one less than the character)."""
+        width = codes.shape[1]
+        for i in range(width):
+            hashes = np.zeros(len(codes), dtype=np.uint64)
+            for j in range(i + 1, min(width, i + self._longest) + 1):
+                hashes = (hashes + codes[:, j - 1] + np.uint64(1)) * np.uint64(_STEP)
+                rows, pieces = self._find(hashes)
+                if j == i + 1 and len(rows) < len(codes):
+                    lone = np.setdiff1d(np.arange(len(codes)), rows)
+                    chars, which = np.unique(codes[lone, i], return_inverse=True)
+                    yield i, j, lone, np.array([self.logs[self._bytes(c)].sum() for c in chars.tolist()])[which], -1 - codes[lone, i].astype(np.int64)
+                if len(rows):
+                    yield i, j, rows, self.logs[pieces], pieces
+
+    def _bytes(self, code: int) -> list[int]:
+        return [self._number[f"<0x{b:02X}>"] for b in chr(code).encode()]
+
+    def _groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and characters of words of equal length, in blocks of a bounded number of characters."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        for width in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == width)
+            step = max(1, _CELLS // width)
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                text = "".join(_SPACE + words[i] for i in part.tolist())
+                yield part, np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64).reshape(len(part), width)
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Natural logarithms of the words' probabilities over all segmentations."""
+        out = np.zeros(len(words))
+        for at, codes in self._groups(words):
+            ahead = np.full((codes.shape[1] + 1, len(codes)), -np.inf)
+            ahead[0] = 0.0
+            for i, j, rows, log, _ in self._arcs(codes):
+                ahead[j, rows] = np.logaddexp(ahead[j, rows], ahead[i, rows] + log)
+            out[at] = ahead[-1]
+        return out
+
+    def expect(self, words: list[str], times: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the expected number of each piece in so many copies of each word."""
+        for at, codes in self._groups(words):
+            ahead = np.full((codes.shape[1] + 1, len(codes)), -np.inf)
+            behind = ahead.copy()
+            ahead[0] = behind[-1] = 0.0
+            arcs = []
+            for arc in self._arcs(codes):
+                i, j, rows, log, _ = arc
+                ahead[j, rows] = np.logaddexp(ahead[j, rows], ahead[i, rows] + log)
+                arcs.append(arc)
+            for i, j, rows, log, pieces in reversed(arcs):
+                behind[i, rows] = np.logaddexp(behind[i, rows], behind[j, rows] + log)
+                share = times[at][rows] * np.exp(ahead[i, rows] + log + behind[j, rows] - ahead[-1, rows])
+                if pieces[0] >= 0:
+                    np.add.at(counts, pieces, share)
+                else:
+                    for code, value in zip((-1 - pieces).tolist(), share.tolist()):
+                        np.add.at(counts, self._bytes(code), value)
 
 
 def word_counts(docs: DataFrame, text_col: str, held_out: Column) -> DataFrame:
     """``word, c, seen``: every word of the texts (A-Z lowered), its count in those not held out, and in all."""
 
+    def flush(counts: dict[bool, Counter]) -> Iterator[pa.RecordBatch]:
+        for held, found in counts.items():
+            n = pa.array(found.values(), pa.int64())
+            words = pa.array(found.keys(), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.zeros(len(found), np.int64)) if held else n, n], ["word", "c", "seen"])
+            found.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = {True: Counter(), False: Counter()}
+        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for batch in slices(batches, _ROWS):
             for text, held in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 counts[held].update((text or b"").lower().split())
-            for held, found in counts.items():
-                n = pa.array(found.values(), pa.int64())
-                zero = pa.array(np.zeros(len(found), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), zero if held else n, n], ["word", "c", "seen"])
+            if sum(map(len, counts.values())) > _KEPT_WORDS:
+                yield from flush(counts)
+        yield from flush(counts)
 
     found = docs.select(F.col(text_col).alias("text"), held_out.alias("held")).mapInArrow(run, "word string, c bigint, seen bigint")
     return found.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
@@ -145,8 +186,7 @@ def fit(words: DataFrame, ends: int, logs: dict[str, float]) -> dict[str, float]
         lattice = Lattice(logs)
         counts = np.zeros(len(logs))
         for batch in batches:
-            for word, times in zip(*(c.to_pylist() for c in batch.columns)):
-                lattice.expect(word, times, counts)
+            lattice.expect(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), counts)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["piece", "expected"])
 
@@ -171,8 +211,8 @@ def _word_scores(words: DataFrame, logs: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(logs)
         for batch in batches:
-            scores = [lattice.forward(w) / math.log(10) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], ["word", "c", "seen", "log10"])
+            scores = lattice.forward(batch.column(0).to_pylist()) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], ["word", "c", "seen", "log10"])
 
     return words.mapInArrow(run, "word string, c bigint, seen bigint, log10 double")
 
@@ -234,7 +274,7 @@ def _known_parts(docs, id_col, text_col, held, known, counts, log10, room) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(known)}
         look_up, none = number.get, len(known)
-        for batch in batches:
+        for batch in slices(batches, _ROWS):
             rows, offsets, others, times = [], [0], [], []
             for text in text_bytes(batch.column(2)):
                 words = (text or b"").lower().split()

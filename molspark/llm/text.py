@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_PIECE = 1 << 20
+_PIECE, _ROWS = 1 << 20, 512
 _ARROW = {
     "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(),
     "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
@@ -20,6 +20,13 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, to bound what their texts take in Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_text(
     docs: DataFrame,
     text_col: str,
@@ -29,7 +36,7 @@ def per_text(
 ) -> DataFrame:
     """``keep`` columns as ``_0, _1, ...`` in order, then one column per entry of ``fields`` (name: type).
 
-    ``function`` gets the texts of one Arrow batch and returns a list per field.
+    ``function`` gets some texts of an Arrow batch and returns a list per field.
     Numbered names keep any column of ``docs`` from clashing with a field.
     """
     names = [f"_{i}" for i in range(len(keep))]
@@ -41,7 +48,7 @@ def per_text(
     kinds = [f"{n} {chosen.schema[n].dataType.simpleString()}" for n in names] + [f"{n} {t}" for n, t in fields.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, _ROWS):
             out = function(text_bytes(batch.column(within)))
             added = [pa.array(out[n], _ARROW[t]) for n, t in fields.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], [*names, *fields])
