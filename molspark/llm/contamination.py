@@ -6,9 +6,10 @@ every document. A block travels to the tasks; the documents are never shuffled,
 so neither a frequent passage nor a frequent source makes a task longer.
 
 Per block there are two scans of the texts. The first counts in how many
-documents each n-gram of the items occurs. The rarer half of each passage's
-n-grams, eight at least, become its seeds; this is relative to the passage, so a
-passage that a third of the corpus repeats is still found. The second scan cuts
+documents each n-gram of the items occurs. Of each passage's n-grams, those that
+are not much more frequent than its rarer quarter become its seeds, eight at least.
+This is relative to the passage, so one that a third of the corpus repeats is still
+found, and n-grams that outlive edits are not left out for it. The second scan cuts
 a window around each run of seed hits on nearby diagonals and aligns passage and
 window word by word. Words are runs of letters and digits, A-Z lowered, so
 punctuation and case do not hide a copy; edits, insertions and left-out words
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from molspark.llm.text import WordHasher, gram_hashes, text_bytes
 
 GRAM, MIN_WORDS, PASSAGE, STEP = 3, 8, 256, 128
-MIN_SEEDS, THRESHOLD = 8, 0.5
+MIN_SEEDS, SEED_SLACK, SEED_REACH, THRESHOLD = 8, 8, 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 500_000
 _CELLS = 1 << 20
@@ -85,12 +86,14 @@ class Block:
         return at[good], number[good]
 
     def keep_rare(self, counts: np.ndarray) -> None:
-        """Leaves the seeds: of each passage the rarer half of its grams, eight at least; ties by position."""
+        """Leaves the seeds: of each passage the grams found at most ``SEED_SLACK`` + ``SEED_REACH`` times as often as its lower quartile."""
         seeds = defaultdict(list)
         for passage, words in enumerate(self.words):
             numbers = np.searchsorted(self.grams, gram_hashes(words, GRAM))
-            order = np.argsort(counts[numbers], kind="stable")[: max(MIN_SEEDS, (len(numbers) + 1) // 2)]
-            for position in order.tolist():
+            found = counts[numbers]
+            order = np.argsort(found, kind="stable")
+            rare = int((found <= SEED_SLACK + SEED_REACH * np.quantile(found, 0.25)).sum())
+            for position in order[: max(MIN_SEEDS, rare)].tolist():
                 seeds[int(numbers[position])].append((passage, position))
         chosen = sorted(seeds)
         self.grams = self.grams[chosen]

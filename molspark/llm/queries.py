@@ -89,7 +89,7 @@ FROM urls LEFT JOIN best USING (page_id)""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, fitting rule and verdict of every page's url."""
     pages = _table(spark, folder, "pages")
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS rules(host, path, verdict)")
     return url_filter.judge(pages, rules, url_filter.hosts_named(pages, list(LISTED_NAMES)))
 
 

@@ -298,7 +298,11 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str
 
 
 def read_records(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """The records of a folder, with or without payloads; predicates on header columns are tested before unpacking."""
+    """The records of a folder, with or without payloads; predicates on header columns are tested before unpacking.
+
+    Filter the result once and take a new one for other predicates: Spark 4.1 keeps what
+    it has pushed with the relation, so a second filter of the same table sees the first.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload)).load(folder)
 
