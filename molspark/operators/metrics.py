@@ -22,7 +22,11 @@ def drop_unpredicted(df: DataFrame, columns: Sequence[str] = ("mean", "sigma"))
 def regression_metrics(
     df: DataFrame, keys: Sequence[str], true: str = "target", pred: str = "mean", sigma: str | None = None
 ) -> DataFrame:
-    """RMSE, MAE and R2 per key in one pass, with their propagated errors."""
+    """RMSE, MAE and R2 per key in one pass, with their propagated errors.
+
+    R2 and its error are null for a constant target or a single row, the error of
+    the RMSE is 0 for a perfect prediction.
+    """
     d = F.col(true) - F.col(pred)
     n = F.count(F.lit(1)).cast("double")
     ss_res = F.sum(d * d)
@@ -30,15 +34,15 @@ def regression_metrics(
     out = [
         F.sqrt(ss_res / n).alias("rmse"),
         (F.sum(F.abs(d)) / n).alias("mae"),
-        (1 - ss_res / ss_tot).alias("r2"),
+        (1 - F.try_divide(ss_res, ss_tot)).alias("r2"),
     ]
     if sigma is not None:
         e2 = F.col(sigma) * F.col(sigma)
         weighted = F.sum(d * d * e2)
         out += [
-            F.sqrt(weighted / n / ss_res).alias("rmse_sigma"),
+            F.when(ss_res == 0, 0.0).otherwise(F.sqrt(F.try_divide(weighted / n, ss_res))).alias("rmse_sigma"),
             (F.sqrt(F.sum(e2)) / n).alias("mae_sigma"),
-            (2 / ss_tot * F.sqrt(weighted)).alias("r2_sigma"),
+            F.try_divide(2 * F.sqrt(weighted), ss_tot).alias("r2_sigma"),
         ]
     return df.groupBy(*keys).agg(*out)
 
@@ -61,7 +65,7 @@ def _counts_to_metrics(keys: Sequence[str | Column]) -> list[str | Column]:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return [
         *keys,
-        ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
+        _ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from molspark.operators.shaping import match_keys
 from molspark.staging import broadcast_checked, stage
 
 _PART, _LOCAL = "_part", "_local"
@@ -47,7 +48,7 @@ def ordinal(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), na
     )
     # one row per partition, and per key it holds
     carry = F.broadcast(carry) if not keys else broadcast_checked(carry, CARRY_LIMIT)
-    return rows.join(carry, [*keys, _PART]).withColumn(
+    return match_keys(rows, carry, [*keys, _PART]).withColumn(
         name, F.col(_LOCAL) + F.col("_shift")
     ).drop(_PART, _LOCAL, "_shift")
 
@@ -81,7 +82,7 @@ def prefix(
     if not keys:  # one row per partition
         carry = F.broadcast(carry)
     inside = Window.partitionBy(*keys, _PART).orderBy(_LOCAL).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(carry, [*keys, _PART])
+    out = match_keys(rows, carry, [*keys, _PART])
     for n, (op, c) in totals.items():
         out = out.withColumn(n, merge[op](F.col(f"_c_{n}"), fn[op](c).over(inside)))
     return out.drop(_PART, _LOCAL, *[f"_c_{n}" for n in totals])
@@ -135,7 +136,7 @@ def order_statistics(
         ).alias("_b"),
     )
     if keys:
-        tagged = data.join(brackets, keys).select(*keys, "n", "_x", F.explode("_b").alias("b"))
+        tagged = match_keys(data, brackets, keys).select(*keys, "n", "_x", F.explode("_b").alias("b"))
     else:  # one row: its values become literals, which the scan can filter by
         row, kind = brackets.first(), brackets.schema["_b"].dataType.elementType
         found = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in kind]) for b in row["_b"]]
@@ -171,6 +172,12 @@ def order_statistics(
     )
 
 
+def has_value(df: DataFrame, column: str) -> Column:
+    """Neither null nor, for floating point columns, NaN."""
+    real = F.col(column).isNotNull()
+    return real & ~F.isnan(column) if df.schema[column].dataType.typeName() in ("double", "float") else real
+
+
 def kth_value(df: DataFrame, value: str, k: int, n: int) -> object:
     """Exact k-th largest value (1-based) among ``n`` rows."""
     stat = order_statistics(df, value, {"cut": (n - k) / max(n - 1, 1)}, [], {"cut": F.lit(float(n - k))})
@@ -178,11 +185,11 @@ def kth_value(df: DataFrame, value: str, k: int, n: int) -> object:
 
 
 def top_rows(df: DataFrame, value: str, unique_id: str, k: int, n: int | None = None) -> DataFrame:
-    """The k rows of largest ``value``, ties by ascending numeric id.
+    """The k rows of largest ``value``, ties by ascending numeric id; null and NaN values take no part.
 
     Column scans find the cut; the rows themselves are then only filtered.
     """
-    df = df.where(F.col(value).isNotNull())
+    df = df.where(has_value(df, value))
     n = df.count() if n is None else n
     if k >= n:
         return df

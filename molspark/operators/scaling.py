@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from molspark.operators.rank import order_statistics
+from molspark.operators.shaping import match_keys
 
 
 def fit_robust(train: DataFrame, value: str, keys: Sequence[str] = ("fold",)) -> DataFrame:
@@ -22,15 +23,15 @@ def fit_robust(train: DataFrame, value: str, keys: Sequence[str] = ("fold",)) ->
 
 
 def transform(df: DataFrame, scaler: DataFrame, value: str, out: str, keys: Sequence[str] = ("fold",)) -> DataFrame:
-    """Scale by the row's fold. A saved scaler is a tiny table, which Spark
-    broadcasts by its size."""
-    return df.join(scaler, list(keys)).withColumn(
+    """Scale by the row's fold; null where its fold has no scaler row. A saved
+    scaler is a tiny table, which Spark broadcasts by its size."""
+    return match_keys(df, scaler, list(keys), "left").withColumn(
         out, (F.col(value) - F.col("center")) / F.col("scale")
     ).drop("center", "scale")
 
 
 def inverse_transform(df: DataFrame, scaler: DataFrame, value: str, out: str, keys: Sequence[str] = ("fold",)) -> DataFrame:
-    return df.join(scaler, list(keys)).withColumn(
+    return match_keys(df, scaler, list(keys), "left").withColumn(
         out, F.col(value) * F.col("scale") + F.col("center")
     ).drop("center", "scale")
 
@@ -44,6 +45,6 @@ def min_max(df: DataFrame, value: str, out: str, keys: Sequence[str]) -> DataFra
     keys = list(keys)
     ends = df.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
     span = F.col("_max") - F.col("_min")
-    return df.join(ends, keys).withColumn(
+    return match_keys(df, ends, keys).withColumn(
         out, F.when(span == 0, 0.0).otherwise((F.col(value) - F.col("_min")) / span)
     ).drop("_min", "_max")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from molspark.functions.tokens import PAD_ID
 from molspark.functions.validity import is_neutral, is_valid
-from molspark.operators.rank import top_rows
+from molspark.operators.rank import has_value, top_rows
 
 
 def keep_valid(df: DataFrame, text: str = "smiles", plug_in: Column | None = None) -> DataFrame:
@@ -26,13 +26,14 @@ def keep_positive(df: DataFrame, prob: str = "property") -> DataFrame:
 
 
 def top_fraction(df: DataFrame, value: str, unique_id: str, cutoff: float = 0.5) -> DataFrame:
-    """The best ``ceil(n * cutoff)`` rows by descending value."""
-    n = df.where(F.col(value).isNotNull()).count()
+    """The best ``ceil(n * cutoff)`` of the ``n`` rows that have a value, null and NaN aside, by descending value."""
+    n = df.where(has_value(df, value)).count()
     return top_rows(df, value, unique_id, math.ceil(n * cutoff), n)
 
 
 def top_and_bottom(df: DataFrame, value: str, unique_id: str, n_top: int, n_bottom: int) -> DataFrame:
-    """Report rows from both ends with an ``end`` flag; short lists overlap."""
+    """Report rows from both ends with an ``end`` flag; short lists overlap, rows without a value are left out."""
+    df = df.where(has_value(df, value))
     best = [F.col(value).desc(), F.col(unique_id).asc()]
     worst = [F.col(value).asc(), F.col(unique_id).desc()]
     top = df.orderBy(*best).limit(n_top).withColumn("end", F.lit("top"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +20,17 @@ def unnest(df: DataFrame, keep: Sequence[str | Column], values: Column, name: st
     return rows if pos else rows.drop("_pos")
 
 
+def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the key columns appear once.
+
+    A plain join on a nullable key drops its null rows, which would lose rows of
+    every "aggregate, then join back" step.
+    """
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
+    return left.join(other, same, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def fill_strings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing strings become empty."""
     return df.na.fill("", list(columns))

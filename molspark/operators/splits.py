@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from molspark.functions.hashing import leading_bits, seeded_digest, uniform
 from molspark.operators.rank import ordinal
+from molspark.operators.shaping import match_keys
 from molspark.staging import stage
 
 BUCKET_DIGITS = 4
@@ -57,14 +58,16 @@ def quota_labels(
     run = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     sized = cuts(buckets.groupBy(*strata).agg(F.sum("_c").alias("n")))
     targets = (
-        buckets.withColumn("_end", F.sum("_c").over(run))
-        .join(small(sized.select(*strata, F.posexplode("cuts").alias("_i", "_cut"))), strata)
+        match_keys(
+            buckets.withColumn("_end", F.sum("_c").over(run)),
+            small(sized.select(*strata, F.posexplode("cuts").alias("_i", "_cut"))), strata,
+        )
         .where("_cut >= _end - _c AND _cut < _end")
         .select(*strata, "_b", "_i", (F.col("_cut") - F.col("_end") + F.col("_c") + 1).alias("_nth"))
     )
     inside = Window.partitionBy(*strata, "_b", "_i").orderBy("_h")
     borders = (
-        order.join(small(targets), [*strata, "_b"])
+        match_keys(order, small(targets), [*strata, "_b"])
         .withColumn("_rn", F.row_number().over(inside))
         .where("_rn = _nth")
         .groupBy(*strata)
@@ -73,7 +76,7 @@ def quota_labels(
     reached = F.when(F.col("_borders").isNull(), 0).otherwise(
         F.size(F.filter("_borders", lambda c: c <= F.col("_h")))
     )
-    labeled = df.withColumn("_h", digest).join(small(borders), strata, "left").withColumn(label, reached)
+    labeled = match_keys(df.withColumn("_h", digest), small(borders), strata, "left").withColumn(label, reached)
     return labeled.drop("_h", "_borders", "_all")
 
 
@@ -151,7 +154,7 @@ def group_kfold(df: DataFrame, group: str, k: int, seed: int = 42) -> DataFrame:
         groups, group, seed, lambda s: s.join(planned, "_size"), strata=["_size"],
         n_strata=len(sizes), label="fold",
     )
-    return df.join(folds.select(group, "fold"), group)
+    return match_keys(df, folds.select(group, "fold"), [group])
 
 
 def train_share(n: Column, share: str) -> Column:
@@ -200,9 +203,9 @@ def select_members(df: DataFrame, folds: Sequence[int] | None = None, runs: Sequ
 
 
 def group_numbers(df: DataFrame, column: str, name: str = "group_no") -> DataFrame:
-    """Dense number of equal values in ascending order, from 0."""
+    """Dense number of equal values in ascending order, from 0; nulls come first."""
     numbered = ordinal(df.select(column).distinct(), [F.col(column)], name=name)
-    return df.join(numbered, column)
+    return match_keys(df, numbered, [column])
 
 
 def minibatches(df: DataFrame, order: Sequence[Column], batch_size: int) -> DataFrame:

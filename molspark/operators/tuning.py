@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from molspark.functions.hashing import seeded_digest
 from molspark.operators.rank import ordinal, prefix
 from molspark.operators.scaling import min_max
+from molspark.operators.shaping import match_keys
 
 
 def stitch_history(history: DataFrame, run: str = "run", phase: str = "phase", epoch: str = "epoch") -> DataFrame:
@@ -22,7 +22,7 @@ def stitch_history(history: DataFrame, run: str = "run", phase: str = "phase", e
     lengths = history.groupBy(run, phase).agg((F.max(epoch) + 1).alias("_len"))
     after = prefix(lengths, [F.col(phase)], {"_done": ("sum", "_len")}, [run])
     offsets = after.select(run, phase, (F.col("_done") - F.col("_len")).alias("_offset"))
-    return history.join(offsets, [run, phase]).withColumn(
+    return match_keys(history, offsets, [run, phase]).withColumn(
         "total_epoch", F.col(epoch) + F.col("_offset")
     ).drop("_offset")
 
@@ -71,31 +71,36 @@ def best_configuration(scores: DataFrame, config: Sequence[str], score: str = "s
 
 def stability_score(preds: DataFrame, config: str = "config_id", weight: str = "weight", pred: str = "pred") -> DataFrame:
     """Variation of variation: per (config, weight) deviation over mean of the
-    min-max scaled predictions, then deviation over mean of those per config."""
+    min-max scaled predictions, then deviation over mean of those per config.
+
+    A weight of constant predictions has no ratio and takes no part; without any
+    ratio, or with a mean of 0, the score is null.
+    """
     scaled = min_max(preds, pred, "_p", [config, weight])
-    ratio = scaled.groupBy(config, weight).agg((F.stddev_pop("_p") / F.avg("_p")).alias("_r"))
-    return ratio.groupBy(config).agg((F.stddev_pop("_r") / F.avg("_r")).alias("score"))
+    ratio = scaled.groupBy(config, weight).agg(F.try_divide(F.stddev_pop("_p"), F.avg("_p")).alias("_r"))
+    return ratio.groupBy(config).agg(F.try_divide(F.stddev_pop("_r"), F.avg("_r")).alias("score"))
 
 
 def least_correlated_weights(preds: DataFrame, weight: str = "weight", sample: str = "sample_id", pred: str = "pred", keep: int = 6) -> DataFrame:
-    """Weights whose sample orderings agree least with any later weight.
+    """``weight, max_corr``: the weights whose sample orderings agree least with any later weight.
 
-    Ordering samples by prediction gives one permutation per weight; the
-    correlation of permutations comes from one pass over a (rank x weight)
-    table. Only the weight x weight matrix reaches the driver.
+    Samples are numbered 0, 1, ... by their id, so gaps between ids have no effect.
+    Ordering them by prediction gives one permutation of these numbers per weight; a
+    vector per rank holds the number that each weight puts there, and one pass over
+    the vectors gives all correlations. Every weight must score every sample.
     """
-    ranked = ordinal(preds, [F.col(pred), F.col(sample)], [weight], name="rank")
-    weights = bound_values(preds, weight)
-    wide = ranked.groupBy("rank").agg(
-        *[F.max(F.when(F.col(weight) == w, F.col(sample))).cast("double").alias(f"w{i}") for i, w in enumerate(weights)]
-    )
-    vectors = wide.select(array_to_vector(F.array(*[f"w{i}" for i in range(len(weights))])).alias("v"))
-    corr = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
-    top = np.triu(corr, 1).max(axis=1)
-    chosen = sorted(np.argsort(top, kind="stable")[:keep])
-    return preds.sparkSession.createDataFrame(
-        [(float(weights[i]), float(top[i])) for i in chosen], "weight double, max_corr double"
-    )
+    numbers = ordinal(preds.select(sample).distinct(), [F.col(sample)], name="_no")
+    weights = ordinal(preds.select(weight).distinct(), [F.col(weight)], name="_w")
+    placed = preds.join(numbers, sample).join(weights, weight)
+    ranked = ordinal(placed, [F.col(pred), F.col("_no")], ["_w"], name="rank")
+    entries = F.array_sort(F.collect_list(F.struct("_w", "_no")))  # as many as there are weights
+    vectors = ranked.groupBy("rank").agg(F.transform(entries, lambda e: e["_no"].cast("double")).alias("v"))
+    matrix = Correlation.corr(vectors.select(array_to_vector("v").alias("v")), "v", "pearson").first()[0].toArray()
+    cells = [(i, float(c)) for i, row in enumerate(matrix) for j, c in enumerate(row) if i < j]  # weights squared
+    later = preds.sparkSession.createDataFrame(cells, "_w bigint, corr double")
+    highest = later.groupBy("_w").agg(F.max("corr").alias("corr"))
+    scored = weights.join(highest, "_w", "left").withColumn("max_corr", F.greatest(F.lit(0.0), F.coalesce("corr", F.lit(0.0))))
+    return scored.orderBy("max_corr", "_w").limit(keep).select(F.col(weight).cast("double").alias("weight"), "max_corr")
 
 
 def common_weights(chosen: DataFrame, weight: str = "weight") -> DataFrame:
@@ -104,12 +109,9 @@ def common_weights(chosen: DataFrame, weight: str = "weight") -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc(weight)).offset(1).limit(5)
 
 
-def bound_values(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Sorted distinct values of a column that serves as a bound list."""
-    rows = df.select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values")
-    return sorted(r[0] for r in rows)
+def bound_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of a column that serves as a bound list, nulls left out."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def parameter_grid(spark: SparkSession, bounds: dict[str, Sequence]) -> DataFrame:
@@ -133,6 +135,10 @@ def draw_configurations(grid: DataFrame, n: int = 20, seed: int = 21) -> DataFra
     return grid.orderBy(digest, *grid.columns).limit(n)
 
 
+# The factors and the powers of ten of the weight grid.
+GRID_FACTORS, GRID_POWERS = (1, 3, 6), range(-6, 6)
+
+
 def weight_grid() -> list[float]:
-    """1, 3 and 6 times the powers of ten from -6 to 5."""
-    return [i * 10.0**j for j in range(-6, 6) for i in (1, 3, 6)]
+    """Every factor times every power of ten, ascending."""
+    return sorted(factor * 10.0**power for factor in GRID_FACTORS for power in GRID_POWERS)
