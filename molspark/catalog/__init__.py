@@ -1,3 +1,3 @@
 """All registered queries."""
 
-from molspark.catalog import base, flows, joins, metrics, scans, selection, splits, tokens, tuning  # noqa: F401
+from molspark.catalog import awkward, base, flows, joins, metrics, scans, selection, splits, tokens, tuning  # noqa: F401
