@@ -16,7 +16,7 @@ from molspark.staging import stage
 
 # --- linear members over encoded tokens -----------------------------------
 
-WIDTH, FOLDS, RUNS = 12, 2, 2
+FOLDS, RUNS = 2, 2
 
 
 def linear_score(df):
@@ -39,7 +39,7 @@ def encoded_variants(spark, sf):
         table(spark, sf, "part").select(tk.tokenize(F.col("p_name")).alias("tokens"))
     ), "vocabulary")
     keyed = rows.withColumn("_row", F.concat_ws("|", "src_id", "variant_no"))
-    return vocabulary.encode(keyed, vocab, WIDTH, "_row").select("src_id", "variant_no", "ids")
+    return vocabulary.encode(keyed, vocab, None, "_row").select("src_id", "variant_no", "ids")
 
 
 _LINEAR = f"""voc AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT DISTINCT unnest({tok('p_name')}) AS token FROM part)),
@@ -47,7 +47,7 @@ rot AS (SELECT DISTINCT p_partkey, list_concat(t[k + 1:], t[:k]) AS t FROM
  (SELECT p_partkey, t, unnest(range(len(t))) AS k FROM (SELECT p_partkey, {body('p_name')} AS t FROM part))),
 toks AS (SELECT p_partkey, list_concat([' '], t, [' ']) AS t FROM rot UNION ALL SELECT p_partkey, [' ', ' '] FROM part WHERE len({body('p_name')}) = 0),
 vars AS (SELECT *, row_number() OVER () AS v FROM toks),
-pos AS (SELECT p_partkey, v, unnest(t) AS token, unnest(range(len(t))) - len(t) + {WIDTH} AS p FROM vars),
+pos AS (SELECT p_partkey, v, unnest(t) AS token, unnest(range(len(t))) - len(t) + (SELECT max(len(t)) + 1 FROM vars) AS p FROM vars),
 members AS (SELECT f, r FROM (SELECT unnest(range({FOLDS})) AS f), (SELECT unnest(range({RUNS})) AS r)),
 preds AS (SELECT p_partkey, v, f, r, sum(((id * 7 + f * 3 + r) % 11) * (p + 1)) / 100.0::DOUBLE AS pred
  FROM pos JOIN voc USING (token), members WHERE p >= 0 GROUP BY ALL)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from molspark.catalog.base import query, r6, table, tok
 from molspark.functions import scores, tokens as tk
@@ -21,6 +21,26 @@ def _(spark, sf):
     return readers.read_labeled(spark, path)
 
 
+_ODD = """CASE c_custkey % 5 WHEN 0 THEN 'a"b' WHEN 1 THEN concat('l1', chr(10), 'l2') WHEN 2 THEN 'x,y' WHEN 3 THEN concat('C', chr(92), 'N') ELSE ' ' END"""
+
+
+@query("src1_csv_columns_by_name", f"SELECT concat(c_name, {_ODD}) AS smiles, c_acctbal AS property FROM customer")
+def _(spark, sf):
+    """Swapped and further columns; quotes, backslashes, commas and line breaks in values."""
+    path = fresh_path(spark, "labeled")
+    rows = table(spark, sf, "customer").selectExpr("c_custkey AS id", "c_acctbal AS property", f"concat(c_name, {_ODD}) AS smiles", "c_mktsegment AS note")
+    writers.write_csv(rows, path)
+    return readers.read_labeled(spark, path)
+
+
+@query("src8_iteration_dump_breaks", f"SELECT concat({_ODD}, c_name) AS smiles, c_acctbal AS property, 2 AS iter FROM customer")
+def _(spark, sf):
+    folder = fresh_path(spark, "dumps")
+    rows = table(spark, sf, "customer").selectExpr(f"concat({_ODD}, c_name) AS smiles", "c_acctbal AS property")
+    writers.dump_iteration(rows, rows, folder, 2)
+    return readers.read_table(spark, f"{folder}/labeled", T.StructType.fromDDL("smiles string, property double, iter int"))
+
+
 @query("src1_csv_unlabeled", "SELECT s_name AS smiles FROM supplier")
 def _(spark, sf):
     path = fresh_path(spark, "unlabeled")
@@ -37,7 +57,7 @@ def _(spark, sf):
     return readers.read_smi(spark, path)
 
 
-@query("src3_sdf_records", """SELECT c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 0 THEN NULL
+@query("src3_sdf_records", """SELECT c_name AS name, c_mktsegment || chr(10) || 'and ' || c_name AS "segment+", CASE WHEN c_custkey % 3 = 0 THEN NULL
 ELSE c_nationkey::VARCHAR END AS nation FROM customer""")
 def _(spark, sf):
     path = fresh_path(spark, "records")
@@ -45,10 +65,10 @@ def _(spark, sf):
         F.col("c_custkey") % 3 != 0, F.concat(F.lit("> <nation>\n"), F.col("c_nationkey").cast("string"), F.lit("\n\n"))
     ).otherwise("")
     record = F.concat(
-        "c_name", F.lit("\n  made\n\n  0  0\nM  END\n> <segment>\n"), "c_mktsegment", F.lit("\n\n"), nation
+        "c_name", F.lit("\n  made\n\n  0  0\nM  END\n> <segment+>\n"), "c_mktsegment", F.lit("\nand "), "c_name", F.lit("\n\n"), nation
     )
     table(spark, sf, "customer").select(record.alias("value")).write.text(path, lineSep="$$$$\n")
-    return readers.read_sdf(spark, path, ["segment", "nation"])
+    return readers.read_sdf(spark, path, ["segment+", "nation"])
 
 
 @query("src4_fragment_scores", """WITH r AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS o FROM lineitem),
@@ -114,9 +134,8 @@ def _(spark, sf):
     pick = lambda df: df.select(F.col("p_name").alias("smiles"), F.col("p_retailprice").alias("property"))
     writers.dump_iteration(pick(rows.where("p_size > 25")), pick(rows), folder, 3)
     writers.write_ranked(pick(rows.where("p_size > 25")), f"{folder}/ranked/iter=3")
-    back = lambda kind: spark.read.csv(
-        f"{folder}/{kind}", header=True, schema="smiles string, property double, iter int"
-    ).select(F.lit(kind).alias("kind"), "smiles", "property", "iter")
+    schema = T.StructType.fromDDL("smiles string, property double, iter int")
+    back = lambda kind: readers.read_table(spark, f"{folder}/{kind}", schema).select(F.lit(kind).alias("kind"), "smiles", "property", "iter")
     return back("selected").unionByName(back("labeled")).unionByName(back("ranked"))
 
 
@@ -127,7 +146,7 @@ def _(spark, sf):
         "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("mean"), F.col("l_tax").alias("sigma")
     )
     writers.write_csv(rows, path)
-    return spark.read.csv(path, header=True, schema=rows.schema)
+    return readers.read_table(spark, path, rows.schema)
 
 
 @query("src10_score_report", """SELECT p_name AS smiles, p_brand AS "Name", CASE WHEN p_size % 7 = 0 THEN 'None' ELSE

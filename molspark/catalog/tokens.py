@@ -51,14 +51,13 @@ _ENCODED = f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 A
  (SELECT DISTINCT unnest({tok('p_brand')}) AS token FROM part)),
 m AS (SELECT map(list(token), list(token_id)) AS m FROM v),
 e AS (SELECT p_partkey, list_transform({tok('p_name')}, lambda x: coalesce(m[x], 1)) AS i FROM part, m),
-f AS (SELECT p_partkey, list_concat(CASE WHEN len(i) < 8 THEN list_transform(range(8 - len(i)), lambda q: 0) ELSE [] END,
- i[-8:]) AS ids FROM e)"""
+f AS (SELECT p_partkey, list_concat(list_transform(range((SELECT max(len(i)) + 1 FROM e) - len(i)), lambda q: 0), i) AS ids FROM e)"""
 
 
 def _encoded_parts(spark, sf, how):
     part = table(spark, sf, "part").select("p_partkey", tk.tokenize(F.col("p_name")).alias("tokens"))
     vocab = vocabulary.build_vocabulary(table(spark, sf, "part").select(tk.tokenize(F.col("p_brand")).alias("tokens")))
-    return how(part, stage(vocab, "vocabulary"), 8, "p_partkey")
+    return how(part, stage(vocab, "vocabulary"), None, "p_partkey")
 
 
 @query("scl3_encode", f"{_ENCODED} SELECT p_partkey, {list_text('ids')} AS ids FROM f")
@@ -82,24 +81,40 @@ def _(spark, sf):
     return vocabulary.lookup_tokens(docs, known).groupBy("doc_id", "token_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scl4_dictionaries", f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM
- (SELECT DISTINCT unnest({tok('p_name')}) AS token FROM part))
-SELECT p_partkey, v.token, token_id::INT AS token_id, v.token AS back FROM
- (SELECT p_partkey, {body('p_name')}[1] AS token FROM part) JOIN v USING (token)""")
+# Every document with bracket tokens of its own, so that there are far more than a map literal takes.
+_MANY = "concat('[', CAST(doc_id % 5000 AS STRING), ']', text, '[', CAST(doc_id % 977 AS STRING), 'H]')"
+
+
+@query("scl4_dictionaries", f"""WITH t AS (SELECT doc_id, {tok(_MANY)} AS t FROM documents),
+v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM (SELECT DISTINCT unnest(t) AS token FROM t))
+SELECT doc_id, token, token_id::INT AS token_id, token AS back, count(*) AS n FROM (SELECT doc_id, unnest(t) AS token FROM t) JOIN v USING (token) GROUP BY ALL""")
 def _(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", tk.tokenize(F.col("p_name")).alias("tokens"))
-    entries = vocabulary.vocabulary_list(vocabulary.build_vocabulary(part), 10_000)
-    first = part.where(F.size("tokens") > 2).select("p_partkey", F.col("tokens")[1].alias("token"))
-    ids = first.withColumn("token_id", vocabulary.forward_map(entries)[F.col("token")])
-    return ids.withColumn("back", tk.decode(F.array("token_id"), entries))
+    docs = heavy(spark, sf, "documents").select("doc_id", tk.tokenize(F.expr(_MANY)).alias("tokens"))
+    vocab = stage(vocabulary.build_vocabulary(docs), "vocabulary")
+    ids = vocabulary.lookup_tokens(docs, vocab).groupBy("doc_id", "token", "token_id").agg(F.count("*").alias("n"))
+    back = vocab.select("token_id", F.col("token").alias("back"))
+    return ids.join(back, "token_id").select("doc_id", "token", "token_id", "back", "n")
+
+
+@query("scl5_decode", f"SELECT doc_id, array_to_string({body(_MANY)}, '') AS decoded FROM documents")
+def _(spark, sf):
+    docs = heavy(spark, sf, "documents").select("doc_id", tk.tokenize(F.expr(_MANY)).alias("tokens"))
+    vocab = stage(vocabulary.build_vocabulary(docs), "vocabulary")
+    return vocabulary.decode(_ids_of(docs, vocab), vocab, "doc_id").select("doc_id", "decoded")
+
+
+def _ids_of(docs, vocab):
+    """Ids of every token, as many as a row has."""
+    pairs = vocabulary.lookup_tokens(docs, vocab).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("p"))
+    return pairs.select("doc_id", F.col("p.token_id").alias("ids"))
 
 
-@query("scl5_decode", f"SELECT p_partkey, array_to_string({body('p_name')}, '') AS decoded FROM part")
+@query("scl5_decode_names", f"SELECT p_partkey, array_to_string({body('p_name')}, '') AS decoded FROM part")
 def _(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", tk.tokenize(F.col("p_name")).alias("tokens"))
     vocab = stage(vocabulary.build_vocabulary(part), "vocabulary")
-    coded = vocabulary.encode(part, vocab, 40, "p_partkey")
-    return coded.select("p_partkey", tk.decode(F.col("ids"), vocabulary.vocabulary_list(vocab)).alias("decoded"))
+    coded = vocabulary.encode(part, vocab, None, "p_partkey")
+    return vocabulary.decode(coded, vocab, "p_partkey").select("p_partkey", "decoded")
 
 
 @query("scl6_rotate", f"""WITH t AS (SELECT p_partkey, {tok('p_name')} AS t, (p_partkey % 13)::INT % len({tok('p_name')}) AS k FROM part)

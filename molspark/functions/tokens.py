@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# The token alternatives, the sentinel, the multi-string joint and
-# the two reserved vocabulary entries. Every alternative starts with a different
-# character, so the single characters can share one class.
+# The token alternatives, the sentinel, the multi-string joint, the
+# two reserved vocabulary entries and the tokens that carry no atom. Every token
+# alternative starts with a character of its own, so their order has no effect and
+# the single characters stand in one class.
 TOKEN_PATTERN = r"([*NOSPFIbcnospj=#$:/()0-9-]|Cl?|Br?|\[[^\n]*?\]|\|\.|%[0-9]{2})"
 SENTINEL = " "
 JOINT = "j"
@@ -120,5 +121,5 @@ def is_structural(token: Column) -> Column:
 def decode(ids: Column, vocabulary: list[str]) -> Column:
     """String from ids: padding and sentinels dropped; index = token id."""
     known = F.array(*[F.lit(t) for t in vocabulary])
-    names = F.transform(F.filter(ids, lambda i: i != PAD_ID), lambda i: F.element_at(known, i + 1))
+    names = F.transform(F.filter(ids, lambda i: i != PAD_ID), lambda i: F.get(known, i))
     return F.array_join(F.filter(names, lambda t: t != SENTINEL), "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -15,11 +16,19 @@ MODEL_NAME = r"_Model_Fold_([0-9]+)_Run_([0-9]+)\."
 OUTPUT_SCALER, EXTRA_SCALER = "Outputs", "Extra"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header; strings are kept as written. An empty table is an error."""
-    df = spark.read.csv(
-        path, header=True, schema=schema, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    )
+# How tables are written and read back: strings as they are, quotes doubled inside quotes.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """The columns of ``schema`` from CSV, found by their names in the header; others are ignored.
+
+    A missing column, a row of another length, a malformed number and an empty table
+    are errors. With ``multi_line`` values may hold line breaks; without it a large
+    file is split over tasks.
+    """
+    raw = spark.read.csv(path, multiLine=multi_line, mode="FAILFAST", **CSV_OPTIONS)
+    df = raw.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema))
     if df.isEmpty():
         raise ValueError(f"no rows in {path}")
     return df
@@ -42,12 +51,20 @@ def read_smi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sdf(spark: SparkSession, path: str, tags: Sequence[str]) -> DataFrame:
-    """Records ended by ``$$$$``: title line and the value under each ``> <tag>``."""
-    records = spark.read.text(path, lineSep="$$$$\n").where(F.trim("value") != "")
+    """Records ended by ``$$$$``: title line and the whole value under each ``> <tag>``.
+
+    A value runs to the next blank line or tag and may have several lines. Files with
+    carriage returns are recognised by their first line.
+    """
+    first = spark.read.text(path, lineSep="\n").first()
+    end = "\r\n" if first is not None and first[0].endswith("\r") else "\n"
+    records = spark.read.text(path, lineSep=f"$$$${end}").where(F.trim("value") != "")
+    records = records.select(F.replace("value", F.lit(end), F.lit("\n")).alias("value"))
 
     def tagged(tag):
-        found = F.regexp_extract("value", rf"> *<{tag}>[^\n]*\n([^\n]*)", 1)
-        return F.when(F.col("value").contains(f"<{tag}>"), found)
+        header = rf"(?:^|\n)> *<{re.escape(tag)}>[^\n]*(?:\n|$)"
+        lines = F.regexp_extract("value", header + r"((?:(?!> *<)[^\n]+(?:\n|$))*)", 1)
+        return F.when(F.col("value").rlike(header), F.regexp_replace(lines, r"\n\z", ""))
 
     return records.select(
         F.substring_index("value", "\n", 1).alias("name"), *[tagged(t).alias(t) for t in tags]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from molspark.sources.readers import read_saved
+from molspark.sources.readers import CSV_OPTIONS, read_saved
 
 VOCABULARY_SCHEMA = "token string, token_id int"
 
@@ -30,10 +30,8 @@ def saved_scaler(spark: SparkSession, path: str, build: Callable[[], DataFrame])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; blanks around strings are kept."""
-    df.write.csv(
-        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    )
+    """CSV with a header; blanks, quotes, backslashes and line breaks in strings are kept."""
+    df.write.csv(path, **CSV_OPTIONS)
 
 
 def dump_iteration(selected: DataFrame, labeled: DataFrame, folder: str, iteration: int) -> None:

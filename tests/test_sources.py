@@ -60,3 +60,24 @@ def test_score_report(spark, tmp_path):
     writers.write_score_report(df, str(tmp_path / "r"))
     text = "".join(f.read_text() for f in (tmp_path / "r").glob("part-*"))
     assert "C\ta\t1.250000" in text and "N\tc\tNone" in text and "\tb\t" not in text
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,property,smiles\n1,2.5,"a ""b"", c\nnext"\n2,-1,C\\N\n')
+    rows = readers.read_labeled(spark, str(tmp_path / "a.csv")).collect()
+    assert [tuple(r) for r in rows] == [('a "b", c\nnext', 2.5), ("C\\N", -1.0)]
+
+
+@pytest.mark.parametrize("text", ["smiles,property\nC,abc\n", "smiles,property\nC,1,2\n", "smiles,value\nC,1\n"])
+def test_malformed_tables_are_errors(spark, tmp_path, text):
+    (tmp_path / "a.csv").write_text(text)
+    with pytest.raises(Exception):
+        readers.read_labeled(spark, str(tmp_path / "a.csv")).collect()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_sdf_values_of_several_lines(spark, tmp_path, end):
+    text = "\nline\n\nM  END\n> <note+>\none\ntwo\n\n> <b>\nx\n> <c>\n$$$$\nm2\n\n\nM  END\n> <b>\n\n$$$$\n"
+    (tmp_path / "a.sdf").write_bytes(text.replace("\n", end).encode())
+    rows = readers.read_sdf(spark, str(tmp_path / "a.sdf"), ["note+", "b", "c", "d"]).collect()
+    assert sorted(tuple(r) for r in rows) == [("", "one\ntwo", "x", "", None), ("m2", None, "", None, None)]
