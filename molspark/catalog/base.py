@@ -97,5 +97,10 @@ def grams(tokens: str, n: int) -> str:
             f"ELSE [] END FROM (SELECT {tokens} AS _g))")
 
 
+def set_sql(tokens: str, n: int = 8) -> str:
+    """Sorted distinct hashes of n-grams."""
+    return f"list_sort(list_distinct(list_transform({grams(tokens, n)}, lambda g: {hexint('md5(g)')})))"
+
+
 def bits_sql(tokens: str, n: int = 2) -> str:
     return f"list_sort(list_distinct(list_transform({grams(tokens, n)}, lambda g: {hexint('md5(g)')} % 2048)))"

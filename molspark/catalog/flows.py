@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molspark.catalog.base import heavy, MOLECULES_SQL, bits_sql, molecules, query, r6, table, tok
+from molspark.catalog.base import heavy, MOLECULES_SQL, set_sql, molecules, query, r6, table, tok
 from molspark.catalog.joins import molecule_scorer, pairs_sql
 from molspark.catalog.selection import accepted_sql
 from molspark.functions import tokens as tk
@@ -102,21 +102,20 @@ def _(spark, sf):
 
 
 def _hist_sql(name: str) -> str:
-    return f"""e_{name} AS (SELECT min(sim) AS a, max(sim) AS z, sum(n_pairs) AS n FROM {name}_dist),
-h_{name} AS (SELECT least(floor((sim - a) / ((z - a) / 50)), 49)::INT AS bin, sum(n_pairs) AS c FROM {name}_dist, e_{name} GROUP BY 1),
-o_{name} AS (SELECT '{name}' AS series, b::INT AS bin, round(a + b * ((z - a) / 50), 6) AS lo, round(a + (b + 1) * ((z - a) / 50), 6) AS hi,
- round(coalesce(c, 0) / (n * ((z - a) / 50)), 6) AS density FROM (SELECT unnest(range(50)) AS b) LEFT JOIN h_{name} ON bin = b, e_{name})"""
+    return f"""h_{name} AS (SELECT CASE WHEN sim IS NULL THEN -1 ELSE least(floor((sim - 0.5) / 0.01 + 1e-9), 49) END::INT AS bin, sum(n_pairs) AS n FROM {name}_dist GROUP BY 1),
+o_{name} AS (SELECT '{name}' AS series, b::INT AS bin, CASE WHEN b < 0 THEN 0 ELSE round(0.5 + b * 0.01::DOUBLE, 6) END AS lo,
+ round(0.5 + (b + 1) * 0.01::DOUBLE, 6) AS hi, coalesce(n, 0)::BIGINT AS n_pairs FROM (SELECT unnest(range(-1, 50)) AS b) LEFT JOIN h_{name} ON bin = b)"""
 
 
-@query("ml11_similarity_report", f"""WITH ft AS (SELECT item_id AS id, {bits_sql(tok('text'))} AS bits FROM benchmark),
-fg AS (SELECT doc_id AS id, {bits_sql(tok('text'))} AS bits FROM documents), {pairs_sql('ft', 'training_')}, {pairs_sql('fg', 'generated_')},
+@query("ml11_similarity_report", f"""WITH ft AS (SELECT item_id AS id, {set_sql(tok('text'))} AS bits FROM benchmark),
+fg AS (SELECT doc_id AS id, {set_sql(tok('text'))} AS bits FROM documents), {pairs_sql('ft', 0.5, 'training_')}, {pairs_sql('fg', 0.5, 'generated_')},
 {_hist_sql('training')}, {_hist_sql('generated')} SELECT * FROM o_training UNION ALL SELECT * FROM o_generated""")
 def _(spark, sf):
     out = discovery.similarity_report({
         "training": table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("smiles")),
         "generated": heavy(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("smiles")),
     }, "id")
-    return out.select("series", "bin", r6(F.col("lo"), "lo"), r6(F.col("hi"), "hi"), r6(F.col("density"), "density"))
+    return out.select("series", "bin", r6(F.col("lo"), "lo"), r6(F.col("hi"), "hi"), "n_pairs")
 
 
 @query("ml11_ranked_candidates", f"""WITH {MOLECULES_SQL}, c AS (SELECT smiles, property, 0 AS iter FROM molecules)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from molspark.catalog.base import (
-    heavy, MOLECULES_SQL, bits_sql, body, grams, hexint, molecules, query, r6, table, tok,
+    heavy, MOLECULES_SQL, bits_sql, body, grams, hexint, molecules, query, r6, set_sql, table, tok,
 )
 from molspark.functions import tokens as tk
-from molspark.functions.hashing import fingerprint, fragment_id
+from molspark.functions.hashing import fingerprint, fragment_id, fragment_set
 from molspark.operators import accessibility, augment, ensemble, interpret, scaling, similarity, vocabulary
 from molspark.operators.selection import top_fraction
 from molspark.plans import discovery
@@ -193,42 +193,45 @@ def _(spark, sf):
 
 # --- similarity ------------------------------------------------------------
 
-def pairs_sql(fp: str, prefix: str = "") -> str:
-    """All-pairs value counts for a table ``fp(id, bits)``."""
+def pairs_sql(fp: str, threshold: float, prefix: str = "") -> str:
+    """Values from a threshold with their pair counts, and all pairs below under a null, for a table ``fp(id, bits)``."""
     p = prefix
     return f"""{p}b AS (SELECT id, len(bits) AS n, unnest(bits) AS bit FROM {fp}),
 {p}ov AS (SELECT x.id AS i, y.id AS j, any_value(x.n) AS ni, any_value(y.n) AS nj, count(*) AS c FROM {p}b x JOIN {p}b y ON x.bit = y.bit AND x.id < y.id GROUP BY ALL),
-{p}sims AS (SELECT c / (ni + nj - c) AS sim, count(*) AS n_pairs FROM {p}ov GROUP BY 1
- UNION ALL SELECT 0, (SELECT count(*) * (count(*) - 1) // 2 FROM {fp}) - (SELECT count(*) FROM {p}ov)),
-{p}dist AS (SELECT sim, n_pairs FROM {p}sims WHERE n_pairs > 0)"""
+{p}above AS (SELECT c / (ni + nj - c) AS sim, count(*) AS n_pairs FROM {p}ov WHERE c / (ni + nj - c) >= {threshold} GROUP BY 1),
+{p}dist AS (SELECT * FROM {p}above UNION ALL SELECT * FROM (SELECT NULL::DOUBLE AS sim,
+ (SELECT count(*) * (count(*) - 1) // 2 FROM {fp}) - (SELECT coalesce(sum(n_pairs), 0) FROM {p}above) AS n_pairs) WHERE n_pairs > 0)"""
 
 
-def text_bits(df, key, text="text"):
-    return df.select(F.col(key).alias("id"), fingerprint(tk.ngrams(tk.tokenize(F.col(text)), 2)).alias("bits"))
+def text_sets(df, key, text="text"):
+    """Sets of hashed token runs, written once: the join reads them several times."""
+    return stage(df.select(F.col(key).alias("id"), fragment_set(tk.ngrams(tk.tokenize(F.col(text)), 8)).alias("bits")), "sets")
 
 
-@query("jon6_similarity_distribution", f"""WITH fp AS (SELECT doc_id AS id, {bits_sql(tok('text'))} AS bits FROM documents), {pairs_sql('fp')}
+@query("jon6_similarity_distribution", f"""WITH fp AS (SELECT doc_id AS id, {set_sql(tok('text'))} AS bits FROM documents), {pairs_sql('fp', 0.5)}
 SELECT round(sim, 9) AS sim, n_pairs::BIGINT AS n_pairs FROM dist""")
 def _(spark, sf):
-    out = similarity.similarity_distribution(text_bits(heavy(spark, sf, "documents"), "doc_id"), "id")
+    out = similarity.similarity_distribution(text_sets(heavy(spark, sf, "documents"), "doc_id"), "id", 0.5)
     return out.select(F.round("sim", 9).alias("sim"), "n_pairs")
 
 
 @query("jon6_similarity_distribution_short", f"""WITH fp AS (SELECT o_orderkey AS id, {bits_sql(tok('o_orderpriority'))} AS bits FROM orders),
 g AS (SELECT bits, count(*) AS m, row_number() OVER () AS id FROM fp GROUP BY bits),
 p AS (SELECT x.bits AS a, y.bits AS b, CASE WHEN x.id = y.id THEN x.m * (x.m - 1) // 2 ELSE x.m * y.m END AS n FROM g x JOIN g y ON x.id <= y.id),
-s AS (SELECT len(list_intersect(a, b)) AS c, len(a) + len(b) - len(list_intersect(a, b)) AS t, n FROM p)
-SELECT round(CASE WHEN t = 0 THEN 0 ELSE c / t END, 9) AS sim, sum(n)::BIGINT AS n_pairs FROM s WHERE n > 0 GROUP BY 1""")
+s AS (SELECT len(list_intersect(a, b)) AS c, len(a) + len(b) - len(list_intersect(a, b)) AS t, n FROM p),
+v AS (SELECT CASE WHEN t > 0 AND c / t >= 0.1 THEN c / t END AS sim, n FROM s WHERE n > 0)
+SELECT round(sim, 9) AS sim, sum(n)::BIGINT AS n_pairs FROM v GROUP BY 1""")
 def _(spark, sf):
-    out = similarity.similarity_distribution(text_bits(table(spark, sf, "orders"), "o_orderkey", "o_orderpriority"), "id")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), fingerprint(tk.ngrams(tk.tokenize(F.col("o_orderpriority")), 2)).alias("bits"))
+    out = similarity.similarity_distribution(rows, "id", 0.1)
     return out.select(F.round("sim", 9).alias("sim"), "n_pairs")
 
 
-@query("jon9_similar_fingerprints", f"""WITH fp AS (SELECT min(doc_id) AS id, count(*) AS m, bits FROM (SELECT doc_id, {bits_sql(tok('text'))} AS bits FROM documents) GROUP BY bits),
-{pairs_sql('fp')} SELECT i AS rep_a, j AS rep_b, x.m AS m_a, y.m AS m_b, round(c / (ni + nj - c), 6) AS sim FROM ov JOIN fp x ON x.id = i JOIN fp y ON y.id = j
+@query("jon9_similar_fingerprints", f"""WITH fp AS (SELECT min(doc_id) AS id, count(*) AS m, bits FROM (SELECT doc_id, {set_sql(tok('text'))} AS bits FROM documents) GROUP BY bits),
+{pairs_sql('fp', 0.8)} SELECT i AS rep_a, j AS rep_b, x.m AS m_a, y.m AS m_b, round(c / (ni + nj - c), 6) AS sim FROM ov JOIN fp x ON x.id = i JOIN fp y ON y.id = j
 WHERE c / (ni + nj - c) >= 0.8""")
 def _(spark, sf):
-    out = similarity.similar_fingerprints(text_bits(heavy(spark, sf, "documents"), "doc_id"), "id", 0.8)
+    out = similarity.similar_fingerprints(text_sets(heavy(spark, sf, "documents"), "doc_id"), "id", 0.8)
     return out.withColumn("sim", F.round("sim", 6))
 
 

@@ -35,6 +35,11 @@ def fragment_id(fragment: Column) -> Column:
     return leading_bits(F.md5(fragment), 8)
 
 
+def fragment_set(fragments: Column) -> Column:
+    """Sorted distinct hashes of fragments, not folded to a few bits."""
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(fragments), fragment_id)))
+
+
 def fingerprint(fragments: Column, n_bits: int = FINGERPRINT_BITS) -> Column:
     """Sorted distinct bit positions of hashed fragments."""
     bits = F.transform(
