@@ -58,7 +58,7 @@ def _(spark, sf):
     oof = cv.out_of_fold(cv.train_ensemble(data, n_runs=2), data)
     base = docs.select(F.col("doc_id").alias("row_id"), "kchars")
     return cv.predictions_table(base, oof).select(
-        F.col("row_id").alias("doc_id"), "kchars", r6(F.col("mean"), "mean"), r6(F.col("sigma"), "sigma")
+        F.col("row_id").alias("doc_id"), "kchars", "fold", r6(F.col("mean"), "mean"), r6(F.col("sigma"), "sigma")
     )
 
 
@@ -72,7 +72,7 @@ def _(spark, sf):
 @query("ml1_ml3_classification_scores")
 def _(spark, sf):
     _, data = text_model(spark, sf, "classification")
-    long = cv.evaluate(cv.out_of_fold(cv.train_ensemble(data, n_runs=2), data), "classification", n_mc=50)
+    long = cv.evaluate(cv.out_of_fold(cv.train_ensemble(data, n_runs=2), data), "classification")
     return long.select("fold", "set", "metric", F.round("mean", 4).alias("mean"), F.round("sigma", 4).alias("sigma"))
 
 
@@ -83,21 +83,42 @@ def _(spark, sf):
     return out.select("reg_param", F.round("mean_score", 6).alias("mean_score"))
 
 
+@query("ml1_strings_variants_extras")
+def _(spark, sf):
+    """Two strings a row, several variants of them, and numbers besides; scores of every member."""
+    rows = table(spark, sf, "part").select(
+        "p_partkey", "p_name", "p_type", F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 100 / 10.0).alias("x"),
+        (F.col("p_size") / 10.0 + F.length("p_name") / 20.0).alias("y"),
+    )
+    variants = half_turned(tk.join_strings(F.array("p_name", "p_type")))
+    data = cv.prepare(rows, "p_partkey", ["p_name", "p_type"], "y", k=3, n_features=128, variants=variants, extras=["size", "x"])
+    model = cv.train_ensemble(data, n_runs=3, run_subset=[0, 2])
+    scores = cv.run_scores(model, data)
+    return scores.select("fold", "run", "set", *(F.round(c, 4).alias(c) for c in ("rmse", "mae", "r2")))
+
+
+def half_turned(text):
+    """The string and its rotation by half its tokens: two variants of the same ring of tokens."""
+    tokens = tk.body_tokens(text)
+    turned = F.array_join(tk.rotate(tokens, F.floor(F.size(tokens) / 2).cast("int")), "")
+    return F.array_distinct(F.array(text, turned))
+
+
 def molecule_loop(spark, sf, options):
-    """Discovery over half of the molecules as labeled, half as unlabeled."""
+    """Discovery over half of the molecules as labeled, half as unlabeled, with variants in training and inference."""
     mols = molecules(spark, sf)
     labeled, unlabeled = mols.where("mol_id % 2 = 0"), mols.where("mol_id % 2 = 1")
-    data = cv.prepare(labeled, "mol_id", "smiles", "property", k=2, n_features=64)
+    data = cv.prepare(labeled, "mol_id", "smiles", "property", k=2, n_features=64, variants=half_turned(F.col("smiles")))
     model = cv.train_ensemble(data, n_runs=2)
     return discovery.discover(
-        labeled, unlabeled, lambda c: model.infer(c, "smiles", "cand_id"), molecule_scorer(spark, sf), options
+        labeled, unlabeled, lambda c: model.infer(c, "smiles", "cand_id", half_turned(F.col("smiles"))), molecule_scorer(spark, sf), options
     )
 
 
 @query("ml10_discovery")
 def _(spark, sf):
     n = max(100, molecules(spark, sf).count() // 20)
-    options = discovery.LoopOptions(n_generate=n, attempts=2, cycles=2, max_generation=-1, score_limit=9.0)
+    options = discovery.LoopOptions(n_generate=n, cycles=2, max_generation=-1, score_limit=9.0)
     return molecule_loop(spark, sf, options).select("smiles", r6(F.col("property"), "property"), "iter")
 
 

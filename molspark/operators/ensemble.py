@@ -61,5 +61,6 @@ def attach(base: DataFrame, preds: DataFrame, key: str = "src_id") -> DataFrame:
 
 
 def write_back(base: DataFrame, fold_preds: DataFrame, key: str = "row_id") -> DataFrame:
-    """Out-of-fold means and sigmas onto the base table by row key."""
-    return base.join(fold_preds.select(key, "mean", "sigma"), key, "left")
+    """Out-of-fold means and sigmas, and their fold if there is one, onto the base table by row key."""
+    columns = [c for c in ("fold", "mean", "sigma") if c in fold_preds.columns]
+    return base.join(fold_preds.select(key, *columns), key, "left")

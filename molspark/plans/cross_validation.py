@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from molspark.functions.hashing import uniform
-from molspark.functions.tokens import ngrams, tokenize
+from molspark.functions.tokens import join_strings, ngrams, tokenize
 from molspark.operators import ensemble, metrics, splits, tuning
 from molspark.operators.augment import explode_variants, split_rejected
-from molspark.operators.scaling import fit_robust, inverse_transform, transform
+from molspark.operators.scaling import fit_robust, inverse_transform
 from molspark.staging import stage
 
+FITS_AT_ONCE = 4
 # Cumulative probabilities of a unit Poisson count, for bootstrap weights.
 _POISSON_ONE = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
 
 
 @dataclass
 class Ensemble:
-    """Fitted members by (fold, run), with the target scaler of each fold."""
+    """Fitted members by (fold, run), with the scalers of each fold."""
 
     members: dict[tuple[int, int], object]
     scaler: DataFrame | None
@@ -32,19 +34,24 @@ class Ensemble:
     runs: int
     n_features: int
     kind: str
+    extra_scales: tuple = ()  # per fold: (center, scale) of each extra column
 
     def predict(self, variants: DataFrame, text: str = "variant") -> DataFrame:
         """Every variant under every member: input columns, fold, run, pred."""
         return self.score(featurise(variants, text, self.n_features).drop(text))
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """The same for rows that already carry ``features``; all members score in
-        one stage, then the row is repeated."""
-        cols = [c for c in rows.columns if c != "features"]
+        """The same for rows that already carry ``features`` (and ``extras``); all members
+        score in one stage, then the row is repeated."""
+        if self.extra_scales and "extras" not in rows.columns:
+            raise ValueError("the ensemble was trained with extra columns, which the input lacks")
+        cols = [c for c in rows.columns if c not in ("features", "extras")]
+        for fold in sorted({f for f, _ in self.members}):
+            rows = member_features(rows, f"_f_{fold}", self.extra_scales[fold] if self.extra_scales else ())
         entries = []
         for (fold, run), model in self.members.items():
             name = f"_p_{fold}_{run}"
-            model = model.copy()
+            model = model.copy().setFeaturesCol(f"_f_{fold}")
             if self.kind == "classification":
                 model.setProbabilityCol(name).setPredictionCol("").setRawPredictionCol("")
                 pred = vector_to_array(F.col(name))[1]
@@ -57,17 +64,35 @@ class Ensemble:
         return long if self.scaler is None else inverse_transform(long, self.scaler, "pred", "pred")
 
     def of_fold(self, fold: int) -> "Ensemble":
-        members = {m: v for m, v in self.members.items() if m[0] == fold}
-        return Ensemble(members, self.scaler, self.folds, self.runs, self.n_features, self.kind)
+        return replace(self, members={m: v for m, v in self.members.items() if m[0] == fold})
 
-    def infer(self, df: DataFrame, text: str, key: str, variants: Column | None = None) -> DataFrame:
+    def infer(self, df: DataFrame, text: str | Sequence[str], key: str, variants: Column | None = None, extras: Sequence[str] = ()) -> DataFrame:
         """Input rows with ``mean, sigma``; rows without usable variants keep nulls."""
-        rows = df.withColumn("variants", F.array(F.col(text)) if variants is None else variants)
+        rows = df.withColumn("variants", F.array(row_text(text)) if variants is None else variants)
         good, _ = split_rejected(rows)
-        preds = self.predict(explode_variants(good.select(key, "variants")))
+        keep = [key] if not extras else [key, extra_array(extras)]
+        preds = self.predict(explode_variants(good.select(*keep, "variants")))
         return ensemble.attach(df, ensemble.mean_sigma(preds, key), key)
 
 
+def row_text(text: str | Sequence[str]) -> Column:
+    """The row's string; several strings of a row are joined into one."""
+    return F.col(text) if isinstance(text, str) else join_strings(F.array(*(F.coalesce(F.col(c), F.lit("")) for c in text)))
+
+
+def extra_array(extras: Sequence[str]) -> Column:
+    return F.array(*(F.col(c).cast("double") for c in extras)).alias("extras")
+
+
+def member_features(rows: DataFrame, name: str, scales: Sequence[tuple[float, float]]) -> DataFrame:
+    """Features of one fold's models: hashed counts, then the extras by the fold's scales (0 where missing)."""
+    if not scales:
+        return rows.withColumn(name, F.col("features"))
+    scaled = [F.coalesce((F.col("extras")[i] - center) / scale, F.lit(0.0)) for i, (center, scale) in enumerate(scales)]
+    rows = rows.withColumn("_extra", array_to_vector(F.array(*scaled)))
+    return VectorAssembler(inputCols=["features", "_extra"], outputCol=name).transform(rows).drop("_extra")
+
+
 def featurise(df: DataFrame, text: str, n_features: int) -> DataFrame:
     """Hashed counts of tokens and token pairs in ``features``."""
     t = tokenize(F.coalesce(F.col(text), F.lit("")))
@@ -100,66 +125,106 @@ def _estimator(kind: str, reg_param: float):
 
 @dataclass
 class Prepared:
-    """Staged inputs of all folds."""
+    """Staged inputs of all folds; each row's features are stored once."""
 
-    rows: DataFrame      # row_id, text, target, fold: own fold of each row
-    splits: DataFrame    # row_id, target, fold, split, variant, features, _y
+    rows: DataFrame      # row_id, text, target, fold (own fold of each row)
+    table: DataFrame     # row_id, target, splits (part of the row under each fold's models), variant, features, extras
     scaler: DataFrame | None
+    scales: tuple        # per fold: center and scale of the target
+    extra_scales: tuple
     folds: int
     n_features: int
     kind: str
 
+    def part(self, fold: int, *splits: str) -> DataFrame:
+        """Rows of a fold's split with the scaled target ``_y``."""
+        center, scale = self.scales[fold] if self.scales else (0.0, 1.0)
+        rows = self.table.withColumn("split", F.col("splits")[fold]).where(F.col("split").isin(*splits))
+        return rows.withColumn("_y", (F.col("target") - center) / scale)
+
+
+def _fold_scales(each: DataFrame, column: str, k: int) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """Robust center and scale of a column over each fold's training rows: a table, and the same by fold."""
+    scaler = stage(fit_robust(each.where("split = 'train'"), column), "scaler")
+    found = {r["fold"]: (r["center"], r["scale"]) for r in scaler.collect()}  # one row per fold
+    return scaler, [found.get(fold, (0.0, 1.0)) for fold in range(k)]
+
 
 def prepare(
-    df: DataFrame, row_id: str, text: str, target: str, k: int = 2, n_features: int = 256,
-    kind: str = "regression", variants: Column | None = None,
+    df: DataFrame, row_id: str, text: str | Sequence[str], target: str, k: int = 2, n_features: int = 256,
+    kind: str = "regression", variants: Column | None = None, extras: Sequence[str] = (),
 ) -> Prepared:
-    """Folds, splits, target scaling on training rows, variants and features."""
-    base = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), F.col(target).cast("double").alias("target"))
+    """Folds, splits, scaling on training rows, variants and features.
+
+    ``text`` names one string column or several that belong together, ``extras``
+    numeric columns that the models get besides, scaled per fold.
+    """
+    base = df.select(
+        F.col(row_id).alias("row_id"), row_text(text).alias("text"), F.col(target).cast("double").alias("target"),
+        extra_array(extras) if extras else F.array().cast("array<double>").alias("extras"),
+        (F.array(row_text(text)) if variants is None else variants).alias("variants"),
+    )
+    base = stage(base, "input")
     folds = plan_folds(base, "row_id", "text", "target", k, kind)
     rows = stage(base.join(folds, "row_id"), "folds")
-    each = splits.cross_validation_splits(rows, "row_id", k)
-    scaler = None
-    if kind == "regression":
-        scaler = stage(fit_robust(each.where("split = 'train'"), "target"), "scaler")
-        each = transform(each, scaler, "target", "_y")
-    else:
-        each = each.withColumn("_y", F.col("target"))
-    variants = F.array("text") if variants is None else variants
-    exploded = explode_variants(split_rejected(each.withColumn("variants", variants))[0])
+    each = splits.cross_validation_splits(rows.select("row_id", "target", "extras", "fold"), "row_id", k)
+    each = stage(each, "splits")
+    scaler, scales = _fold_scales(each, "target", k) if kind == "regression" else (None, [])
+    per_extra = [_fold_scales(each.withColumn("_x", F.col("extras")[i]), "_x", k)[1] for i in range(len(extras))]
+    parts = each.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("fold", "split"))).alias("_s"))  # one per fold
+    whole = rows.join(parts.select("row_id", F.col("_s.split").alias("splits")), "row_id").drop("fold")
+    exploded = explode_variants(split_rejected(whole)[0])
     table = stage(featurise(exploded, "variant", n_features).drop("text"), "features")
-    return Prepared(rows, table, scaler, k, n_features, kind)
+    return Prepared(rows.drop("extras", "variants"), table, scaler, tuple(scales), tuple(zip(*per_extra)), k, n_features, kind)
 
 
-def train_ensemble(data: Prepared, n_runs: int = 2, reg_param: float = 0.01, seed: int = 11, fold_subset: Sequence[int] | None = None) -> Ensemble:
-    """One distributed fit per (fold, run) on seeded bootstrap weights."""
-    members = {}
-    for fold in fold_subset or range(data.folds):
-        train = data.splits.where((F.col("fold") == fold) & (F.col("split") == "train"))
-        for run in range(n_runs):
-            weighted = train.withColumn("_w", bootstrap_weight(seed, F.col("row_id"), F.lit(fold), F.lit(run))).where("_w > 0")
-            members[fold, run] = _estimator(data.kind, reg_param).fit(weighted.select("features", "_y", "_w"))
-    return Ensemble(members, data.scaler, data.folds, n_runs, data.n_features, data.kind)
+def train_ensemble(
+    data: Prepared, n_runs: int = 2, reg_param: float = 0.01, seed: int = 11,
+    fold_subset: Sequence[int] | None = None, run_subset: Sequence[int] | None = None,
+) -> Ensemble:
+    """One distributed fit per (fold, run) on seeded bootstrap weights; a few run side by side."""
+    names = [(f, r) for f in (range(data.folds) if fold_subset is None else fold_subset) for r in (range(n_runs) if run_subset is None else run_subset)]
 
+    def fit(name: tuple[int, int]):
+        fold, run = name
+        train = member_features(data.part(fold, "train"), "_f", data.extra_scales[fold] if data.extra_scales else ())
+        weighted = train.withColumn("_w", bootstrap_weight(seed, F.col("row_id"), F.lit(fold), F.lit(run))).where("_w > 0")
+        return _estimator(data.kind, reg_param).fit(weighted.select(F.col("_f").alias("features"), "_y", "_w"))
 
-def out_of_fold(model: Ensemble, data: Prepared) -> DataFrame:
-    """``row_id, fold, split, target, mean, sigma`` of every row under every fold model."""
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        members = dict(zip(names, pool.map(fit, names)))
+    return Ensemble(members, data.scaler, data.folds, n_runs, data.n_features, data.kind, data.extra_scales)
+
+
+def member_predictions(model: Ensemble, data: Prepared) -> DataFrame:
+    """``row_id, fold, split, target, run, pred`` of every row and variant under every member."""
     parts = None
-    for fold in range(data.folds):
-        rows = data.splits.where(F.col("fold") == fold).select("row_id", "split", "target", "features")
+    for fold in sorted({f for f, _ in model.members}):
+        rows = data.part(fold, "train", "valid", "test").select("row_id", "split", "target", "features", *(["extras"] if data.extra_scales else []))
         preds = model.of_fold(fold).score(rows)
         parts = preds if parts is None else parts.unionByName(preds)
-    return parts.groupBy("row_id", "fold", "split", "target").agg(
+    return parts
+
+
+def out_of_fold(model: Ensemble, data: Prepared) -> DataFrame:
+    """``row_id, fold, split, target, mean, sigma`` of every row under every fold's models."""
+    return member_predictions(model, data).groupBy("row_id", "fold", "split", "target").agg(
         F.avg("pred").alias("mean"), F.stddev_pop("pred").alias("sigma")
     )
 
 
+def run_scores(model: Ensemble, data: Prepared) -> DataFrame:
+    """``fold, run, set`` with the regression metrics of each single member, variants averaged."""
+    each = member_predictions(model, data).groupBy("row_id", "fold", "split", "target", "run").agg(F.avg("pred").alias("mean"))
+    return metrics.regression_metrics(each.withColumnRenamed("split", "set"), ["fold", "run", "set"])
+
+
 def predictions_table(base: DataFrame, oof: DataFrame) -> DataFrame:
-    """Input rows with their held-out mean and sigma."""
+    """Input rows with their held-out mean and sigma, and the fold that held them out."""
     return ensemble.write_back(base, oof.where("split = 'test'"))
 
 
-def evaluate(oof: DataFrame, kind: str = "regression", n_mc: int = 100, true: str = "target") -> DataFrame:
+def evaluate(oof: DataFrame, kind: str = "regression", n_mc: int = 1000, true: str = "target") -> DataFrame:
     """Long scores ``fold, set, metric, mean, sigma``; fold -1 holds the final
     cross-validated scores over all held-out rows that have a prediction."""
     rows = metrics.drop_unpredicted(oof).withColumnRenamed("split", "set")
@@ -196,16 +261,15 @@ def select_hyperparameters(
     ``bounds`` lists values of ``reg_param``; all combinations are tried, or
     ``n_draws`` of them in seeded order. Few rows: one per configuration.
     """
-    spark = data.splits.sparkSession
+    spark = data.table.sparkSession
     grid = tuning.parameter_grid(spark, bounds)
     if n_draws is not None:
         grid = tuning.draw_configurations(grid, n_draws, seed)
     trials = []
-    valid = data.splits.where("fold = 0 AND split = 'valid'")
+    valid = data.part(0, "valid")
     for config in grid.collect():
         model = train_ensemble(data, n_runs, config["reg_param"], seed, fold_subset=[0])
-        scaled = Ensemble(model.members, None, model.folds, n_runs, model.n_features, model.kind)
-        preds = scaled.score(valid.select("row_id", "_y", "features"))
+        preds = replace(model, scaler=None).score(valid.select("row_id", "_y", "features", *(["extras"] if data.extra_scales else [])))
         err = F.col("pred") - F.col("_y")
         per_run = preds.groupBy("run").agg(F.avg(err * err).alias("score"))
         trials.append(per_run.select(F.lit(config["reg_param"]).alias("reg_param"), "run", "score"))

@@ -103,3 +103,64 @@ def test_stream_restarts_without_repeats(spark, tmp_path):
     put(["CCO", "CCN"])
     run()
     assert sorted(r[0] for r in spark.read.schema(schema).parquet(out).collect()) == ["CCN", "CCO"]
+
+
+def test_extras_strings_and_subsets(spark, pool):
+    """A target that only the extra column explains; two strings a row; a subset of folds and runs."""
+    rows = pool.select("mol_id", "smiles", F.lit("CC").alias("other"), (F.col("mol_id") % 17).cast("double").alias("x"), (F.col("mol_id") % 17 * 3.0).alias("y"))
+    with_x = cv.prepare(rows, "mol_id", ["smiles", "other"], "y", k=3, n_features=32, extras=["x"])
+    without = cv.prepare(rows, "mol_id", ["smiles", "other"], "y", k=3, n_features=32)
+    fit = lambda d: {(r["fold"], r["set"], r["metric"]): r["mean"] for r in cv.evaluate(cv.out_of_fold(cv.train_ensemble(d, 2, 1e-3), d)).collect()}
+    assert fit(with_x)[-1, "final", "r2"] > 0.99 > 0.5 > fit(without)[-1, "final", "r2"]
+    model = cv.train_ensemble(with_x, 3, fold_subset=[1], run_subset=[0, 2])
+    assert set(model.members) == {(1, 0), (1, 2)}
+    scores = cv.run_scores(model, with_x)
+    assert {(r["fold"], r["run"], r["set"]) for r in scores.collect()} == {(1, r, s) for r in (0, 2) for s in ("train", "valid", "test")}
+    assert with_x.table.count() == pool.count()  # features are stored once
+    cands = rows.select("mol_id", "smiles", "other", "x")
+    assert model.infer(cands, ["smiles", "other"], "mol_id", extras=["x"]).where("mean IS NULL").isEmpty()
+    with pytest.raises(ValueError):
+        model.infer(cands, ["smiles", "other"], "mol_id")
+
+
+def test_held_out_predictions_carry_their_fold(spark, pool):
+    data = cv.prepare(pool, "mol_id", "smiles", "property", k=3, n_features=32)
+    table = cv.predictions_table(pool.select(F.col("mol_id").alias("row_id")), cv.out_of_fold(cv.train_ensemble(data, 1), data))
+    own = {r["row_id"]: r["fold"] for r in data.rows.collect()}
+    assert {r["row_id"]: r["fold"] for r in table.collect()} == own
+
+
+def test_pca_and_clusters_against_numpy(spark):
+    import numpy as np
+    from molspark.operators import interpret
+    rng = np.random.default_rng(3)
+    centres = np.array([[0, 0, 0, 9.0], [9, 0, 0, 0], [0, 9, 9, 0]])
+    x = np.concatenate([c + rng.normal(0, 0.3, (40, 4)) for c in centres])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    found = np.array([(r["pc1"], r["pc2"]) for r in interpret.project_vectors(df, "id", "v").orderBy("id").collect()])
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(found), np.abs(x @ axes[:2].T), atol=1e-6)
+    rows = interpret.cluster_vectors(df, "id", "v", 3).orderBy("id").collect()
+    labels = np.array([r["cluster"] for r in rows])
+    assert all(len(set(labels[i : i + 40])) == 1 for i in (0, 40, 80)) and len(set(labels)) == 3
+    means = np.array([x[labels == l].mean(axis=0) for l in range(3)])
+    assert np.allclose([r["distance"] for r in rows], np.linalg.norm(x - means[labels], axis=1), atol=1e-6)
+
+
+def test_classifier_learns(spark, pool):
+    rows = pool.withColumn("y", F.col("smiles").contains("Cl").cast("int"))
+    data = cv.prepare(rows, "mol_id", "smiles", "y", k=2, n_features=64, kind="classification")
+    oof = cv.out_of_fold(cv.train_ensemble(data, 1), data).where("split = 'test'")
+    assert oof.where("(mean > 0.5) = (target = 1)").count() > 0.95 * oof.count()
+
+
+def test_hyperparameters_score_table(spark, pool):
+    """Scores are the mean squared errors of the same ensembles, computed by hand."""
+    data = cv.prepare(pool, "mol_id", "smiles", "property", k=2, n_features=32)
+    table = {r["reg_param"]: r["mean_score"] for r in cv.select_hyperparameters(data, {"reg_param": [0.01, 1.0]}, n_runs=2, seed=21).collect()}
+    center, scale = data.scales[0]
+    for reg, score in table.items():
+        model = cv.train_ensemble(data, 2, reg, 21, fold_subset=[0])
+        preds = cv.member_predictions(model, data).where("split = 'valid'")
+        errors = preds.groupBy("run").agg(F.avg(F.pow((F.col("pred") - F.col("target")) / scale, 2)).alias("e")).collect()
+        assert score == pytest.approx(sum(r["e"] for r in errors) / 2, rel=1e-6)
