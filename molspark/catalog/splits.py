@@ -55,8 +55,9 @@ def _(spark, sf):
     return splits.shuffled_kfold(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7)
 
 
-_CV = f"""each AS (SELECT o_orderkey, o_orderkey % 5 AS own, unnest([0, 1, 2, 3, 4]) AS fold FROM orders),
-r AS (SELECT o_orderkey, fold, row_number() OVER (PARTITION BY fold ORDER BY {digest(42, 'o_orderkey')}, o_orderkey) AS r,
+_CV = f"""hashed AS (SELECT o_orderkey, row_number() OVER (ORDER BY {digest(42, 'o_orderkey')}, o_orderkey) AS h FROM orders),
+each AS (SELECT o_orderkey, h, o_orderkey % 5 AS own, unnest([0, 1, 2, 3, 4]) AS fold FROM hashed),
+r AS (SELECT o_orderkey, fold, row_number() OVER (PARTITION BY fold ORDER BY h) AS r,
  count(*) OVER (PARTITION BY fold) AS n FROM each WHERE own <> fold),
 cv AS (SELECT o_orderkey, fold, CASE WHEN r <= ceil(n * 6 / 9::DOUBLE) THEN 'train' ELSE 'valid' END AS split FROM r
  UNION ALL SELECT o_orderkey, fold, 'test' FROM each WHERE own = fold)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from molspark.operators.selection import keep_neutral, keep_valid
 from molspark.staging import fresh_path
@@ -19,11 +19,11 @@ def candidate_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt
 def accepted(stream: DataFrame, text: str = "smiles", ionic: str = "all") -> DataFrame:
     """Valid, neutral strings, each passed on once over the life of the stream.
 
-    The state holds every distinct string seen, which is what "never twice"
-    means; filters come first and only the string column is kept.
+    The state holds a 16-byte digest of every distinct string seen, which is what
+    "never twice" means; filters come first and only the string column is kept.
     """
     kept = keep_neutral(keep_valid(stream, text), text, ionic)
-    return kept.select(text).dropDuplicates([text])
+    return kept.select(text, F.unhex(F.md5(text)).alias("_digest")).dropDuplicates(["_digest"]).select(text)
 
 
 def drain(stream: DataFrame, out: str, state: str) -> None:
