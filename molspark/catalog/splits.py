@@ -95,7 +95,7 @@ def _(spark, sf):
 d AS (SELECT range AS draw, floor({uniform_sql(21, 'range')} * (SELECT count(*) FROM orders))::BIGINT AS row_no FROM range(2000))
 SELECT draw, row_no, o_orderkey FROM d JOIN r USING (row_no)""")
 def _(spark, sf):
-    return splits.resample(table(spark, sf, "orders").select("o_orderkey"), [F.col("o_orderkey")], 2000)
+    return splits.resample(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 2000)
 
 
 @query("agg24_robust_fit", f"WITH {SCALER_SQL} SELECT fold, round(center, 6) AS center, round(scale, 6) AS scale FROM scaler")

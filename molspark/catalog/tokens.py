@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from molspark.catalog.base import (
@@ -349,7 +350,7 @@ def _(spark, sf):
 @query("udf1_variant_provider", """SELECT o_orderkey, (unnest(range(2)))::INT AS variant_no,
 unnest([o_orderpriority, lower(o_orderpriority)]) AS variant FROM orders""")
 def _(spark, sf):
-    provider = augment.variant_provider(lambda s: list(dict.fromkeys([s, s.lower()])))
+    provider = augment.variant_provider(lambda s: pd.Series([list(dict.fromkeys(pair)) for pair in zip(s, s.str.lower())], index=s.index))
     rows = table(spark, sf, "orders").select("o_orderkey", provider(F.col("o_orderpriority")).alias("variants"))
     return augment.explode_variants(rows)
 

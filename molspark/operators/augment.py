@@ -17,15 +17,17 @@ def rotation_variants(text: Column) -> Column:
     return all_rotations(body_tokens(text))
 
 
-def variant_provider(fn: Callable[[str], list[str | None]]) -> Callable[[Column], Column]:
-    """Wrap a per-string function, such as a chemistry library call, as a column.
+def variant_provider(fn: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
+    """Wrap a function of a Series of strings, such as a chemistry library call, as a column.
 
-    The first entry should be the canonical form; None marks an unusable string.
+    It returns a list per string, whose first entry should be the canonical form; a
+    None entry marks an unusable string. Null strings have no list.
     """
     @F.pandas_udf("array<string>")
     def provide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for strings in batches:
-            yield strings.map(lambda s: None if s is None else fn(s))
+            known = strings.notna()
+            yield fn(strings[known]).reindex(strings.index).where(known, None)
 
     return provide
 

@@ -217,12 +217,17 @@ def batch_count(n: Column, batch_size: int) -> Column:
     return F.ceil(n / batch_size)
 
 
-def resample(df: DataFrame, order: Sequence[Column], size: int, seed: int = 21) -> DataFrame:
-    """``size`` draws with replacement; repeats stay as separate rows."""
-    positions = ordinal(df, order, name="row_no")
+def resample(df: DataFrame, key: Sequence[str], size: int, seed: int = 21) -> DataFrame:
+    """``size`` draws with replacement; repeats stay as separate rows.
+
+    Only the key columns, which must identify a row, are put in order; the rest of
+    a row joins the drawn keys. ``row_no`` is the row's position by the keys.
+    """
+    positions = ordinal(df.select(*key), [F.col(c) for c in key], name="row_no")
     n = positions.agg(F.max("row_no")).first()[0]
     draws = df.sparkSession.range(size).select(
         F.col("id").alias("draw"),
         F.floor(uniform(seed, F.col("id")) * (0 if n is None else n + 1)).alias("row_no"),
     )
-    return draws.join(positions, "row_no")
+    drawn = draws.join(positions, "row_no")
+    return match_keys(df, F.broadcast(drawn) if size <= BROADCAST_ROWS else drawn, list(key))

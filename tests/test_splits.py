@@ -86,5 +86,5 @@ def test_labeling_does_not_shuffle_the_rows(spark, tmp_path):
 
 
 def test_resample_keeps_repeats(spark):
-    out = splits.resample(spark.range(10), [F.col("id")], 200).collect()
+    out = splits.resample(spark.range(10), ["id"], 200).collect()
     assert len(out) == 200 and len({r["draw"] for r in out}) == 200 and {r["id"] for r in out} == set(range(10))
