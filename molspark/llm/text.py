@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 _PIECE, _ROWS = 1 << 20, 512
 _ARROW = {
-    "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(),
+    "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
     "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
 }
 
