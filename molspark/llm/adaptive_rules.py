@@ -42,7 +42,7 @@ RULES = (
     Rule("long_words", "ln(word_chars / n_words)", "high", 3.0, 0.3),
     Rule("symbols", "n_symbols / n_words", "high", 3.0, 0.1),
     Rule("repeated_lines", "n_dup_lines / n_lines", "high", 3.0, 0.4),
-    Rule("repeated_words", "n_repeat_words / n_words", "high", 3.0, 0.22),
+    Rule("repeated_words", "n_repeat_words / n_words", "high", 3.0, 0.28),
     Rule("capitals", "n_capitals / word_chars", "high", 3.0, 0.1),
     Rule("digits", "n_digits / word_chars", "high", 3.0, 0.25),
     Rule("stutters", "n_stutters / n_words", "high", 3.0, 0.1),

@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from molspark.llm.text import WordHasher, gram_hashes, text_bytes
+from molspark.llm.text import WordHasher, gram_hashes, slices, text_bytes
 
 GRAM, MIN_WORDS, PASSAGE, STEP = 3, 8, 256, 128
 MIN_SEEDS, SEED_SLACK, SEED_REACH, THRESHOLD = 8, 8, 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 500_000
-_CELLS = 1 << 20
+_CELLS, _ROWS = 1 << 20, 512
 
 
 def passages(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +199,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
 def _document_counts(docs: DataFrame, text_col: str, block: Block) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = WordHasher(), np.zeros(len(block.grams), np.int64)
-        for batch in batches:
+        for batch in slices(batches, _ROWS):
             for text in text_bytes(batch.column(0)):
                 counts[np.unique(block.hits(hasher(text))[1])] += 1
         used = np.flatnonzero(counts)
@@ -242,7 +242,7 @@ def contaminated(
 def _finder(block: Block, threshold: float, schema: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(block, threshold)
-        for batch in batches:
+        for batch in slices(batches, _ROWS):
             found = scanner(text_bytes(batch.column(1)))
             if not found:
                 continue
@@ -267,7 +267,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     for block in blocks(docs, benchmark, text_col, item_col, block_words):
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             scanner = Scanner(block, threshold)
-            for batch in batches:
+            for batch in slices(batches, _ROWS):
                 good = np.ones(batch.num_rows, dtype=bool)
                 good[[row for row, *_ in scanner(text_bytes(batch.column(where)))]] = False
                 yield batch.filter(pa.array(good))
