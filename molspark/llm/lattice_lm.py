@@ -4,8 +4,8 @@ A word's lattice has one arc per vocabulary piece that fits between two of its
 characters. With a weight per piece, the forward recursion in log space sums over
 all paths, that is over all segmentations; a text's probability is the product
 over its words and the end. The pieces and their first weights come from an
-existing vocabulary. One expectation-maximisation step then fits the weights to
-the training words: forward and backward sums give each piece's expected count.
+existing vocabulary. Two expectation-maximisation steps then fit the weights to the
+training words: forward and backward sums give each piece's expected count.
 
 Words are counted once over all texts, and lattices are run once per distinct
 word. To score texts, the most frequent words (a table of bounded size) travel to
@@ -29,7 +29,7 @@ from molspark.llm.text import slices, text_bytes
 from molspark.staging import stage
 
 FREQUENT_WORDS, WORD_BYTES = 200_000, 64  # words that travel to the tasks, and their length at most
-ZIPF_SHIFT, SMOOTHING = 2.7, 0.1
+ZIPF_SHIFT, SMOOTHING, STEPS = 2.7, 0.1, 2
 _SPACE, _END = "▁", "</s>"
 _STEP, _CELLS = 0x9E3779B97F4A7C15, 1 << 15
 _ROWS, _KEPT_WORDS = 512, 100_000
@@ -40,8 +40,8 @@ def read_vocabulary(path: str) -> dict[str, float]:
 
     Unigram scores are logarithms already. Scores of a merge vocabulary are the
     merges' ranks, negated: these become weights by Zipf's law. Byte pieces, which
-    stand in for characters without a piece, rank behind all others. Unused and
-    control pieces are left out, but for the end.
+    stand in for characters without a piece, rank behind all others, as do the end and
+    a lone word start where it is unused. Other unused and control pieces are left out.
     """
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
@@ -53,7 +53,7 @@ def read_vocabulary(path: str) -> dict[str, float]:
     if all(float(s).is_integer() for s in scores.values()):
         scores = {p: -math.log(ZIPF_SHIFT - s) for p, s in scores.items()}
     last = min(scores.values(), default=0.0)
-    scores |= {model.id_to_piece(i): last for i in range(size) if model.is_byte(i)} | {_END: last}
+    scores |= {model.id_to_piece(i): last for i in range(size) if model.is_byte(i)} | {_SPACE: scores.get(_SPACE, last), _END: last}
     return _normalised(scores)
 
 
@@ -78,8 +78,8 @@ class Lattice:
         hashes = np.array([self._hash(p) for p in self.pieces], dtype=np.uint64)
         order = np.argsort(hashes)
         self._hashes, self._order = hashes[order], order
-        self._maybe = np.zeros(1 << 20, dtype=bool)
-        self._maybe[hashes >> np.uint64(44)] = True
+        self._maybe = np.zeros(1 << 18, dtype=bool)
+        self._maybe[hashes >> np.uint64(46)] = True
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -90,7 +90,7 @@ class Lattice:
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose hash is a piece's, and the pieces."""
-        rows = np.flatnonzero(self._maybe[hashes >> np.uint64(44)])
+        rows = np.flatnonzero(self._maybe[hashes >> np.uint64(46)])
         at = np.searchsorted(self._hashes, hashes[rows])
         good = self._hashes[np.minimum(at, len(self._hashes) - 1)] == hashes[rows]
         return rows[good], self._order[at[good]]
@@ -146,14 +146,19 @@ class Lattice:
                 i, j, rows, log, _ = arc
                 ahead[j, rows] = np.logaddexp(ahead[j, rows], ahead[i, rows] + log)
                 arcs.append(arc)
+            used, shares = [], []
             for i, j, rows, log, pieces in reversed(arcs):
                 behind[i, rows] = np.logaddexp(behind[i, rows], behind[j, rows] + log)
                 share = times[at][rows] * np.exp(ahead[i, rows] + log + behind[j, rows] - ahead[-1, rows])
                 if pieces[0] >= 0:
-                    np.add.at(counts, pieces, share)
+                    used.append(pieces)
+                    shares.append(share)
                 else:
-                    for code, value in zip((-1 - pieces).tolist(), share.tolist()):
+                    chars, which = np.unique(-1 - pieces, return_inverse=True)
+                    for code, value in zip(chars.tolist(), np.bincount(which, share).tolist()):
                         np.add.at(counts, self._bytes(code), value)
+            if used:
+                counts += np.bincount(np.concatenate(used), np.concatenate(shares), len(counts))
 
 
 def word_counts(docs: DataFrame, text_col: str, held_out: Column) -> DataFrame:
@@ -239,7 +244,9 @@ def score(
     ends = docs.where(~held).count()
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, distinct = total + ends, distinct + (ends > 0)
-    logs = fit(words, ends, read_vocabulary(path or public_tokenizers.path("piece_bpe_32k.model")))
+    logs = read_vocabulary(path or public_tokenizers.path("piece_bpe_32k.model"))
+    for _ in range(STEPS):
+        logs = fit(words, ends, logs)
     scored = stage(_word_scores(words, logs), "scored_words")
     base = lambda c: F.log10((c + 1) / F.lit(float(total + distinct + 1)))
 
