@@ -1,24 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The test items are the stated query set. They are cut into passages of at most
 256 words and taken in blocks of a bounded number of words, each compared with
 every document. A block travels to the tasks; the documents are never shuffled,
 so neither a frequent passage nor a frequent source makes a task longer.
 
-Per block there are two scans of the texts. The first counts in how many
-documents each n-gram of the items occurs. Of each passage's n-grams, those that
-are not much more frequent than its rarer quarter become its seeds, eight at least.
-This is relative to the passage, so one that a third of the corpus repeats is still
-found, and n-grams that outlive edits are not left out for it. The second scan cuts
-a window around each run of seed hits on nearby diagonals and aligns passage and
-window word by word. Words are runs of letters and digits, A-Z lowered, so
-punctuation and case do not hide a copy; edits, insertions and left-out words
-cost score, not the match.
+One scan of the texts per block. Every n-gram of a passage is a seed, however many
+documents hold it: a copy counts by itself, so one that a third of the corpus
+repeats, edited or in part, is found like a single one. A window is cut around each
+run of seed hits on nearby diagonals. Windows that share too few words with their
+passage for any alignment to reach the threshold are left out, which loses nothing;
+the others are aligned word by word. Words are runs of letters and digits, A-Z
+lowered, so punctuation and case do not hide a copy; edits, insertions and left-out
+words cost score, not the match.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from molspark.llm.text import WordHasher, gram_hashes, slices, text_bytes
 
-GRAM, MIN_WORDS, PASSAGE, STEP = 3, 8, 256, 128
-MIN_SEEDS, SEED_SLACK, SEED_REACH, THRESHOLD = 8, 8, 4, 0.5
+GRAM, MIN_WORDS, PASSAGE, STEP, THRESHOLD = 3, 8, 256, 128, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 500_000
-_CELLS, _ROWS = 1 << 20, 512
+_CELLS, _ROWS, _HITS = 1 << 20, 512, 1 << 18
 
 
 def passages(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -60,20 +57,28 @@ def passages(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
 
 @dataclass
 class Block:
-    """Some passages, and the look-up of their n-grams."""
+    """Some passages, and the look-ups of their n-grams and words."""
 
     items: list
     words: list[np.ndarray]
     grams: np.ndarray = field(init=False)  # sorted, distinct
-    holders: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # gram number: passage, position
+    first: np.ndarray = field(init=False)  # per gram number: where its holders begin, and the end
+    passage: np.ndarray = field(init=False)  # of each holder
+    position: np.ndarray = field(init=False)
+    sizes: np.ndarray = field(init=False)
+    vocabulary: np.ndarray = field(init=False)  # sorted, distinct
     filter: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         found = [gram_hashes(w, GRAM) for w in self.words]
-        self.grams = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        self._index()
-
-    def _index(self) -> None:
+        own = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        self.grams, number = np.unique(own, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        self.first = np.searchsorted(number[order], np.arange(len(self.grams) + 1))
+        self.passage = np.repeat(np.arange(len(found)), [len(f) for f in found])[order]
+        self.position = np.concatenate([np.arange(len(f)) for f in found])[order] if found else np.zeros(0, np.int64)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.vocabulary = np.unique(np.concatenate(self.words)) if found else np.zeros(0, np.uint64)
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[self.grams & np.uint64(0xFFFFF)] = True
 
@@ -85,20 +90,29 @@ class Block:
         good = self.grams[np.minimum(number, len(self.grams) - 1)] == own[at] if len(self.grams) else np.zeros(0, bool)
         return at[good], number[good]
 
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Leaves the seeds: of each passage the grams found at most ``SEED_SLACK`` + ``SEED_REACH`` times as often as its lower quartile."""
-        seeds = defaultdict(list)
-        for passage, words in enumerate(self.words):
-            numbers = np.searchsorted(self.grams, gram_hashes(words, GRAM))
-            found = counts[numbers]
-            order = np.argsort(found, kind="stable")
-            rare = int((found <= SEED_SLACK + SEED_REACH * np.quantile(found, 0.25)).sum())
-            for position in order[: max(MIN_SEEDS, rare)].tolist():
-                seeds[int(numbers[position])].append((passage, position))
-        chosen = sorted(seeds)
-        self.grams = self.grams[chosen]
-        self.holders = {i: seeds[number] for i, number in enumerate(chosen)}
-        self._index()
+    def spans(self, words: np.ndarray) -> np.ndarray:
+        """Rows of passage, band of diagonals, lowest and highest diagonal: the hits of every n-gram in a document."""
+        at, number = self.hits(words)
+        sizes = self.first[number + 1] - self.first[number]
+        ends = np.cumsum(sizes)
+        found, low = np.zeros((0, 4), np.int64), 0
+        while low < len(at):  # in parts, to bound what frequent n-grams of many passages take
+            done = ends[low] - sizes[low]
+            high = max(low + 1, int(np.searchsorted(ends, done + _HITS, side="right")))
+            size = sizes[low:high]
+            holder = np.arange(size.sum()) + np.repeat(self.first[number[low:high]] - (ends[low:high] - size - done), size)
+            passage, diagonal = self.passage[holder], np.repeat(at[low:high], size) - self.position[holder]
+            band = diagonal // (self.sizes[passage] // 2 + 16)
+            found = _merged(np.concatenate([found, np.stack([passage, band, diagonal, diagonal], axis=1)]))
+            low = high
+        return found
+
+
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """One row per passage and band."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    starts = np.flatnonzero(np.r_[True, (spans[1:, :2] != spans[:-1, :2]).any(axis=1)])
+    return np.column_stack([spans[starts, :2], np.minimum.reduceat(spans[:, 2], starts), np.maximum.reduceat(spans[:, 3], starts)])
 
 
 def align(queries: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,21 +155,27 @@ class Scanner:
 
     def __init__(self, block: Block, threshold: float) -> None:
         self.block, self.threshold, self.hasher = block, threshold, WordHasher()
+        self.numbers = [np.searchsorted(block.vocabulary, w) for w in block.words]
+        self.seen, self.turn = np.zeros(len(block.vocabulary) + 1, np.int64), 0
+
+    def least(self, passage: int) -> float:
+        """The alignment score from which a passage counts as found."""
+        return self.threshold * MATCH * len(self.block.words[passage])
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """Passage and window (begin, end) around its seed hits, by bands of diagonals."""
-        bands: dict[tuple[int, int], list[int]] = {}
-        for at, number in zip(*(x.tolist() for x in self.block.hits(words))):
-            for passage, position in self.block.holders[number]:
-                band = len(self.block.words[passage]) // 2 + 16
-                diagonal = at - position
-                span = bands.setdefault((passage, diagonal // band), [diagonal, diagonal])
-                span[0], span[1] = min(span[0], diagonal), max(span[1], diagonal)
-        out = []
-        for (passage, _), (low, high) in bands.items():
+        """Passage and window (begin, end) around its seed hits, if the window holds enough of its words."""
+        out, spans, known = [], self.block.spans(words).tolist(), self.block.vocabulary
+        if spans:
+            number = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            number = np.where(known[number] == words, number, len(known))
+        for passage, _, low, high in spans:
             size = len(self.block.words[passage])
             pad = size // 2 + 16
-            out.append((passage, max(0, low - pad), min(len(words), high + size + pad)))
+            begin, end = max(0, low - pad), min(len(words), high + size + pad)
+            self.turn += 1
+            self.seen[number[begin:end]] = self.turn
+            if MATCH * np.count_nonzero(self.seen[self.numbers[passage]] == self.turn) >= self.least(passage):
+                out.append((passage, begin, end))
         return out
 
     def __call__(self, texts: list[bytes | None]) -> list[tuple[int, int, float, int, int]]:
@@ -168,7 +188,7 @@ class Scanner:
                 queries.append(self.block.words[passage])
                 windows.append(words[begin:end])
         score, ends = align(queries, windows)
-        good = [i for i, q in enumerate(queries) if score[i] >= self.threshold * MATCH * len(q)]
+        good = [i for i, (_, passage, _) in enumerate(rows) if score[i] >= self.least(passage)]
         back, size = align([queries[i][::-1] for i in good], [windows[i][: ends[i]][::-1] for i in good])
         best: dict[tuple, tuple] = {}
         for k, i in enumerate(good):
@@ -181,32 +201,14 @@ class Scanner:
         return sorted(best.values())
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, block_words: int) -> Iterator[Block]:
-    """Blocks of about ``block_words`` words of whole items, with their seeds chosen by a scan of ``docs``."""
+def blocks(benchmark: DataFrame, item_col: str, block_words: int) -> Iterator[Block]:
+    """Blocks of about ``block_words`` words of whole items."""
     found = passages(benchmark, item_col).withColumn("part", F.xxhash64("item"))
     total = found.agg(F.sum(F.size("words"))).first()[0] or 0
     count = -(-total // block_words)
     for number in range(count):
         rows = found.where(F.pmod("part", F.lit(count)) == number).select("item", "words").orderBy("item", "words").collect()
-        block = Block([r.item for r in rows], [np.array(r.words, np.int64).view(np.uint64) for r in rows])
-        counts = np.zeros(len(block.grams), np.int64)
-        for gram, documents in _document_counts(docs, text_col, block).collect():
-            counts[gram] = documents
-        block.keep_rare(counts)
-        yield block
-
-
-def _document_counts(docs: DataFrame, text_col: str, block: Block) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHasher(), np.zeros(len(block.grams), np.int64)
-        for batch in slices(batches, _ROWS):
-            for text in text_bytes(batch.column(0)):
-                counts[np.unique(block.hits(hasher(text))[1])] += 1
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["gram", "documents"])
-
-    found = docs.select(text_col).mapInArrow(run, "gram int, documents bigint")
-    return found.groupBy("gram").agg(F.sum("documents").alias("documents"))
+        yield Block([r.item for r in rows], [np.array(r.words, np.int64).view(np.uint64) for r in rows])
 
 
 def contaminated(
@@ -229,7 +231,7 @@ def contaminated(
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"_doc {kind}, _item {item_kind}, score double, start_word int, end_word int"
     parts = []
-    for block in blocks(docs, benchmark, text_col, item_col, block_words):
+    for block in blocks(benchmark, item_col, block_words):
         parts.append(docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).mapInArrow(_finder(block, threshold, schema), schema))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema.replace("_doc", id_col).replace("_item", item_col))
@@ -264,7 +266,7 @@ def _finder(block: Block, threshold: float, schema: str):
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no test item is found, with all their columns and without a shuffle."""
     out, where = docs, docs.columns.index(text_col)
-    for block in blocks(docs, benchmark, text_col, item_col, block_words):
+    for block in blocks(benchmark, item_col, block_words):
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             scanner = Scanner(block, threshold)
             for batch in slices(batches, _ROWS):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from molspark.llm import contamination
 from tests.llm.helpers import SCHEMA, prose, rows, table
@@ -85,6 +86,31 @@ def test_frequent_passage_is_found_everywhere(spark):
     assert found.count() == 300
 
 
+@pytest.mark.parametrize("n", [9, 300])
+@pytest.mark.parametrize("whole", [0, 1, 40])
+def test_frequent_edited_and_partial_copies_are_found(spark, n, whole):
+    """The same edited or partial copy in many documents (of 3 n), beside none, one or some of the whole item."""
+    rnd = random.Random(4)
+    items = [prose(rnd, 38), prose(rnd, 59)]
+    words = items[0].split()
+    copies = [" ".join("edited" if k in (4, 12, 19, 27, 34) else w for k, w in enumerate(words)), " ".join(items[1].split()[:40])]
+    docs = [(i, f"{prose(rnd, 20)} {copies[0] if i < n else copies[1] if i < 2 * n else ''} {prose(rnd, 20)}", "en", "a", 1) for i in range(3 * n)]
+    docs += [(9000 + i, f"{prose(rnd, 20)} {' '.join(items)}", "en", "a", 1) for i in range(whole)]
+    wanted = {(i, int(i >= n)) for i in range(2 * n)} | {(9000 + i, k) for i in range(whole) for k in (0, 1)}
+    docs, items = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(k, t, 1) for k, t in enumerate(items)], ITEM)
+    assert {(r.doc_id, r.item_id) for r in contamination.contaminated(docs, items).collect()} == wanted
+    assert contamination.without_contaminated(docs, items).count() == n
+
+
+def test_spans_in_parts(monkeypatch):
+    rnd = np.random.default_rng(1)
+    block = contamination.Block(list(range(9)), [rnd.integers(1, 4, 30).astype(np.uint64) for _ in range(9)])
+    words = rnd.integers(1, 4, 500).astype(np.uint64)
+    wanted = block.spans(words)
+    monkeypatch.setattr(contamination, "_HITS", 7)
+    assert len(wanted) and (block.spans(words) == wanted).all()
+
+
 def test_filter_keeps_columns_and_clean_rows(spark):
     docs, items, wanted, data = corpus(spark)
     kept = contamination.without_contaminated(docs, items)
