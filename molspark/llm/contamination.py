@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from molspark.llm.text import WordHasher, gram_hashes, slices, text_bytes
 
 GRAM, MIN_WORDS, PASSAGE, STEP, THRESHOLD = 3, 8, 256, 128, 0.5
+EXCERPT = 100
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 500_000
 _CELLS, _ROWS, _HITS = 1 << 20, 512, 1 << 18
@@ -160,7 +161,7 @@ class Scanner:
 
     def least(self, passage: int) -> float:
         """The alignment score from which a passage counts as found."""
-        return self.threshold * MATCH * len(self.block.words[passage])
+        return self.threshold * MATCH * min(EXCERPT, len(self.block.words[passage]))
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """Passage and window (begin, end) around its seed hits, if the window holds enough of its words."""
@@ -223,7 +224,9 @@ def contaminated(
     """``id_col, item_col, score, start_word, end_word``: one row per document row and test item found in it.
 
     ``score`` is the alignment score of the item's best passage over the score of
-    a perfect copy; rows from ``threshold`` are returned. Words count from 0, the
+    a perfect copy; rows from ``threshold`` are returned, and of passages over 100
+    words those that reach ``threshold`` of 100 words, so that a long excerpt of a
+    long item counts (50 unbroken words by default). Words count from 0, the
     end is exclusive. Null or empty texts, and items with a null id or fewer than 8
     words, give no row; a null document id stays null; repeated document rows give
     repeated rows, repeated items one. Other columns are not read.

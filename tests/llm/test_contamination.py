@@ -102,6 +102,16 @@ def test_frequent_edited_and_partial_copies_are_found(spark, n, whole):
     assert contamination.without_contaminated(docs, items).count() == n
 
 
+def test_long_excerpt_of_a_long_item_is_found(spark):
+    rnd = random.Random(8)
+    words = [f"{prose(rnd, 1)}{k}" for k in range(700)]
+    cuts = {0: (0, 120), 1: (300, 360), 2: (580, 700), 3: (90, 200), 4: (200, 240)}  # the last one is too short
+    docs = [(i, f"{prose(rnd, 50)} {' '.join(words[a:b])} {prose(rnd, 50)}", "en", "a", 1) for i, (a, b) in cuts.items()]
+    docs, items = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, " ".join(words), 1)], ITEM)
+    found = {r.doc_id: r.end_word - r.start_word for r in contamination.contaminated(docs, items).collect()}
+    assert found == {i: b - a for i, (a, b) in cuts.items() if i < 4}
+
+
 def test_spans_in_parts(monkeypatch):
     rnd = np.random.default_rng(1)
     block = contamination.Block(list(range(9)), [rnd.integers(1, 4, 30).astype(np.uint64) for _ in range(9)])
