@@ -1,7 +1,8 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines, one per block element; a dropped element leaves a gap
-of empty lines. Text lengths are summed over windows of three lines. The text runs
+of empty lines, unless the lines before it in the same parent have surged: then what
+follows there, however short, is judged together with them. Text lengths are summed over windows of three lines. The text runs
 from a surge, a window of enough text, to the dive, a window without any; lines
 between them are kept, so short paragraphs inside the text stay and lone menu or
 notice lines do not. Lines whose text is mostly links weigh nothing.
@@ -75,11 +76,28 @@ def _is_main(name: str, attributes: dict[str, str]) -> bool:
     return name in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articlebody"
 
 
+def _weight(line: tuple[str, int, bool]) -> int:
+    return 0 if 2 * line[1] > len(line[0]) else len(line[0])
+
+
+class _Block:
+    """An open block element: whether a window of its lines and of its children's has surged."""
+
+    def __init__(self, depth: int) -> None:
+        self.depth, self.surged = depth, False
+        self._last = (0,) * WINDOW
+
+    def add(self, weight: int) -> None:
+        self._last = (*self._last[1:], weight)
+        self.surged = self.surged or sum(self._last) >= SURGE
+
+
 class _Lines:
     """Lines of a page: text, characters of it in links, whether inside the marked article; None is a gap."""
 
     def __init__(self) -> None:
         self.lines: list[tuple[str, int, bool] | None] = []
+        self.blocks = [_Block(0)]  # the page and the open block elements
         self._parts: list[str] = []
         self._links = 0
 
@@ -93,11 +111,21 @@ class _Lines:
         text = " ".join("".join(self._parts).split())
         if text:
             self.lines.append((text, self._links, in_main))
+            for block in self.blocks[-2:]:  # the block of the line and its parent
+                block.add(_weight(self.lines[-1]))
         self._parts, self._links = [], 0
 
     def gap(self, in_main: bool) -> None:
         self.end(in_main)
-        self.lines.append(None)
+        if not self.blocks[-1].surged:
+            self.lines.append(None)
+
+    def opened(self, depth: int) -> None:
+        self.blocks.append(_Block(depth))
+
+    def closed(self, depth: int) -> None:
+        while self.blocks[-1].depth > depth:
+            self.blocks.pop()
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool] | None]:
@@ -129,6 +157,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool] | None]:
                 dropped, mains, links = dropped - drops, mains - main, links - (last == "a")
                 if last == name:
                     break
+            out.closed(len(stack))
             continue
         attributes = _attributes(tag[3])
         drops, main = _is_boilerplate(name, attributes), _is_main(name, attributes)
@@ -145,6 +174,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool] | None]:
             stack.append((name, drops, main))
             opened[name] += 1
             dropped, mains, links = dropped + drops, mains + main, links + (name == "a")
+            if name in BLOCKS:
+                out.opened(len(stack))
     out.end(mains > 0)
     return out.lines
 
@@ -156,7 +187,7 @@ def _between(lines: list[tuple[str, int, bool] | None]) -> list[str]:
         if line is None:
             rows += [("", 0)] * WINDOW
         else:
-            rows.append((line[0], 0 if 2 * line[1] > len(line[0]) else len(line[0])))
+            rows.append((line[0], _weight(line)))
     sums = [sum(size for _, size in rows[i : i + WINDOW]) for i in range(len(rows))]
     out, inside = [], False
     for (text, _), total in zip(rows, sums):

@@ -38,6 +38,17 @@ def test_short_lines_away_from_the_text_go():
     assert html_text.main_text(page) == f"Title\n\n{PLAIN}\n\nEnd."
 
 
+@pytest.mark.parametrize("noise", DROPPED)
+@pytest.mark.parametrize("after, lines", [
+    ("<p>A last short paragraph.</p>", ["A last short paragraph."]), ("<ul><li>one</li><li>two</li></ul><p>End.</p>", ["one", "two", "End."]),
+    ("<p>\u77ed\u3044\u6bb5\u843d\u3067\u3059\u3002</p><p>\u7d42\u308f\u308a\u3002</p>", ["\u77ed\u3044\u6bb5\u843d\u3067\u3059\u3002", "\u7d42\u308f\u308a\u3002"]),
+])
+@pytest.mark.parametrize("frame", ["<div>{}</div>", "<body>{}", "<div><div><section>{}</section></div></div>"])
+def test_short_lines_after_noise_in_the_text_stay(noise, after, lines, frame):
+    page = frame.format(f"<p>{LONG}</p>{noise}{after}{noise}<p>Last.</p>") + f"{noise}"
+    assert html_text.main_text(page) == "\n\n".join([PLAIN, *lines, "Last."])
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("   ", ""), ("<p>only this", "only this"), ("<a href=x>link</a>", ""), ("<!-- never closed <p>x</p>", ""),
     ("<script>never closed <p>x</p>", ""), ("a < b and &lt;c&gt; &#233; &nbsp; d", "a < b and <c> é d"), ("<p>cut off <b cla", "cut off"),
