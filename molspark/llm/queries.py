@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.llm import adaptive_rules, bpe, contamination, html_text, lattice_lm, quality_model, secrets, simhash, url_filter, warc
+from molspark.llm import adaptive_rules, bpe, contamination, html_text, lattice_lm, quality_model, secrets, simhash, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_table(spark, folder, "pages"))
+
+
+@_query("op13_packed_token_files")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Places, sizes and checksums of every document's ids, from bit-packed files written and read back."""
+    coded = token_files.round_trip(_table(spark, folder, "documents"))
+    return coded.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
