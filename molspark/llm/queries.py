@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.llm import adaptive_rules, bpe, contamination, html_text, lattice_lm, quality_model, secrets, simhash, token_files, url_filter, warc
+from molspark.llm import adaptive_rules, bpe, contamination, html_text, lattice_lm, periodic_runs, quality_model, secrets, simhash, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,37 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Places, sizes and checksums of every document's ids, from bit-packed files written and read back."""
     coded = token_files.round_trip(_table(spark, folder, "documents"))
     return coded.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where a tenth of the texts repeat some of their words up to the end, as the digits of the id say."""
+    h, g = F.crc32(F.col("doc_id").cast("string")), F.expr("crc32(CAST(doc_id AS STRING)) DIV 10")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")).otherwise("")
+
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    changed = F.transform(F.array(words), repeated)[0]  # so that the words are made once
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of periodically repeated words in every document, the longest one, and digests of all and of the rest."""
+    found = periodic_runs.find_runs(_with_periods(_table(spark, folder, "documents")))
+    longest = F.try_element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r.length).alias("l"), r.start.alias("s"), r.period.alias("p")))), F.lit(1))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    return found.select("doc_id", "collapsed", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("m"), F.concat(F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise("")).alias("lines")).select(
+        "doc_id",
+        "n_runs",
+        F.col("m.s").alias("start"),
+        (-F.col("m.l")).alias("length"),
+        F.col("m.p").alias("period"),
+        F.expr("-1000 * m.l DIV m.p").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

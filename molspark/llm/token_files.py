@@ -198,7 +198,7 @@ class IdWriter(DataSourceArrowWriter):
     def __init__(self, options: dict) -> None:
         self._path, self._width = options["path"].rstrip("/"), int(options["width"])
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, base = pafs.FileSystem.from_uri(self._path)
         name, partition = f"part-{uuid.uuid4().hex}.ids", TaskContext.get().partitionId()
         offsets, starts, names, nulls, splits = [], [], [], [], [0]
@@ -227,7 +227,7 @@ class IdWriter(DataSourceArrowWriter):
                     out.write(pack(joined[at : at + BLOCK], self._width))
                 waiting, size = [joined[size - size % BLOCK :]], size % BLOCK
         if out is None:
-            return None
+            return Written(partition, name, 0, 0, None, None, [])
         if size:
             offsets.append(out.tell())
             out.write(pack(np.concatenate(waiting), self._width))
@@ -242,7 +242,7 @@ class IdWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, base = pafs.FileSystem.from_uri(self._path)
         fs.create_dir(base, recursive=True)
-        files, last, start = sorted((m for m in messages if m is not None), key=lambda m: m.partition), None, 0
+        files, last, start = sorted((m for m in messages if m is not None and m.documents), key=lambda m: m.partition), None, 0
         listed = []
         for m in files:
             if m.first is not None and last is not None and m.first < last:
@@ -336,6 +336,8 @@ class IdReader(DataSourceReader):
         return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what a folder without files is read by
+            return iter(())
         return self._windows(partition) if isinstance(partition, Windows) else self._documents(partition)
 
     def _documents(self, partition: Documents) -> Iterator[pa.RecordBatch]:

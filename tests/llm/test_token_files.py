@@ -61,7 +61,7 @@ def test_full_cache_changes_nothing(tokenizer, monkeypatch):
 
 
 def test_round_trip_against_the_library(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(token_files, "SPLIT_IDS", 500)
+    monkeypatch.setattr(token_files, "SPLIT_IDS", 20_000)
     data = rows()
     folder = fresh_path(spark, "ids")
     token_files.write_ids(table(spark, data), folder)
