@@ -313,7 +313,7 @@ def collocations(
     longer = longer.groupBy("lang", "size", "id").agg(F.max("f").alias("most"))
     kept = found.join(longer, ["lang", "size", "id"], "left").where("most IS NULL OR 100 * most < 100 * f").select("lang", "size", F.col("f").alias("a"), "phrase")
     cuts = kept.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
-        "*", F.substring_index("phrase", " ", F.col("k")).alias("_l"), F.substring_index("phrase", " ", F.col("k") - F.col("size")).alias("_r")
+        "*", F.expr("substring_index(phrase, ' ', k)").alias("_l"), F.expr("substring_index(phrase, ' ', k - size)").alias("_r")
     )
     part = lambda name, f: counted.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     cuts = cuts.join(part("_l", "l"), ["lang", "_l"]).join(part("_r", "r"), ["lang", "_r"]).join(totals, "lang")

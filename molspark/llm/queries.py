@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.llm import adaptive_rules, bpe, contamination, html_text, lattice_lm, periodic_runs, quality_model, secrets, simhash, token_files, url_filter, warc
+from molspark.llm import adaptive_rules, bpe, collocations, contamination, html_text, lattice_lm, periodic_runs, quality_model, secrets, simhash, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,35 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("lines", 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@_query("op11_phrase_collocations", """
+WITH pieces AS (
+ SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+ FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+stretches AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS size FROM places),
+counted AS (
+ SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+ FROM stretches GROUP BY ALL HAVING count(*) >= 100),
+listed AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS w FROM counted),
+inside AS (
+ SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(f) AS most
+ FROM (SELECT *, unnest(range(1, size - m + 2)) AS s FROM (SELECT *, unnest(range(2, size)) AS m FROM listed)) GROUP BY ALL),
+cuts AS (
+ SELECT c.lang, c.phrase, c.f AS a, t.n, k, l.f AS l, r.f AS r, CAST(1000 * c.f::HUGEINT * t.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+ FROM (SELECT *, unnest(range(1, size)) AS k FROM listed WHERE size > 1) c
+ LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+ JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+ JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+ JOIN totals t ON t.lang = c.lang
+ WHERE i.most IS NULL OR 100 * i.most < 100 * c.f),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrases of each language whose words stand together most."""
+    return collocations.collocations(_table(spark, folder, "documents"))
