@@ -9,7 +9,7 @@ from molspark.catalog.base import (
 )
 from molspark.functions import tokens as tk
 from molspark.functions.hashing import fingerprint, fragment_id, fragment_set
-from molspark.operators import accessibility, augment, ensemble, interpret, scaling, similarity, vocabulary
+from molspark.operators import accessibility, augment, ensemble, families, interpret, scaling, similarity, vocabulary
 from molspark.operators.selection import top_fraction
 from molspark.plans import discovery
 from molspark.staging import stage
@@ -235,6 +235,35 @@ def _(spark, sf):
     return out.withColumn("sim", F.round("sim", 6))
 
 
+_CLASSES = f"""fp AS (SELECT min(doc_id) AS id, count(*) AS m, bits FROM (SELECT doc_id, {set_sql(tok('text'))} AS bits FROM documents) GROUP BY bits),
+{pairs_sql('fp', 0.8)}, links AS (SELECT i, j FROM ov WHERE c / (ni + nj - c) >= 0.8),
+ways AS (SELECT i, j FROM links UNION ALL SELECT j, i FROM links),
+reach AS (SELECT id, id AS other FROM fp UNION SELECT reach.id, ways.j FROM reach JOIN ways ON ways.i = reach.other),
+label AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id)"""
+
+
+@query("jon9_similarity_classes", f"""WITH RECURSIVE {_CLASSES}, n AS (SELECT class_id, count(*) AS n_links FROM links JOIN label ON id = i GROUP BY class_id)
+SELECT class_id, first(id ORDER BY m DESC, id) AS rep, sum(m)::BIGINT AS n_rows, count(*) AS n_sets, coalesce(any_value(n_links), 0)::BIGINT AS n_links
+FROM label JOIN fp USING (id) LEFT JOIN n USING (class_id) GROUP BY class_id""")
+def _(spark, sf):
+    return families.similarity_families(text_sets(heavy(spark, sf, "documents"), "doc_id"), "id", 0.8)[1]
+
+
+@query("jon9_class_members", f"""WITH RECURSIVE {_CLASSES}, rows AS (SELECT doc_id, {set_sql(tok('text'))} AS bits FROM documents)
+SELECT doc_id, class_id FROM rows JOIN fp USING (bits) JOIN label USING (id)""")
+def _(spark, sf):
+    members, _ = families.similarity_families(text_sets(heavy(spark, sf, "documents"), "doc_id"), "id", 0.8)
+    return members.withColumnRenamed("id", "doc_id")
+
+
+@query("jon9_banded_pairs", f"""WITH fp AS (SELECT min(doc_id) AS id, count(*) AS m, bits FROM (SELECT doc_id, {set_sql(tok('text'))} AS bits FROM documents) GROUP BY bits),
+{pairs_sql('fp', 0.8)} SELECT i AS rep_a, j AS rep_b, x.m AS m_a, y.m AS m_b, round(c / (ni + nj - c), 6) AS sim FROM ov JOIN fp x ON x.id = i JOIN fp y ON y.id = j
+WHERE c / (ni + nj - c) >= 0.8""")
+def _(spark, sf):
+    out = families.banded_pairs(text_sets(heavy(spark, sf, "documents"), "doc_id"), "id", 0.8)
+    return out.withColumn("sim", F.round("sim", 6))
+
+
 # --- interpretation --------------------------------------------------------
 
 @query("agg20_attention_stats", """SELECT l_orderkey AS "row", l_linenumber AS pos, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS std FROM lineitem GROUP BY ALL""")
