@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.functions.tokens import TOKEN_PATTERN
+from molspark.functions.tokens import STRUCTURAL_TOKENS, TOKEN_PATTERN
 from molspark.staging import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,9 @@ MOLECULES_SQL = f"""molecules AS (SELECT o_orderkey AS mol_id, {MOLECULE} AS smi
  o_totalprice / 100000.0::DOUBLE AS property, o_custkey AS custkey FROM orders)"""
 
 
+STRUCTURAL_SQL = ", ".join(f"'{t}'" for t in STRUCTURAL_TOKENS)
+
+
 def tok(column: str) -> str:
     return f"list_concat([' '], regexp_extract_all({column}, '{TOKEN_PATTERN}', 1), [' '])"
 

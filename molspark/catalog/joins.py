@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from molspark.catalog.base import (
+    STRUCTURAL_SQL,
     heavy, MOLECULES_SQL, bits_sql, body, grams, hexint, molecules, query, r6, set_sql, table, tok,
 )
 from molspark.functions import tokens as tk
@@ -159,7 +160,7 @@ def _(spark, sf):
 _SA = f"""{MOLECULES_SQL},
 mt AS (SELECT mol_id, {tok('smiles')} AS t FROM molecules),
 feat AS (SELECT mol_id, len(a) AS n_atoms, len(list_filter(a, lambda x: contains(x, '@'))) AS n_chiral FROM
- (SELECT mol_id, list_filter(t, lambda x: x NOT IN ('-','=','#','$','/','\\','.','(',')',' ') AND NOT regexp_matches(x, '^%?[0-9]+$')) AS a FROM mt)),
+ (SELECT mol_id, list_filter(t, lambda x: x NOT IN ({STRUCTURAL_SQL}, ' ') AND NOT regexp_matches(x, '^%?[0-9]+$')) AS a FROM mt)),
 cnt AS (SELECT mol_id, {hexint('md5(g)')} AS fragment_id, count(*) AS cnt FROM (SELECT mol_id, unnest({grams('t', 2)}) AS g FROM mt) GROUP BY ALL),
 contrib AS (SELECT DISTINCT fragment_id, (fragment_id % 1000) / 250.0::DOUBLE - 2 AS score FROM cnt WHERE fragment_id % 3 <> 0),
 fs AS (SELECT mol_id, sum(coalesce(score, -4) * cnt) / sum(cnt) AS s, count(*) AS n_bits FROM cnt LEFT JOIN contrib USING (fragment_id) GROUP BY 1),
@@ -277,7 +278,7 @@ def _(spark, sf):
 
 @query("ml12_atom_weights", f"""WITH {MOLECULES_SQL}, t AS (SELECT mol_id, {body('smiles')} AS t FROM molecules),
 a AS (SELECT mol_id, (unnest(range(len(t))))::INT AS pos, unnest(t) AS token, ((mol_id + 39 - len(t) + unnest(range(len(t)))) % 17)::DOUBLE AS weight FROM t),
-f AS (SELECT * FROM a WHERE token NOT IN ('-','=','#','$','/','\\','.','(',')') AND NOT regexp_matches(token, '^[0-9]+$'))
+f AS (SELECT * FROM a WHERE token NOT IN ({STRUCTURAL_SQL}) AND NOT regexp_matches(token, '^[0-9]+$'))
 SELECT *, round(CASE WHEN max(weight) OVER w = min(weight) OVER w THEN 0 ELSE (weight - min(weight) OVER w) / (max(weight) OVER w - min(weight) OVER w) END, 6) AS norm_weight
 FROM f WINDOW w AS (PARTITION BY mol_id)""")
 def _(spark, sf):

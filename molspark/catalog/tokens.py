@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from molspark.catalog.base import (
+    STRUCTURAL_SQL,
     heavy, MOLECULES_SQL, bits_sql, body, grams, hexint, joined, list_text, molecules, query, r6, table, tok,
 )
 from molspark.functions import scores, tokens as tk, validity
@@ -326,7 +327,7 @@ def _(spark, sf):
 
 
 @query("flt6_atom_tokens", f"""WITH {MOLECULES_SQL}, t AS (SELECT mol_id, unnest({body('smiles')}) AS token FROM molecules)
-SELECT token, count(*) AS n FROM t WHERE token NOT IN ('-','=','#','$','/','\\','.','(',')') AND NOT regexp_matches(token, '^[0-9]+$') GROUP BY ALL""")
+SELECT token, count(*) AS n FROM t WHERE token NOT IN ({STRUCTURAL_SQL}) AND NOT regexp_matches(token, '^[0-9]+$') GROUP BY ALL""")
 def _(spark, sf):
     rows = molecules(spark, sf).select(F.explode(tk.body_tokens(F.col("smiles"))).alias("token"))
     return interpret.atom_tokens(rows).groupBy("token").agg(F.count(F.lit(1)).alias("n"))

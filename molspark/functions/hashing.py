@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 FINGERPRINT_BITS = 2048
@@ -46,3 +47,40 @@ def fingerprint(fragments: Column, n_bits: int = FINGERPRINT_BITS) -> Column:
         F.array_distinct(fragments), lambda g: (fragment_id(g) % n_bits).cast("int")
     )
     return F.array_sort(F.array_distinct(bits))
+
+
+# The additive constants of MD5 by their definition, and its rotations per group of 16 rounds.
+_SINES = (np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint32)
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def leading_md5(prefixes: np.ndarray, suffix: bytes) -> np.ndarray:
+    """First 32 bits of the md5 of each prefix (bytes) + ``suffix``, as :func:`leading_bits` reads 8 digits.
+
+    All digests advance together. A message may have up to 55 bytes.
+    """
+    width, lengths = prefixes.dtype.itemsize, np.char.str_len(prefixes)
+    if width + len(suffix) > 55:
+        raise ValueError("messages of up to 55 bytes")
+    block = np.zeros((len(prefixes), 64), np.uint8)
+    block[:, :width] = prefixes.view(np.uint8).reshape(len(prefixes), width)
+    at = np.arange(len(prefixes))
+    for k, byte in enumerate([*suffix, 0x80]):
+        block[at, lengths + k] = byte
+    block[:, 56:58] = ((lengths + len(suffix)) * 8).astype("<u2").view(np.uint8).reshape(-1, 2)
+    words = np.ascontiguousarray(block.view("<u4").T)
+    a, b, c, d = (np.full(len(prefixes), x, np.uint32) for x in _START)
+    for i in range(64):
+        group = i // 16
+        if group == 0:
+            mixed, word = d ^ (b & (c ^ d)), i
+        elif group == 1:
+            mixed, word = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif group == 2:
+            mixed, word = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            mixed, word = c ^ (b | ~d), 7 * i % 16
+        turned, by = a + mixed + _SINES[i] + words[word], _TURNS[group][i % 4]
+        a, d, c, b = d, c, b, b + (turned << np.uint32(by) | turned >> np.uint32(32 - by))
+    return (a + np.uint32(_START[0])).byteswap().astype(np.int64)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import bisect
-import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from molspark.functions.hashing import uniform
+from molspark.functions.hashing import leading_md5, uniform
 from molspark.functions.tokens import SENTINEL, bound, tokenize
 from molspark.operators.shaping import unnest
 from molspark.staging import stage
@@ -55,44 +55,82 @@ def cumulative_shares(counts: DataFrame, temperature: float = 0.9) -> DataFrame:
     )
 
 
+class TransitionTable:
+    """All intervals as one sorted array of whole numbers: token number, then the interval's end times 2**32.
+
+    A draw of a walk at a token is a number of the same form, so the next tokens of a
+    whole batch of walks are one binary search, exactly as by comparing the fractions.
+    """
+
+    def __init__(self, cur: list[str], hi: np.ndarray, nxt: list[str]) -> None:
+        self.tokens = sorted({SENTINEL, *cur, *nxt})
+        number = {t: k for k, t in enumerate(self.tokens)}
+        ends = np.ceil(hi * 2.0**32).astype(np.int64)
+        keys = np.array([number[c] for c in cur], np.int64) << 33 | ends
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.next = keys[order], np.array([number[t] for t in nxt], np.int32)[order]
+        self.sentinel = number[SENTINEL]
+
+    def walks(self, seed: int, ids: np.ndarray, max_length: int) -> pa.Array:
+        """The strings of some candidates, all advanced by one token a step."""
+        prefixes = np.array([f"{seed}|{i}|" for i in ids.tolist()], dtype=bytes)
+        going, cur = np.arange(len(ids)), np.full(len(ids), self.sentinel, np.int64)
+        rows, drawn = [], []
+        for step in range(max_length):
+            draws = leading_md5(prefixes[going], str(step).encode())
+            at = np.searchsorted(self.keys, cur << 33 | draws, side="right")
+            if (at == len(self.keys)).any() or (self.keys[at] >> 33 != cur).any():
+                raise ValueError("a token without successors")
+            cur = self.next[at].astype(np.int64)
+            open_ = cur != self.sentinel
+            going, cur = going[open_], cur[open_]
+            if not len(going):
+                break
+            rows.append(going)
+            drawn.append(cur)
+        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        order = np.argsort(row, kind="stable")  # steps are in order already
+        offsets = np.searchsorted(row[order], np.arange(len(ids) + 1)).astype(np.int32)
+        tokens = pa.array(self.tokens).take(pa.array(np.concatenate(drawn)[order] if drawn else np.zeros(0, np.int64)))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens), "")
+
+
 def sample(ids: DataFrame, shares: DataFrame, seed: int, max_length: int = MAX_LENGTH, limit: int = TABLE_LIMIT) -> DataFrame:
     """One string per candidate id, drawn token by token until the end sentinel.
 
     Every draw depends on seed, id and step only. The transition table goes to
     the executors while it is small; a larger one is joined step by step.
     """
-    shares = stage(shares, "transitions")
-    if shares.limit(limit + 1).count() > limit:
-        return sample_by_join(ids, shares, seed, max_length)
-    table: dict[str, tuple[list[float], list[str]]] = {}
-    for r in shares.orderBy("cur", "next").collect():
-        his, nxt = table.setdefault(r["cur"], ([], []))
-        his.append(r["hi"])
-        nxt.append(r["next"])
-    shared = ids.sparkSession.sparkContext.broadcast(table)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        steps = shared.value
+    rows = shares.select("cur", "next", "hi").limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return sample_by_join(ids, stage(shares, "transitions"), seed, max_length)
+    if not rows.num_rows:
+        return ids.select("cand_id", F.lit("").alias("smiles"))
+    table = TransitionTable(rows["cur"].to_pylist(), rows["hi"].to_numpy(), rows["next"].to_pylist())
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({
-                "cand_id": batch["cand_id"],
-                "smiles": [_walk(steps, seed, i, max_length) for i in batch["cand_id"]],
-            })
+            walks = table.walks(seed, batch.column(0).to_numpy(zero_copy_only=False), max_length)
+            yield pa.RecordBatch.from_arrays([batch.column(0), walks], ["cand_id", "smiles"])
 
-    return ids.select("cand_id").mapInPandas(draw, "cand_id bigint, smiles string")
+    return ids.select(F.col("cand_id").cast("bigint").alias("cand_id")).where("cand_id IS NOT NULL").mapInArrow(draw, "cand_id bigint, smiles string")
 
 
-def _walk(steps: dict, seed: int, cand_id: int, max_length: int) -> str:
-    cur, out = SENTINEL, []
-    for step in range(max_length):
-        his, nxt = steps[cur]
-        digest = hashlib.md5(f"{seed}|{cand_id}|{step}".encode()).hexdigest()
-        u = int(digest[:8], 16) / 4294967296.0
-        cur = nxt[bisect.bisect_right(his, u)]
-        if cur == SENTINEL:
-            break
-        out.append(cur)
-    return "".join(out)
+def range_lookup(shares: DataFrame) -> DataFrame:
+    """``cur, slot, lo, hi, next, slots``: the intervals, cut into slots of equal width per token.
+
+    A token has as many slots as successors, rounded up to a power of two, and eight at
+    least, so a draw meets one or two intervals by an equi-join, whatever the token,
+    and the walks at a frequent token are dealt over its slots. ``slots`` is the number
+    of slots of the next token.
+    """
+    sizes = shares.groupBy("cur").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("cur", F.greatest(F.lit(8), F.pow(2, F.ceil(F.log2("_n")))).cast("int").alias("_s"))
+    # the last slot is the one below the interval's end, which it does not contain
+    first, last = F.floor(F.col("lo") * F.col("_s")), F.ceil(F.col("hi") * F.col("_s")) - 1
+    cut = shares.join(sizes, "cur").withColumn("slot", F.explode(F.sequence(first, F.greatest(first, last))))
+    after = sizes.select(F.col("cur").alias("next"), F.col("_s").alias("slots"))
+    return cut.join(after, "next", "left").select("cur", F.col("slot").cast("int").alias("slot"), "lo", "hi", "next", F.coalesce("slots", F.lit(1)).alias("slots"))
 
 
 def sample_by_join(ids: DataFrame, shares: DataFrame, seed: int, max_length: int = MAX_LENGTH, every: int = 5) -> DataFrame:
@@ -100,10 +138,12 @@ def sample_by_join(ids: DataFrame, shares: DataFrame, seed: int, max_length: int
 
     An ended walk has a null ``cur``.
     """
-    going = ids.select("cand_id", F.lit(SENTINEL).alias("cur"), F.lit("").alias("smiles"))
+    lookup = stage(range_lookup(shares), "slots")
+    first = lookup.where(F.col("cur") == SENTINEL).agg(F.max("slot")).first()[0]
+    going = ids.select("cand_id", F.lit(SENTINEL).alias("cur"), F.lit(1 if first is None else first + 1).alias("slots"), F.lit("").alias("smiles"))
     done = None
     for step in range(max_length):
-        going = _step(going, shares, uniform(seed, F.col("cand_id"), F.lit(step)))
+        going = _step(going, lookup, uniform(seed, F.col("cand_id"), F.lit(step)))
         if (step + 1) % every == 0:
             going = stage(going, "walk")
             ended = going.where("cur IS NULL")
@@ -115,13 +155,15 @@ def sample_by_join(ids: DataFrame, shares: DataFrame, seed: int, max_length: int
     return out.select("cand_id", "smiles")
 
 
-def _step(walks: DataFrame, shares: DataFrame, u: Column) -> DataFrame:
+def _step(walks: DataFrame, lookup: DataFrame, u: Column) -> DataFrame:
     """Extend open walks by one token; ended ones pass through."""
     ended = walks.where("cur IS NULL")
-    nxt = walks.where("cur IS NOT NULL").withColumn("_u", u).join(shares, "cur").where("_u >= lo AND _u < hi")
+    placed = walks.where("cur IS NOT NULL").withColumn("_u", u).withColumn("slot", F.floor(F.col("_u") * F.col("slots")).cast("int")).drop("slots")
+    nxt = placed.join(lookup, ["cur", "slot"]).where("_u >= lo AND _u < hi")
     ends = F.col("next") == SENTINEL
     return nxt.select(
         "cand_id",
         F.when(~ends, F.col("next")).alias("cur"),
+        "slots",
         F.concat("smiles", F.when(ends, "").otherwise(F.col("next"))).alias("smiles"),
     ).unionByName(ended)
