@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from molspark.catalog.base import heavy, MOLECULES_SQL, set_sql, molecules, query, r6, table, tok
+from molspark.catalog.base import heavy, MOLECULES_SQL, digest, grams, hexint, set_sql, molecules, query, r6, table, tok
 from molspark.catalog.joins import molecule_scorer, pairs_sql
 from molspark.catalog.selection import accepted_sql
 from molspark.catalog.tokens import checks_sql
 from molspark.functions import tokens as tk
-from molspark.operators import generate
-from molspark.plans import cross_validation as cv, discovery
+from molspark.functions.hashing import leading_bits, seeded_digest
+from molspark.operators import ensemble, generate, metrics, splits
+from molspark.plans import cross_validation as cv, discovery, stored
 from molspark.staging import fresh_path
 from molspark.streaming import intake
 
@@ -98,6 +99,75 @@ def _(spark, sf):
     return scores.select("fold", "run", "set", *(F.round(c, 4).alias(c) for c in ("rmse", "mae", "r2")))
 
 
+# Members with coefficients that SQL can make too: whole thousandths from a digest.
+_STORED_FEATURES = 64
+_STORED_SQL = f"""g AS (SELECT mol_id, unnest(list_concat({tok('smiles')}, {grams(tok('smiles'), 2)})) AS g FROM molecules),
+entries AS (SELECT mol_id, {hexint('md5(g)')} % {_STORED_FEATURES} AS j, count(*) AS c FROM g GROUP BY ALL),
+coefs AS (SELECT f, r, j, ({hexint(digest('w', "(f || '|' || r || '|' || j)"))} % 2001 - 1000) / 1000.0::DOUBLE AS w
+ FROM (SELECT unnest(range(5)) AS f), (SELECT unnest(range(5)) AS r), (SELECT unnest(range({_STORED_FEATURES})) AS j)),
+scored AS (SELECT mol_id, f::INT AS fold, r::INT AS run, (f + r / 10.0::DOUBLE + sum(c * w)) * (1 + f / 4.0::DOUBLE) + 0.5::DOUBLE * f AS pred FROM entries JOIN coefs USING (j) GROUP BY mol_id, f, r)"""
+
+
+def stored_members(spark, sf):
+    """Five folds by five runs, saved and so read back from a folder."""
+    cell = spark.range(25).select(F.expr("CAST(id DIV 5 AS INT)").alias("fold"), F.expr("CAST(id % 5 AS INT)").alias("run"))
+    weight = lambda j: (leading_bits(seeded_digest("w", F.col("fold"), F.col("run"), j), 8) % 2001 - 1000) / 1000.0
+    members = cell.select(
+        "fold", "run", F.lit("regression").alias("kind"), F.lit(_STORED_FEATURES).alias("n_features"), (F.col("fold") + F.col("run") / 10.0).alias("intercept"),
+        F.transform(F.sequence(F.lit(0), F.lit(_STORED_FEATURES - 1)), weight).alias("coefficients"),
+        (F.col("fold") * 0.5).alias("center"), (1 + F.col("fold") / 4.0).alias("scale"),
+        F.array().cast("array<double>").alias("extra_center"), F.array().cast("array<double>").alias("extra_scale"),
+    )
+    folder = fresh_path(spark, "ensemble")
+    stored.save(members, folder)
+    return folder
+
+
+@query("src7_ml2_stored_inference", f"""WITH {MOLECULES_SQL}, {_STORED_SQL}
+SELECT mol_id, round(avg(pred), 6) AS mean, round(stddev_pop(pred), 6) AS sigma FROM scored WHERE fold IN (1, 3) AND run IN (0, 2, 4) GROUP BY mol_id""")
+def _(spark, sf):
+    model = stored.load(spark, stored_members(spark, sf), folds=[1, 3], runs=[0, 2, 4])
+    out = model.infer(molecules(spark, sf).select("mol_id", "smiles"), "smiles", "mol_id")
+    return out.select("mol_id", r6(F.col("mean"), "mean"), r6(F.col("sigma"), "sigma"))
+
+
+_OWN_SQL = f"""own AS (SELECT mol_id, property, (ntile(5) OVER (ORDER BY {digest(123, 'mol_id')}, mol_id) - 1)::INT AS fold FROM molecules),
+oof AS (SELECT mol_id, property, fold, run, pred FROM own JOIN scored USING (mol_id, fold))"""
+
+
+def stored_out_of_fold(spark, sf):
+    rows = splits.shuffled_kfold(molecules(spark, sf).select("mol_id", "smiles", "property"), "mol_id", 5)
+    model = stored.load(spark, stored_members(spark, sf))
+    return rows, model.out_of_fold(rows, "smiles", "mol_id")
+
+
+@query("ml1_stored_out_of_fold", f"""WITH {MOLECULES_SQL}, {_STORED_SQL}, {_OWN_SQL}
+SELECT mol_id, fold, round(avg(pred), 6) AS mean, round(stddev_pop(pred), 6) AS sigma FROM oof GROUP BY mol_id, fold""")
+def _(spark, sf):
+    """Held-out predictions of five folds by five runs."""
+    _, preds = stored_out_of_fold(spark, sf)
+    out = ensemble.mean_sigma(preds, ["mol_id", "fold"])
+    return out.select("mol_id", "fold", r6(F.col("mean"), "mean"), r6(F.col("sigma"), "sigma"))
+
+
+@query("ml1_ml3_stored_scores", f"""WITH {MOLECULES_SQL}, {_STORED_SQL}, {_OWN_SQL}
+SELECT fold, run, round(sqrt(avg((property - pred) ** 2)), 5) AS rmse, round(avg(abs(property - pred)), 5) AS mae,
+ round(1 - sum((property - pred) ** 2) / (var_pop(property) * count(*)), 5) AS r2 FROM oof GROUP BY fold, run""")
+def _(spark, sf):
+    """Scores of each single member on the rows it has not seen."""
+    rows, preds = stored_out_of_fold(spark, sf)
+    out = metrics.regression_metrics(preds.join(rows.select("mol_id", "property"), "mol_id"), ["fold", "run"], "property", "pred")
+    return out.select("fold", "run", *(F.round(c, 5).alias(c) for c in ("rmse", "mae", "r2")))
+
+
+@query("ml1_classification_run_scores")
+def _(spark, sf):
+    """Scores of every single member of a classifier."""
+    _, data = text_model(spark, sf, "classification")
+    scores = cv.run_scores(cv.train_ensemble(data, n_runs=2), data)
+    return scores.select("fold", "run", "set", *(F.round(c, 4).alias(c) for c in metrics.CLASSIFICATION))
+
+
 _DRAWN = _WALK.replace("p_partkey AS cand_id", "range AS cand_id").replace("FROM part\n", "FROM range(600)\n")
 
 

@@ -103,6 +103,15 @@ def _(spark, sf):
     return fold_scaler(spark, sf).select("fold", r6(F.col("center"), "center"), r6(F.col("scale"), "scale"))
 
 
+@query("agg24_robust_fit_columns", " UNION ALL ".join(f"""SELECT (l_orderkey % 5)::INT AS fold, '{c}' AS "column", round(quantile_cont({c}::DOUBLE, 0.5), 6) AS center,
+ round(CASE WHEN quantile_cont({c}::DOUBLE, 0.95) = quantile_cont({c}::DOUBLE, 0.05) THEN 1 ELSE quantile_cont({c}::DOUBLE, 0.95) - quantile_cont({c}::DOUBLE, 0.05) END, 6) AS scale
+ FROM lineitem GROUP BY 1""" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey")))
+def _(spark, sf):
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 5).cast("int").alias("fold"), *columns)
+    return scaling.fit_robust_columns(rows, columns).select("fold", "column", r6(F.col("center"), "center"), r6(F.col("scale"), "scale"))
+
+
 _ROWS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 

@@ -22,6 +22,18 @@ def fit_robust(train: DataFrame, value: str, keys: Sequence[str] = ("fold",)) ->
     )
 
 
+def fit_robust_columns(train: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("fold",)) -> DataFrame:
+    """``keys, column, center, scale`` of many columns at once, by the scans that one column takes.
+
+    Each row's values become an array of (column, value) pairs next to the scan; the
+    sketches, brackets and counts of all columns are aggregated together. Nulls take no
+    part; a column without values has no row.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("_v")) for c in columns))
+    long = train.select(*keys, F.explode(pairs).alias("_e")).select(*keys, "_e.*").where("_v IS NOT NULL")
+    return fit_robust(long, "_v", [*keys, "column"])
+
+
 def transform(df: DataFrame, scaler: DataFrame, value: str, out: str, keys: Sequence[str] = ("fold",)) -> DataFrame:
     """Scale by the row's fold; null where its fold has no scaler row. A saved
     scaler is a tiny table, which Spark broadcasts by its size."""

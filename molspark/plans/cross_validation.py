@@ -7,16 +7,16 @@ from dataclasses import dataclass, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.functions.hashing import uniform
-from molspark.functions.tokens import join_strings, ngrams, tokenize
+from molspark.functions.hashing import fragment_id, uniform
+from molspark.functions.tokens import bound, join_strings, ngrams, tokenize
 from molspark.operators import ensemble, metrics, splits, tuning
 from molspark.operators.augment import explode_variants, split_rejected
-from molspark.operators.scaling import fit_robust, inverse_transform
+from molspark.operators.scaling import fit_robust, fit_robust_columns, inverse_transform
 from molspark.staging import stage
 
 FITS_AT_ONCE = 4
@@ -36,6 +36,9 @@ class Ensemble:
     kind: str
     extra_scales: tuple = ()  # per fold: (center, scale) of each extra column
 
+    def spark(self) -> SparkSession:
+        return SparkSession.active() if self.scaler is None else self.scaler.sparkSession
+
     def predict(self, variants: DataFrame, text: str = "variant") -> DataFrame:
         """Every variant under every member: input columns, fold, run, pred."""
         return self.score(featurise(variants, text, self.n_features).drop(text))
@@ -93,11 +96,17 @@ def member_features(rows: DataFrame, name: str, scales: Sequence[tuple[float, fl
     return VectorAssembler(inputCols=["features", "_extra"], outputCol=name).transform(rows).drop("_extra")
 
 
+def hashed_grams(text: Column, n_features: int) -> Column:
+    """Feature numbers of a string's tokens and token pairs, repeats included."""
+    grams = bound(tokenize(F.coalesce(text, F.lit(""))), lambda t: F.concat(t, ngrams(t, 2)))
+    return F.transform(grams, lambda g: (fragment_id(g) % n_features).cast("int"))
+
+
 def featurise(df: DataFrame, text: str, n_features: int) -> DataFrame:
     """Hashed counts of tokens and token pairs in ``features``."""
-    t = tokenize(F.coalesce(F.col(text), F.lit("")))
-    grams = df.withColumn("_g", F.concat(t, ngrams(t, 2)))
-    return HashingTF(numFeatures=n_features, inputCol="_g", outputCol="features").transform(grams).drop("_g")
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_features)], inputCol="_g", outputCol="features")
+    names = F.transform(hashed_grams(F.col(text), n_features), lambda i: i.cast("string"))
+    return counter.transform(df.withColumn("_g", names)).drop("_g")
 
 
 def bootstrap_weight(seed: int, *keys: Column) -> Column:
@@ -150,6 +159,14 @@ def _fold_scales(each: DataFrame, column: str, k: int) -> tuple[DataFrame, list[
     return scaler, [found.get(fold, (0.0, 1.0)) for fold in range(k)]
 
 
+def _extra_scales(each: DataFrame, n: int, k: int) -> list[tuple[tuple[float, float], ...]]:
+    """Per fold the center and scale of each of ``n`` extras, all found together."""
+    train = each.where("split = 'train'")
+    fitted = fit_robust_columns(train.select("fold", *(F.col("extras")[i].alias(str(i)) for i in range(n))), [str(i) for i in range(n)])
+    found = {(r["fold"], int(r["column"])): (r["center"], r["scale"]) for r in fitted.collect()}  # one row per fold and column
+    return [tuple(found.get((fold, i), (0.0, 1.0)) for i in range(n)) for fold in range(k)]
+
+
 def prepare(
     df: DataFrame, row_id: str, text: str | Sequence[str], target: str, k: int = 2, n_features: int = 256,
     kind: str = "regression", variants: Column | None = None, extras: Sequence[str] = (),
@@ -170,12 +187,12 @@ def prepare(
     each = splits.cross_validation_splits(rows.select("row_id", "target", "extras", "fold"), "row_id", k)
     each = stage(each, "splits")
     scaler, scales = _fold_scales(each, "target", k) if kind == "regression" else (None, [])
-    per_extra = [_fold_scales(each.withColumn("_x", F.col("extras")[i]), "_x", k)[1] for i in range(len(extras))]
+    extra_scales = _extra_scales(each, len(extras), k) if extras else ()
     parts = each.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("fold", "split"))).alias("_s"))  # one per fold
     whole = rows.join(parts.select("row_id", F.col("_s.split").alias("splits")), "row_id").drop("fold")
     exploded = explode_variants(split_rejected(whole)[0])
     table = stage(featurise(exploded, "variant", n_features).drop("text"), "features")
-    return Prepared(rows.drop("extras", "variants"), table, scaler, tuple(scales), tuple(zip(*per_extra)), k, n_features, kind)
+    return Prepared(rows.drop("extras", "variants"), table, scaler, tuple(scales), tuple(extra_scales), k, n_features, kind)
 
 
 def train_ensemble(
@@ -214,9 +231,14 @@ def out_of_fold(model: Ensemble, data: Prepared) -> DataFrame:
 
 
 def run_scores(model: Ensemble, data: Prepared) -> DataFrame:
-    """``fold, run, set`` with the regression metrics of each single member, variants averaged."""
+    """``fold, run, set`` with the metrics of each single member, variants averaged."""
     each = member_predictions(model, data).groupBy("row_id", "fold", "split", "target", "run").agg(F.avg("pred").alias("mean"))
-    return metrics.regression_metrics(each.withColumnRenamed("split", "set"), ["fold", "run", "set"])
+    each, keys = each.withColumnRenamed("split", "set"), ["fold", "run", "set"]
+    if model.kind == "regression":
+        return metrics.regression_metrics(each, keys)
+    each = stage(each, "each")
+    curve = metrics.curve_metrics(metrics.pr_curve(each, keys, "target", "mean"), keys).select(*keys, "pr_auc")
+    return metrics.classification_metrics(each, keys, "target", "mean").join(curve, keys)
 
 
 def predictions_table(base: DataFrame, oof: DataFrame) -> DataFrame:
