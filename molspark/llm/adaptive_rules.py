@@ -1,25 +1,26 @@
 """Quality rules whose thresholds come from the corpus itself.
 
 Each text gets statistics. Per language and source, a quantile sketch of each
-statistic is built map-side and merged; the sketches of small groups are replaced
-by those of their language, and these by the whole corpus, through merging the
-same sketches again. Fences around the quartiles become the thresholds, which
-are joined back to the statistics to filter.
+statistic is built map-side and merged; merging the same sketches again gives those
+of the language and of the whole corpus. A group's quartiles are blended with those
+of its language, and these with the corpus's: the group's own weigh the more, the
+more rows it has, so no verdict turns at one row more or less. Fences around the
+quartiles become the thresholds, which are joined back to the statistics to filter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from molspark.llm.text import per_text
+from molspark.llm.text import per_text, text_udf
 from molspark.staging import broadcast_checked, stage
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-GROUP_ROWS = 200  # fewer rows: the next wider group's sketch
+GROUP_ROWS = 200  # a group of so many rows weighs as much as the next wider one
 SKETCH_SIZE = 400
 THRESHOLD_ROWS = 20_000  # broadcast the thresholds up to so many groups
 
@@ -146,11 +147,19 @@ def thresholds(measured: DataFrame, keys: list[str]) -> DataFrame:
             same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
         out = out.join(broadcast_checked(right, THRESHOLD_ROWS), same, "left") if by else out.crossJoin(F.broadcast(right))  # one row
         out = out.drop(*(f"_{k}" for k in by))
-    names = [f"level{d}" for d in range(len(keys), -1, -1)]
-    chosen = F.coalesce(*(F.when(F.col(f"{x}.n") >= GROUP_ROWS, F.col(x)) for x in names), F.col(names[-1]))
-    out = out.select(*keys, chosen.alias("s"))
-    quartiles = [F.expr(f"kll_sketch_get_quantile_double(s.s{i}, array(0.25D, 0.5D, 0.75D))").alias(f"q{i}") for i in range(len(values))]
-    out = out.select(*keys, *quartiles)
+    def quartiles(level: str, i: int) -> Column:
+        return F.expr(f"kll_sketch_get_quantile_double({level}.s{i}, array(0.25D, 0.5D, 0.75D))")
+
+    def weighted(n: Column) -> Callable[[Column, Column], Column]:
+        return lambda own, wider: (own * n + wider * F.lit(GROUP_ROWS)) / (n + F.lit(GROUP_ROWS))
+
+    def blended(i: int) -> Column:
+        q = quartiles("level0", i)
+        for depth in range(1, len(keys) + 1):
+            q = F.zip_with(quartiles(f"level{depth}", i), q, weighted(F.col(f"level{depth}.n")))
+        return q
+
+    out = out.select(*keys, *(blended(i).alias(f"q{i}") for i in range(len(values))))
     bounds = []
     for rule in RULES:
         q = f"q{values.index(rule.value)}"
@@ -183,9 +192,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
     Words are runs of characters other than ASCII white space; of the lines between
     line breaks, those with a word count. Null and empty texts have no words and fail
     the fixed rule. Null languages or sources form groups of their own. Repeated rows
-    are judged alike and each counts in the thresholds. A group of fewer than 200
-    rows that pass the fixed rule uses its language's thresholds, a small language the
-    corpus's. Other columns are not read; an empty table gives an empty one.
+    are judged alike and each counts in the thresholds. A group with n rows that pass
+    the fixed rule has the weight n / (n + 200) against its language, and a language
+    likewise against the corpus. Other columns are not read; an empty table gives an empty one.
     """
     keep = [id_col, *keys]
     measured = stage(per_text(docs, text_col, keep, _measure, {n: "bigint" for n in _STATISTICS}), "statistics")
@@ -195,7 +204,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns; the texts are measured once."""
-    measured = stage(per_text(docs, text_col, docs.columns, _measure, {n: "bigint" for n in _STATISTICS}), "measured")
-    judged = _judged(measured, [f"_{docs.columns.index(k)}" for k in keys])
-    return judged.where("kept").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns; the texts are measured once.
+
+    Only the statistics come back from Python. Null and empty texts go, repeated rows
+    go or stay together, texts of any length are measured whole, an empty table gives
+    an empty one.
+    """
+    measure = text_udf(_measure, {n: "bigint" for n in _STATISTICS})
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), measure(text_col).alias("_m"))
+    measured = stage(rows.select("_row", *(f"_k{i}" for i in range(len(keys))), "_m.*"), "measured")
+    return _judged(measured, [f"_k{i}" for i in range(len(keys))]).where("kept").select("_row.*")

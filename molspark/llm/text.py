@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _PIECE, _ROWS = 1 << 20, 512
 _ARROW = {
-    "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+    "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
     "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
 }
 
@@ -56,16 +56,43 @@ def per_text(
     return chosen.mapInArrow(run, ", ".join(kinds))
 
 
+def text_udf(function: Callable[[list[bytes | None]], dict[str, list]], fields: dict[str, str]) -> Callable[[str], Column]:
+    """A column function of a text column: a struct of ``fields`` (name: type), all that comes back from Python.
+
+    ``function`` is that of :func:`per_text`; the other columns of a row stay in the JVM.
+    """
+    names = list(fields)
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, max(1, len(texts)), _ROWS):
+            out = function(text_bytes(texts.slice(at, _ROWS)))
+            parts.append(pa.StructArray.from_arrays([pa.array(out[n], _ARROW[t]) for n, t in fields.items()], names=names))
+        return pa.concat_arrays(parts)
+
+    kind = f"struct<{','.join(f'{n}:{t}' for n, t in fields.items())}>"
+    made = F.arrow_udf(run, returnType=kind)
+    return lambda name: made(F.col(f"`{name}`"))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
+#: First and last code of scripts without blanks (words of one character), then of their punctuation.
+_SINGLE = (
+    (0x0E00, 0x0E7F, True), (0x3040, 0x30FF, True), (0x3400, 0x9FFF, True), (0xF900, 0xFAFF, True),
+    (0x3000, 0x303F, False), (0xFF01, 0xFF0F, False), (0xFF1A, 0xFF20, False),
+)
+
+
 class WordHasher:
     """Hashes of the words of a text: runs of letters and digits, A-Z lowered.
 
-    All bytes from 0x80 count as letters. A word's hash is a polynomial of its bytes
+    All bytes from 0x80 count as letters, but in scripts without blanks (Han, Kana, Thai)
+    each character is a word, and their punctuation is none. A word's hash is a polynomial of its bytes
     modulo 2**64, taken for all words at once from running sums, then mixed.
     """
 
@@ -105,14 +132,39 @@ class WordHasher:
         values = self._values[np.frombuffer(text, dtype=np.uint8)]
         inside = np.zeros(len(values) + 2, dtype=np.int8)
         inside[1:-1] = values != 0
-        edges = np.flatnonzero(np.diff(inside))
-        starts, ends = edges[::2], edges[1::2]
+        raw = np.frombuffer(text, dtype=np.uint8)
+        if len(raw) and raw.max() >= 0xE0:
+            starts, ends = self._characters(raw, values, inside)
+        else:
+            edges = np.flatnonzero(np.diff(inside))
+            starts, ends = edges[::2], edges[1::2]
         powers, inverse = self._grown(len(values) + 1)
         sums = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * powers[: len(values)], out=sums[1:])
         return _mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
+    @staticmethod
+    def _characters(raw: np.ndarray, values: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of words, each character of a script without blanks being one; its punctuation leaves ``inside``."""
+        lead = np.flatnonzero(raw[: max(0, len(raw) - 2)] >= 0xE0)
+        code = (raw[lead].astype(np.int64) & 15) << 12 | (raw[lead + 1].astype(np.int64) & 63) << 6 | raw[lead + 2] & 63
+        lead, code = lead[raw[lead] < 0xF0], code[raw[lead] < 0xF0]
+        for low, high, word in _SINGLE:
+            at = lead[(code >= low) & (code <= high)]
+            if word:
+                cut = at if low == _SINGLE[0][0] else np.concatenate([cut, at])
+            else:
+                for step in range(3):
+                    values[at + step], inside[at + step + 1] = 0, 0
+        border = np.zeros(len(raw) + 1, bool)
+        border[cut] = border[cut + 3] = True
+        here = inside[1:-1].astype(bool)
+        starts = np.flatnonzero(here & (~inside[:-2].astype(bool) | border[:-1]))
+        ends = np.flatnonzero(here & (~inside[2:].astype(bool) | border[1:])) + 1
+        return starts, ends
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` words from the words' hashes."""
     if len(words) < n:

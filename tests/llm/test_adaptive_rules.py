@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 
 from molspark.llm import adaptive_rules
@@ -48,16 +49,32 @@ def test_outliers_go_and_others_stay(spark):
     assert sum(clean) > 0.99 * len(clean)
 
 
-def test_thresholds_follow_exact_quartiles(spark):
-    """On groups below the sketch's size its quantiles are exact."""
-    data = [(i, " ".join(["word"] * 20 + [str(j) for j in range(i)]), "en", "a", 1) for i in range(100, 350)]
+def bounds(spark, data):
     measured = adaptive_rules.per_text(spark.createDataFrame(data, SCHEMA), "text", ["doc_id", "lang", "source"], adaptive_rules._measure, {n: "bigint" for n in adaptive_rules._STATISTICS})
-    bound = adaptive_rules.thresholds(measured, ["_1", "_2"]).first()
-    values = sorted(len(t.split()) for _, t, *_ in data)
-    low, high = values[len(values) // 4 - 1], values[3 * len(values) // 4]
-    import math
-    wanted = math.log(low + 1) - max(1.0, 3 * (math.log(high + 1) - math.log(low + 1)))
-    assert abs(bound.few_words - wanted) < 0.05
+    return {(r._1, r._2): r for r in adaptive_rules.thresholds(measured, ["_1", "_2"]).collect()}
+
+
+def test_thresholds_blend_exact_quartiles(spark):
+    """On groups below the sketch's size its quantiles are exact; language and corpus are one here."""
+    groups = {"a": range(100, 250), "b": range(300, 310)}
+    data = [(i, " ".join(["word"] * 20 + [str(j) for j in range(i)]), "en", s, 1) for s, some in groups.items() for i in some]
+    quartiles = lambda v: [math.log(v[len(v) // 4] + 1), math.log(v[3 * len(v) // 4] + 1)]
+    whole = quartiles(sorted(len(t.split()) for _, t, *_ in data))
+    for source, some in groups.items():
+        own, n = quartiles([20 + i for i in some]), len(some)
+        low, high = ((a * n + b * 200) / (n + 200) for a, b in zip(own, whole))
+        assert abs(bounds(spark, data)["en", source].few_words - (low - max(1.0, 3 * (high - low)))) < 0.05
+
+
+def test_no_verdict_turns_at_one_row(spark):
+    rnd = random.Random(2)
+    prose_rows = [(i, prose(rnd, 100), "en", "hot", 1) for i in range(400)]
+    limits = []
+    for n in range(195, 206):
+        data = prose_rows + [(1000 + i, " ".join(f"x{k} = {k} #" for k in range(rnd.randrange(20, 60))) + prose(rnd, 30), "en", "code", 1) for i in range(n)]
+        limits.append(bounds(spark, data)["en", "code"].symbols)
+    steps = [abs(a - b) for a, b in zip(limits, limits[1:])]
+    assert max(steps) < 0.02
 
 
 def test_keep_good_agrees_with_judge(spark):
