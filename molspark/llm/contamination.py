@@ -11,8 +11,9 @@ repeats, edited or in part, is found like a single one. A window is cut around e
 run of seed hits on nearby diagonals. Windows that share too few words with their
 passage for any alignment to reach the threshold are left out, which loses nothing;
 the others are aligned word by word. Words are runs of letters and digits, A-Z
-lowered, so punctuation and case do not hide a copy; edits, insertions and left-out
-words cost score, not the match.
+lowered, so punctuation and case do not hide a copy, and single characters in scripts
+without blanks; edits, insertions and left-out words cost score, not the match. Items
+of 3 to 7 words tell too little for that and must be found word for word.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from molspark.llm.text import WordHasher, gram_hashes, slices, text_bytes
+from molspark.llm.text import WordHasher, gram_hashes, slices, text_bytes, text_udf
 
-GRAM, MIN_WORDS, PASSAGE, STEP, THRESHOLD = 3, 8, 256, 128, 0.5
+GRAM, SHORT_WORDS, PASSAGE, STEP, THRESHOLD = 3, 8, 256, 128, 0.5
 EXCERPT = 100
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 500_000
@@ -34,7 +35,7 @@ _CELLS, _ROWS, _HITS = 1 << 20, 512, 1 << 18
 
 
 def passages(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item, words``: word hashes of each passage of the items; items under 8 words have none."""
+    """``item, words``: word hashes of each passage of the items; items under 3 words have none."""
     kind = benchmark.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +45,7 @@ def passages(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
             for row, text in enumerate(text_bytes(batch.column(1))):
                 own = hasher(text).view(np.int64)
                 last = max(0, len(own) - PASSAGE + STEP - 1) // STEP
-                for k in range(last + 1 if len(own) >= MIN_WORDS else 0):
+                for k in range(last + 1 if len(own) >= GRAM else 0):
                     begin = min(k * STEP, max(0, len(own) - PASSAGE))
                     rows.append(row)
                     words.append(own[begin : begin + PASSAGE])
@@ -160,7 +161,9 @@ class Scanner:
         self.seen, self.turn = np.zeros(len(block.vocabulary) + 1, np.int64), 0
 
     def least(self, passage: int) -> float:
-        """The alignment score from which a passage counts as found."""
+        """The alignment score from which a passage counts as found; a short one has to stand there word for word."""
+        if len(self.block.words[passage]) < SHORT_WORDS:
+            return MATCH * len(self.block.words[passage])
         return self.threshold * MATCH * min(EXCERPT, len(self.block.words[passage]))
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
@@ -227,8 +230,8 @@ def contaminated(
     a perfect copy; rows from ``threshold`` are returned, and of passages over 100
     words those that reach ``threshold`` of 100 words, so that a long excerpt of a
     long item counts (50 unbroken words by default). Words count from 0, the
-    end is exclusive. Null or empty texts, and items with a null id or fewer than 8
-    words, give no row; a null document id stays null; repeated document rows give
+    end is exclusive. Items of 3 to 7 words are found only word for word. Null or empty
+    texts, and items with a null id or fewer than 3 words, give no row; a null document id stays null; repeated document rows give
     repeated rows, repeated items one. Other columns are not read.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -267,15 +270,23 @@ def _finder(block: Block, threshold: float, schema: str):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` in which no test item is found, with all their columns and without a shuffle."""
-    out, where = docs, docs.columns.index(text_col)
+    """The rows of ``docs`` in which no test item is found, with all their columns and without a shuffle.
+
+    Null and empty texts hold no item and stay, as do repeated rows; an empty table
+    gives an empty one. Texts of any length are searched whole. Only a flag per row
+    comes back from Python, and one worker per task searches all blocks in turn.
+    """
+    out = docs
     for block in blocks(benchmark, item_col, block_words):
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(block, threshold)
-            for batch in slices(batches, _ROWS):
-                good = np.ones(batch.num_rows, dtype=bool)
-                good[[row for row, *_ in scanner(text_bytes(batch.column(where)))]] = False
-                yield batch.filter(pa.array(good))
-
-        out = out.mapInArrow(run, docs.schema)
+        scanners: list[Scanner] = []
+
+        def found(texts: list[bytes | None], block: Block = block, scanners: list[Scanner] = scanners) -> dict[str, list]:
+            if not scanners:
+                scanners.append(Scanner(block, threshold))
+            flags = [False] * len(texts)
+            for row, *_ in scanners[0](texts):
+                flags[row] = True
+            return {"found": flags}
+
+        out = out.where(~text_udf(found, {"found": "boolean"})(text_col)["found"])
     return out

@@ -121,6 +121,22 @@ def test_spans_in_parts(monkeypatch):
     assert len(wanted) and (block.spans(words) == wanted).all()
 
 
+def test_scripts_without_blanks_and_short_items(spark):
+    chinese = "今天的天气非常好，我们一起去公园散步吧。路上遇见了一位老朋友，他请我们喝了一杯很香的绿茶。"
+    thai = "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะกัน"
+    items = [(1, chinese, 1), (2, thai, 1), (3, "blue horses fly", 1), (4, "seven small words stand in this row", 1), (5, "two words", 1)]
+    edited = chinese.replace("公园", "河边").replace("，", "")
+    docs = [
+        (1, "他说：" + chinese + "然后走了。", "zh", "a", 1), (2, "开头" + edited + "结尾", "zh", "a", 1), (3, "完全不同的一段文字，讲的是别的事情。" * 3, "zh", "a", 1),
+        (4, thai, "th", "a", 1), (5, "I saw Blue horses, fly away", "en", "a", 1), (6, "blue horses never fly", "en", "a", 1),
+        (7, "here seven small words stand in this row too", "en", "a", 1), (8, "seven small words stand in that row, two words", "en", "a", 1),
+    ]
+    docs, items = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, ITEM)
+    found = {(r.doc_id, r.item_id) for r in contamination.contaminated(docs, items).collect()}
+    assert found == {(1, 1), (2, 1), (4, 2), (5, 3), (7, 4)}
+    assert {r.doc_id for r in contamination.without_contaminated(docs, items, block_words=20).collect()} == {3, 6, 8}
+
+
 def test_filter_keeps_columns_and_clean_rows(spark):
     docs, items, wanted, data = corpus(spark)
     kept = contamination.without_contaminated(docs, items)
