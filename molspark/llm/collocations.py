@@ -3,7 +3,7 @@
 Counting goes from words to pairs, and from pairs of phrases to longer phrases:
 
 1. Each task numbers the words of its texts and keeps them as chunks: the numbers of
-   some million words of one language in a row, with marks between pieces, and the
+   some hundred thousand words of one language in a row, with marks between pieces, and the
    words they stand for. Words are counted over all chunks; those too rare to be in
    any phrase drop out, the others get ids by falling frequency.
 2. The adjacent ids of a chunk are counted in tiles of 1,024 by 1,024 ids. As ids are
@@ -36,7 +36,7 @@ from molspark.staging import stage
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 SENT_ROWS = 400_000
-CHUNK_WORDS, SLICE_BYTES = 1 << 21, 8 << 20
+CHUNK_WORDS, COUNT_WORDS, SLICE_BYTES = 1 << 19, 1 << 20, 4 << 20
 TILE, TILES, THIN = 1024, 8, 16  # ids a side, tiles a side, cells per pair from which a tile is thin
 _ROWS = 256
 _BREAK = 0xFF  # a byte that no UTF-8 text holds
@@ -178,7 +178,7 @@ class _Ids:
         return held.join(self.joined, F.col("chunk") == F.col("_chunk"), "left").drop("_chunk")
 
     def map(self, held: DataFrame, function, schema: str, before: "_Ids | None" = None) -> DataFrame:
-        """``function(chunk, lang, codes)`` per chunk; ``codes`` are named by ``self``, after ``before``."""
+        """``function`` of the chunks (number, lang, codes); ``codes`` are named by ``self``, after ``before``."""
         chain = [x for x in (before, self) if x is not None]
         columns, wide = ["chunk", "lang", "codes"], held
         if chain[0].words:
@@ -189,7 +189,7 @@ class _Ids:
                 columns += [f"own{number}", f"ids{number}"]
         steps = [(s.words, s.sent) for s in chain]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def named_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
             for batch in slices(batches, 1):
                 row = {n: batch.column(k)[0] for k, n in enumerate(columns)}
                 lang, codes = row["lang"].as_py(), np.frombuffer(row["codes"].as_buffer(), "<i4")
@@ -205,9 +205,9 @@ class _Ids:
                         codes = named[codes]
                     else:
                         codes = recoded(codes, *(sent.get(lang, (_NONE, _NONE)) if sent is not None else (own, ids)))
-                yield from function(row["chunk"].as_py(), lang, codes)
+                yield row["chunk"].as_py(), lang, codes
 
-        return wide.select(*columns).mapInArrow(run, schema)
+        return wide.select(*columns).mapInArrow(lambda batches: function(named_chunks(batches)), schema)
 
 
 _NONE = np.zeros(0, np.int64)
@@ -217,19 +217,42 @@ def _numbers(value: pa.ListScalar) -> np.ndarray:
     return _NONE if value.values is None else value.values.to_numpy()
 
 
-def _counted(chunk: int, lang: str, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    keys, counts = pair_counts(codes)
+def _rows(lang: str, keys: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(keys), 1 << 16):
-        some = keys[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(some), chunk)), pa.array([lang]).take(pa.array(np.zeros(len(some), np.int32))), pa.array(some), pa.array(counts[at : at + (1 << 16)])],
-            ["chunk", "lang", "key", "n"],
-        )
-
-
-def _coded(chunk: int, lang: str, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if codes.any():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([lang]), pa.array([codes.astype("<i4").tobytes()], pa.binary())], ["chunk", "lang", "codes"])
+        some = {"key": keys[at : at + (1 << 16)], **{n: v[at : at + (1 << 16)] for n, v in columns.items()}}
+        langs = pa.array([lang]).take(pa.array(np.zeros(len(some["key"]), np.int32)))
+        yield pa.RecordBatch.from_arrays([langs, *map(pa.array, some.values())], ["lang", *some])
+
+
+def _counted(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """``lang, key, n``: the pairs of some chunks of a language at a time."""
+    parts: dict[str, list[np.ndarray]] = {}
+    size = 0
+    for _, lang, codes in held:
+        parts.setdefault(lang, []).extend([codes, np.zeros(1, np.int32)])
+        size += len(codes)
+        if size > COUNT_WORDS:
+            largest = max(parts, key=lambda x: sum(map(len, parts[x])))
+            codes = np.concatenate(parts.pop(largest))
+            keys, counts = pair_counts(codes)
+            yield from _rows(largest, keys, n=counts)
+            size = sum(len(c) for p in parts.values() for c in p)
+    for lang, some in parts.items():
+        keys, counts = pair_counts(np.concatenate(some))
+        yield from _rows(lang, keys, n=counts)
+
+
+def _held(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """``lang, key, chunk``: the distinct pairs of each chunk."""
+    for chunk, lang, codes in held:
+        keys, _ = pair_counts(codes)
+        yield from _rows(lang, keys, chunk=np.full(len(keys), chunk))
+
+
+def _coded(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for chunk, lang, codes in held:
+        if codes.any():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([lang]), pa.array([codes.astype("<i4").tobytes()], pa.binary())], ["chunk", "lang", "codes"])
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +272,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     tables = [level.select("lang", F.lit(1).alias("size"), "id", "f", "phrase", F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))]
     ids, before = _Ids(level, own, words=True), None
     for size in range(2, max_words + 1):
-        pairs = ids.map(held, _counted, "chunk bigint, lang string, key bigint, n bigint", before)
+        pairs = ids.map(held, _counted, "lang string, key bigint, n bigint", before)
         added = pairs.groupBy("lang", "key").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         ranked = _ranked(added, ["key"]).select("lang", "id", "f", "key", F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("right"))
         first = level.select("lang", F.col("id").alias("left"), F.col("phrase").alias("_first"))
@@ -259,7 +282,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
         tables.append(level.select("lang", F.lit(size).alias("size"), "id", "f", "phrase", "left", "right"))
         if size == max_words or level.isEmpty():
             break
-        pair_ids = _Ids(level, pairs, words=False)
+        pair_ids = _Ids(level, ids.map(held, _held, "lang string, key bigint, chunk bigint", before), words=False)
         if ids.words:
             held = stage(pair_ids.map(held, _coded, "chunk bigint, lang string, codes binary", ids), "codes")
         else:
@@ -278,11 +301,11 @@ class _Same(_Ids):
         self.words = False
 
     def map(self, held: DataFrame, function, schema: str, before: _Ids | None = None) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
             for batch in slices(batches, 1):
-                yield from function(batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), np.frombuffer(batch.column(2)[0].as_buffer(), "<i4"))
+                yield batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), np.frombuffer(batch.column(2)[0].as_buffer(), "<i4")
 
-        return held.select("chunk", "lang", "codes").mapInArrow(run, schema)
+        return held.select("chunk", "lang", "codes").mapInArrow(lambda batches: function(plain(batches)), schema)
 
 
 def _ranked(counted: DataFrame, key: list[str]) -> DataFrame:
