@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, functions as F
 
@@ -56,7 +58,22 @@ _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
 def leading_md5(prefixes: np.ndarray, suffix: bytes) -> np.ndarray:
-    """First 32 bits of the md5 of each prefix (bytes) + ``suffix``, as :func:`leading_bits` reads 8 digits.
+    """First 32 bits of the md5 of each prefix (bytes) + ``suffix``, as :func:`leading_bits` reads 8 digits."""
+    return leading_md5_pair(prefixes, suffix)[0]
+
+
+def normals(prefixes: np.ndarray, suffix: bytes) -> np.ndarray:
+    """The draws of :func:`normal` for keys that :func:`seeded_digest` joins to prefix + ``suffix``."""
+    if prefixes.dtype.itemsize + len(suffix) <= 55:
+        first, second = leading_md5_pair(prefixes, suffix)
+    else:  # longer messages have several blocks
+        digests = [hashlib.md5(p + suffix).digest() for p in prefixes.tolist()]
+        first, second = np.array([np.frombuffer(d, ">u4", 2) for d in digests], np.int64).reshape(-1, 2).T
+    return np.sqrt(-2 * np.log((first + 1) / (_TWO_32 + 1))) * np.cos(2 * np.pi * (second / _TWO_32))
+
+
+def leading_md5_pair(prefixes: np.ndarray, suffix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and second 32 bits of the md5 of each prefix (bytes) + ``suffix``.
 
     All digests advance together. A message may have up to 55 bytes.
     """
@@ -83,4 +100,4 @@ def leading_md5(prefixes: np.ndarray, suffix: bytes) -> np.ndarray:
             mixed, word = c ^ (b | ~d), 7 * i % 16
         turned, by = a + mixed + _SINES[i] + words[word], _TURNS[group][i % 4]
         a, d, c, b = d, c, b, b + (turned << np.uint32(by) | turned >> np.uint32(32 - by))
-    return (a + np.uint32(_START[0])).byteswap().astype(np.int64)
+    return tuple((x + np.uint32(start)).byteswap().astype(np.int64) for x, start in ((a, _START[0]), (b, _START[1])))

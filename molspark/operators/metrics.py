@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from molspark.functions.hashing import normal
+from molspark.functions.hashing import normal, normals
 from molspark.functions.scores import binary_class
 from molspark.operators.rank import prefix
 
 REGRESSION = ["rmse", "mae", "r2"]
+REPLICA_ROWS = 200_000  # rows that may travel to the tasks for their replicas
 CLASSIFICATION = ["accuracy", "precision", "recall", "f1", "pr_auc"]
 
 
@@ -167,6 +170,46 @@ def noisy_replicas(df: DataFrame, row_id: str, n_mc: int, seed: int, pred: str =
     return reps.withColumn(pred, F.col(pred) + noise)
 
 
+def _score_metrics(target: np.ndarray, score: np.ndarray) -> list[float]:
+    """The five metrics of one group, as :func:`curve_metrics` defines them."""
+    hit, called, n = target == 1, score > 0.5, len(score)
+    tp = int((hit & called).sum())
+    fp, fn = int(called.sum()) - tp, int(hit.sum()) - tp
+    ratio = lambda top, bottom: top / bottom if bottom else 0.0
+    order = np.argsort(-score, kind="stable")
+    last = np.flatnonzero(np.r_[score[order][1:] != score[order][:-1], True])  # equal scores are one step
+    taken, found = (last + 1).astype(float), np.cumsum(hit[order])[last].astype(float)
+    positives = found[-1]
+    precision = np.r_[1.0, found / taken]
+    recall = np.r_[0.0, found / positives] if positives else np.r_[0.0, np.ones(len(found))]
+    area = float((np.diff(recall) * (precision[1:] + precision[:-1]) / 2).sum())
+    return [(n - fp - fn) / n, ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(2 * tp, 2 * tp + fp + fn), area]
+
+
+def _replica_metrics(rows: pa.Table, spark: SparkSession, n_mc: int, seed: int) -> DataFrame:
+    """``_g, rep`` and the metrics of every group and replica; ``rows`` (_g, _id, _y, _p, _s) travel to the tasks, which share the replicas."""
+    group = rows["_g"].to_numpy()
+    order = np.argsort(group, kind="stable")
+    group, target, pred, sigma = group[order], rows["_y"].to_numpy()[order], rows["_p"].to_numpy()[order], rows["_s"].to_numpy()[order]
+    prefixes = np.array([f"{seed}|{i}|".encode() for i in rows["_id"].take(pa.array(order)).to_pylist()])
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist()
+    spans = [(int(group[i]), i, j) for i, j in zip(starts, [*starts[1:], len(group)])]
+    shared = spark.sparkContext.broadcast((target, pred, sigma, prefixes, spans))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, pred, sigma, prefixes, spans = shared.value
+        for batch in batches:
+            out = []
+            for rep in batch.column(0).to_pylist():
+                score = pred + normals(prefixes, str(rep).encode()) * sigma
+                out += [(g, rep, *_score_metrics(target[i:j], score[i:j])) for g, i, j in spans]
+            columns = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 5)], ["_g", "rep", *CLASSIFICATION])
+
+    replicas = spark.range(0, n_mc, 1, min(n_mc, 4 * spark.sparkContext.defaultParallelism))
+    return replicas.mapInArrow(run, "_g bigint, rep bigint, " + ", ".join(f"{m} double" for m in CLASSIFICATION))
+
+
 def classification_sigma(
     df: DataFrame,
     row_id: str,
@@ -176,15 +219,38 @@ def classification_sigma(
     true: str = "target",
     pred: str = "pred",
     sigma: str = "sigma",
+    limit: int = REPLICA_ROWS,
 ) -> DataFrame:
-    """Population deviation of the five metrics over noisy replicas."""
+    """Population deviation of the five metrics over noisy replicas.
+
+    Up to ``limit`` rows go to the tasks, each of which makes some replicas of all of
+    them and returns one row per group and replica, so no replica of a row is ever
+    shuffled. More rows are repeated and ordered over range partitions; the result is
+    the same.
+    """
     keys = list(keys)
-    noisy = noisy_replicas(df.select(*keys, row_id, true, pred, sigma), row_id, n_mc, seed, pred, sigma)
-    by = [*keys, "rep"]
-    per_rep = curve_metrics(pr_curve(noisy, by, true, pred), by)
-    return per_rep.groupBy(*keys).agg(
-        *[F.stddev_pop(m).alias(f"{m}_sigma") for m in CLASSIFICATION]
-    )
+    chosen = df.select(*keys, row_id, true, pred, sigma)
+    if not 0 < chosen.limit(limit + 1).count() <= limit:
+        noisy = noisy_replicas(chosen, row_id, n_mc, seed, pred, sigma)
+        by = [*keys, "rep"]
+        per_rep = curve_metrics(pr_curve(noisy, by, true, pred), by)
+        return per_rep.groupBy(*keys).agg(*[F.stddev_pop(m).alias(f"{m}_sigma") for m in CLASSIFICATION])
+    rows = chosen.select(
+        F.struct(*keys).alias("_k") if keys else F.lit(0).alias("_k"), F.col(row_id).cast("string").alias("_id"),
+        F.col(true).cast("bigint").alias("_y"), F.col(pred).cast("double").alias("_p"), F.col(sigma).cast("double").alias("_s"),
+    ).toArrow()
+    codes = rows["_k"].combine_chunks()
+    names = codes.to_pylist()
+    known = {repr(k): k for k in names}
+    numbers = {text: i for i, text in enumerate(known)}
+    table = rows.drop_columns("_k").append_column("_g", pa.array([numbers[repr(k)] for k in names], pa.int64()))
+    per_rep = _replica_metrics(table, df.sparkSession, n_mc, seed)
+    spread = per_rep.groupBy("_g").agg(*[F.stddev_pop(m).alias(f"{m}_sigma") for m in CLASSIFICATION])
+    if not keys:
+        return spread.drop("_g") if known else spread.drop("_g").limit(0)
+    kinds = ", ".join(f"`{k}` {chosen.schema[k].dataType.simpleString()}" for k in keys)
+    listed = df.sparkSession.createDataFrame([(numbers[t], *k.values()) for t, k in known.items()], f"_g bigint, {kinds}")
+    return listed.join(spread, "_g").drop("_g")
 
 
 def metrics_long(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

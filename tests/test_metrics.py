@@ -95,3 +95,21 @@ def test_history_rules(spark):
     assert {r["run"]: r["stop_epoch"] for r in tuning.early_stop(df, 3).collect()} == {0: 4}
     late = tuning.after_burn_in(df, ignore_first=2)
     assert {r["run"]: r["best_epoch"] for r in tuning.best_epoch(late).collect()} == {0: 4, 1: 3}
+
+
+@pytest.mark.parametrize("width", [1, 60])
+def test_replicas_dealt_over_tasks_agree_with_ordered_ones(spark, width):
+    """Groups with a null key, without positives, of one row, with many equal scores; ids of one and of several digest blocks."""
+    data = [(f"{i:0{width}d}", ("a", "b", None, "zero", "one")[4 if i == 0 else i % 4], int(i % 3 == 0 and i % 4 != 3), (i % 5) / 5.0, 0.0 if i % 2 else 0.3) for i in range(120)]
+    df = spark.createDataFrame(data, "id string, g string, target int, pred double, sigma double")
+    for keys in (["g"], [], ["g", "target"]):
+        found = [metrics.classification_sigma(df, "id", keys, n_mc=30, limit=limit) for limit in (10**6, 5)]
+        left, right = (sorted((tuple(r) for r in f.select(*keys, *sorted(set(f.columns) - set(keys))).collect()), key=repr) for f in found)
+        assert len(left) == len(right)
+        for a, b in zip(left, right):
+            assert a[: len(keys)] == b[: len(keys)] and a[len(keys) :] == pytest.approx(b[len(keys) :], abs=1e-9)
+
+
+def test_replicas_of_no_rows(spark):
+    df = spark.createDataFrame([], "id long, g string, target int, pred double, sigma double")
+    assert metrics.classification_sigma(df, "id", ["g"], n_mc=3).collect() == []
