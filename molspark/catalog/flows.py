@@ -81,8 +81,8 @@ def _(spark, sf):
 @query("ml4_hyperparameters")
 def _(spark, sf):
     _, data = text_model(spark, sf)
-    out = cv.select_hyperparameters(data, {"reg_param": [0.001, 0.1, 10.0]}, n_runs=2)
-    return out.select("reg_param", F.round("mean_score", 6).alias("mean_score"))
+    out = cv.select_hyperparameters(data, {"reg_param": [0.001, 0.1, 10.0], "elastic_net": [0.0, 0.5], "max_iter": [5, 20]}, n_draws=6, n_runs=2)
+    return out.select("reg_param", "elastic_net", "max_iter", F.round("mean_score", 6).alias("mean_score"))
 
 
 @query("ml1_strings_variants_extras")

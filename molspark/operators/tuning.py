@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from molspark.functions.hashing import seeded_digest
 from molspark.operators.rank import ordinal, prefix
 from molspark.operators.scaling import min_max
 from molspark.operators.shaping import match_keys
+from molspark.staging import stage
 
 
 def stitch_history(history: DataFrame, run: str = "run", phase: str = "phase", epoch: str = "epoch") -> DataFrame:
@@ -103,22 +105,68 @@ def least_correlated_weights(preds: DataFrame, weight: str = "weight", sample: s
     return scored.orderBy("max_corr", "_w").limit(keep).select(F.col(weight).cast("double").alias("weight"), "max_corr")
 
 
+def least_correlated_by(preds: DataFrame, config: str, weight: str = "weight", sample: str = "sample_id", pred: str = "pred", keep: int = 6) -> DataFrame:
+    """``config, weight, max_corr``: :func:`least_correlated_weights` for many configurations at once.
+
+    Every weight orders the same numbers 0 ... n-1, so the sums of products of two
+    orderings tell their correlation. A task adds up the products of all pairs of
+    weights for the ranks that it holds; one matrix per task and configuration moves.
+    """
+    numbers = ordinal(preds.select(sample).distinct(), [F.col(sample)], name="_no")
+    weights = stage(ordinal(preds.select(weight).distinct(), [F.col(weight)], name="_w"), "weights")
+    placed = preds.join(numbers, sample).join(weights, weight)
+    ranked = ordinal(placed, [F.col(pred), F.col("_no")], [config, "_w"], name="rank")
+    entries = F.array_sort(F.collect_list(F.struct("_w", "_no")))  # as many as there are weights
+    vectors = ranked.groupBy(config, "rank").agg(F.transform(entries, lambda e: e["_no"].cast("double")).alias("v"))
+    kind = preds.schema[config].dataType.simpleString()
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            names, rows = batch.column(0).to_pylist(), batch.column(1)
+            matrix = rows.flatten().to_numpy().reshape(len(names), -1)
+            for name in set(names):
+                own = matrix[[n == name for n in names]]
+                held[name] = held.get(name, 0) + own.T @ own
+        if held:
+            lists = pa.array([m.ravel() for m in held.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), batch.schema.field(0).type), lists], ["c", "m"])
+
+    partial = vectors.select(F.col(config).alias("c"), "v").mapInArrow(products, f"c {kind}, m array<double>")
+    sums = partial.select("c", F.posexplode("m").alias("at", "x")).groupBy("c", "at").agg(F.sum("x").alias("x"))
+    size = numbers.agg(F.count(F.lit(1)).alias("n")).crossJoin(weights.agg(F.count(F.lit(1)).alias("k")))  # one row
+    mean, n = (F.col("n") - 1) / 2.0, F.col("n")
+    corr = F.try_divide(F.col("x") - n * mean * mean, n * (n * n - 1) / 12.0)
+    cells = sums.crossJoin(F.broadcast(size)).select("c", F.expr("at DIV k").alias("_w"), F.expr("at % k").alias("_o"), corr.alias("corr"))
+    highest = cells.groupBy("c", "_w").agg(F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(F.col("_o") > F.col("_w"), F.col("corr"))), F.lit(0.0))).alias("max_corr"))
+    # a configuration has one row per weight
+    order = Window.partitionBy("c").orderBy("max_corr", "_w")
+    kept = highest.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= keep)
+    return kept.join(F.broadcast(weights), "_w").select(F.col("c").alias(config), F.col(weight).cast("double").alias("weight"), "max_corr")
+
+
 def common_weights(chosen: DataFrame, weight: str = "weight") -> DataFrame:
     """Second to sixth most frequent values, ties by ascending value."""
     counts = chosen.groupBy(weight).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), F.asc(weight)).offset(1).limit(5)
 
 
-def bound_values(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a column that serves as a bound list, nulls left out."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
-
-
 def parameter_grid(spark: SparkSession, bounds: dict[str, Sequence]) -> DataFrame:
-    """All combinations of the bound lists, one column per parameter."""
-    grid = spark.range(1).select()
-    for name, values in bounds.items():
-        grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    """All combinations of the bound lists, one column per parameter; each row follows from its number, in any task."""
+    total, columns = 1, []
+    for name, values in reversed(list(bounds.items())):
+        place = F.expr(f"CAST(id DIV {total} % {max(1, len(values))} AS INT)")
+        columns.append(F.get(F.array(*[F.lit(v) for v in values]), place).alias(name))
+        total *= len(values)
+    return spark.range(total).select(*reversed(columns))
+
+
+def crossed_values(columns: dict[str, DataFrame]) -> DataFrame:
+    """All combinations of the distinct values of some one-column tables, nulls left out; nothing is collected."""
+    grid = None
+    for name, values in columns.items():
+        own = values.select(F.col(values.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct()
+        grid = own if grid is None else grid.crossJoin(own)
     return grid
 
 

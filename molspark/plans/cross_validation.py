@@ -125,11 +125,14 @@ def plan_folds(df: DataFrame, row_id: str, text: str, target: str, k: int, kind:
     return splits.group_kfold(df.select(row_id, text), text, k).select(row_id, "fold")
 
 
-def _estimator(kind: str, reg_param: float):
-    common = dict(featuresCol="features", labelCol="_y", weightCol="_w", regParam=reg_param)
+def _estimator(kind: str, reg_param: float = 0.01, elastic_net: float = 0.0, max_iter: int = 20, standardize: bool = True):
+    common = dict(
+        featuresCol="features", labelCol="_y", weightCol="_w", regParam=float(reg_param), elasticNetParam=float(elastic_net),
+        maxIter=int(max_iter), standardization=bool(standardize),
+    )
     if kind == "classification":
-        return LogisticRegression(maxIter=20, **common)
-    return LinearRegression(solver="normal", **common)
+        return LogisticRegression(**common)
+    return LinearRegression(solver="auto", **common)  # by normal equations up to 4,096 features without an L1 part
 
 
 @dataclass
@@ -206,7 +209,7 @@ def train_ensemble(
         fold, run = name
         train = member_features(data.part(fold, "train"), "_f", data.extra_scales[fold] if data.extra_scales else ())
         weighted = train.withColumn("_w", bootstrap_weight(seed, F.col("row_id"), F.lit(fold), F.lit(run))).where("_w > 0")
-        return _estimator(data.kind, reg_param).fit(weighted.select(F.col("_f").alias("features"), "_y", "_w"))
+        return _estimator(data.kind, reg_param=reg_param).fit(weighted.select(F.col("_f").alias("features"), "_y", "_w"))
 
     with ThreadPool(FITS_AT_ONCE) as pool:
         members = dict(zip(names, pool.map(fit, names)))
@@ -275,27 +278,51 @@ def fold_scores(long: DataFrame, kind: str = "regression") -> DataFrame:
     return metrics.score_table(long.where("fold >= 0"), metrics=names)
 
 
+def hyperparameter_trials(data: Prepared, configs: DataFrame, n_runs: int = 2, seed: int = 21) -> DataFrame:
+    """The rows of ``configs`` (one column per parameter of the models) with ``run, score``.
+
+    Every different configuration is fitted once per run on the first fold; the fits
+    share the staged training rows and a few run side by side. All fitted models then
+    score the validation rows in one stage; ``score`` is their mean squared error, or
+    the log loss of a classifier.
+    """
+    spark, names = data.table.sparkSession, configs.columns
+    known = [tuple(r) for r in configs.distinct().orderBy(*names).collect()]  # each is fitted here
+    scales = data.extra_scales[0] if data.extra_scales else ()
+    train = stage(member_features(data.part(0, "train"), "_f", scales).select("row_id", F.col("_f").alias("features"), "_y"), "train")
+
+    def fit(task: tuple[int, int]):
+        number, run = task
+        weighted = train.withColumn("_w", bootstrap_weight(seed, F.col("row_id"), F.lit(0), F.lit(run))).where("_w > 0")
+        return _estimator(data.kind, **dict(zip(names, known[number]))).fit(weighted)
+
+    tasks = [(k, r) for k in range(len(known)) for r in range(n_runs)]
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        fitted = pool.map(fit, tasks, chunksize=1)
+    valid = data.part(0, "valid").select("row_id", "_y", "features", *(["extras"] if data.extra_scales else []))
+    trial = Ensemble({(0, i): m for i, m in enumerate(fitted)}, None, 1, len(fitted), data.n_features, data.kind, data.extra_scales)
+    preds = trial.score(valid).withColumnRenamed("run", "_t")
+    if data.kind == "classification":
+        p = F.least(F.greatest(F.col("pred"), F.lit(1e-15)), F.lit(1 - 1e-15))
+        loss = -(F.col("_y") * F.log(p) + (1 - F.col("_y")) * F.log(1 - p))
+    else:
+        loss = (F.col("pred") - F.col("_y")) ** 2
+    errors = preds.groupBy("_t").agg(F.avg(loss).alias("score"))
+    kinds = ", ".join(f"`{c}` {configs.schema[c].dataType.simpleString()}" for c in names)
+    table = spark.createDataFrame([(i, r, *known[k]) for i, (k, r) in enumerate(tasks)], f"_t int, run int, {kinds}")
+    return table.join(errors, "_t", "left").select(*names, "run", F.coalesce("score", F.lit(float("inf"))).alias("score"))
+
+
 def select_hyperparameters(
-    data: Prepared, bounds: dict[str, Sequence[float]], n_draws: int | None = None, n_runs: int = 2, seed: int = 21,
+    data: Prepared, bounds: dict[str, Sequence], n_draws: int | None = None, n_runs: int = 2, seed: int = 21,
 ) -> DataFrame:
     """Mean validation error of each configuration on the first fold, best first.
 
-    ``bounds`` lists values of ``reg_param``; all combinations are tried, or
-    ``n_draws`` of them in seeded order. Few rows: one per configuration.
+    ``bounds`` lists values of ``reg_param``, ``elastic_net``, ``max_iter`` or
+    ``standardize``; all combinations are tried, or ``n_draws`` of them in seeded order.
     """
-    spark = data.table.sparkSession
-    grid = tuning.parameter_grid(spark, bounds)
+    grid = tuning.parameter_grid(data.table.sparkSession, bounds)
     if n_draws is not None:
         grid = tuning.draw_configurations(grid, n_draws, seed)
-    trials = []
-    valid = data.part(0, "valid")
-    for config in grid.collect():
-        model = train_ensemble(data, n_runs, config["reg_param"], seed, fold_subset=[0])
-        preds = replace(model, scaler=None).score(valid.select("row_id", "_y", "features", *(["extras"] if data.extra_scales else [])))
-        err = F.col("pred") - F.col("_y")
-        per_run = preds.groupBy("run").agg(F.avg(err * err).alias("score"))
-        trials.append(per_run.select(F.lit(config["reg_param"]).alias("reg_param"), "run", "score"))
-    table = trials[0]
-    for t in trials[1:]:
-        table = table.unionByName(t)
-    return tuning.trial_scores(table, ["reg_param"]).orderBy("mean_score", "reg_param")
+    names = list(bounds)
+    return tuning.trial_scores(hyperparameter_trials(data, grid, n_runs, seed), names).orderBy("mean_score", *names)
