@@ -10,10 +10,10 @@ from molspark.catalog.selection import accepted_sql
 from molspark.catalog.tokens import checks_sql
 from molspark.functions import tokens as tk
 from molspark.functions.hashing import leading_bits, seeded_digest
-from molspark.operators import ensemble, generate, metrics, splits
+from molspark.operators import ensemble, generate, metrics, selection, splits
 from molspark.plans import cross_validation as cv, discovery, stored
 from molspark.staging import fresh_path
-from molspark.streaming import intake
+from molspark.streaming import intake, target
 
 _PAIRS = f"""pairs AS (SELECT unnest(t[:-2]) AS cur, unnest(t[2:]) AS next FROM (SELECT {tok('smiles')} AS t FROM molecules)),
 counts AS (SELECT cur, next, count(*) AS n FROM pairs GROUP BY ALL),
@@ -240,3 +240,28 @@ def _(spark, sf):
     rows = molecules(spark, sf).select("mol_id", "smiles")
     rows.repartition(4).write.parquet(folder)
     return intake.intake(spark, folder, rows.schema)
+
+
+_PARTS = 4
+
+
+@query("str1_until_target", f"""WITH {accepted_sql()}, part AS (SELECT mol_id, smiles, mol_id * {_PARTS} // (SELECT max(mol_id) + 1 FROM molecules) AS part, (SELECT count(DISTINCT smiles) // 2 FROM kept) AS target FROM molecules),
+news AS (SELECT part, count(*) AS n FROM (SELECT min(part) AS part FROM part WHERE mol_id IN (SELECT mol_id FROM kept) GROUP BY smiles) GROUP BY part),
+sums AS (SELECT part, sum(n) OVER (ORDER BY part) AS done FROM news),
+last AS (SELECT min(part) AS part FROM sums WHERE done >= (SELECT any_value(target) FROM part)),
+taken AS (SELECT * FROM part WHERE part <= (SELECT part FROM last)),
+k AS (SELECT count(*) AS kept, count(DISTINCT smiles) AS uniq FROM taken WHERE mol_id IN (SELECT mol_id FROM kept)),
+v AS (SELECT count(*) AS valid FROM taken WHERE mol_id IN (SELECT mol_id FROM checked WHERE covered AND parens AND brackets AND rings))
+SELECT (SELECT count(*) FROM taken) AS attempts, valid, kept, kept - uniq AS duplicates, least(uniq, target)::BIGINT AS accepted, (target - least(uniq, target))::BIGINT AS shortfall
+FROM k, v, (SELECT any_value(target) AS target FROM part)""")
+def _(spark, sf):
+    """Arrivals in parts, an intake that is restarted after each and stops when half of all strings are accepted."""
+    rows = molecules(spark, sf).select("mol_id", "smiles")
+    goal = selection.acceptance(rows, 0).select(F.expr("(kept - duplicates) DIV 2")).first()[0]
+    last = rows.agg(F.max("mol_id") + 1).first()[0]
+    folder, out = fresh_path(spark, "arrivals"), fresh_path(spark, "target")
+    for k in range(_PARTS):
+        rows.where(F.expr(f"mol_id * {_PARTS} DIV {last}") == k).write.mode("append").parquet(folder)
+        if target.run_until(intake.candidate_stream(spark, folder, rows.schema), out, goal):
+            break
+    return target.acceptance(spark, out, goal)
