@@ -21,10 +21,11 @@ _MET = "the target of the intake is met"
 
 
 def accepted_within(stream: DataFrame, time: str, limit: str, text: str = "smiles", ionic: str = "all") -> DataFrame:
-    """Valid, neutral strings, each passed on once per ``limit`` of event time.
+    """Valid, neutral strings, none passed on twice within ``limit`` of event time.
 
-    The state keeps a digest per string until the watermark has passed its time by the
-    limit; later copies are new again. Rows without a time are dropped.
+    The state keeps a digest per string until the watermark, which follows a batch
+    behind, has passed its time by the limit; copies after that are new again. Rows
+    without a time are dropped.
     """
     good = stream.where(F.col(time).isNotNull()).where(is_valid(F.col(text)) & is_neutral(F.col(text), ionic))
     seen = good.select(text, time, F.unhex(F.md5(text)).alias("_digest")).withWatermark(time, limit)
