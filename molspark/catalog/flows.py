@@ -168,12 +168,12 @@ def _(spark, sf):
     return scores.select("fold", "run", "set", *(F.round(c, 4).alias(c) for c in metrics.CLASSIFICATION))
 
 
-_DRAWN = _WALK.replace("p_partkey AS cand_id", "range AS cand_id").replace("FROM part\n", "FROM range(600)\n")
+_DRAWN = _WALK.replace("p_partkey AS cand_id", "range AS cand_id").replace("FROM part\n", "FROM (SELECT unnest(range((SELECT 5 * greatest(100, count(*) // 20) FROM molecules))) AS range)\n")
 
 
 @query("ml10_one_cycle", f"""WITH RECURSIVE {MOLECULES_SQL}, {_PAIRS}, {_DRAWN},
 c AS (SELECT cand_id, smiles, {checks_sql('smiles')}, NOT regexp_matches(smiles, '[.+-]') AS neutral FROM drawn),
-k AS (SELECT smiles, min(cand_id) AS cand_id FROM c WHERE covered AND parens AND brackets AND rings AND neutral GROUP BY 1 ORDER BY 2 LIMIT 120),
+k AS (SELECT smiles, min(cand_id) AS cand_id FROM c WHERE covered AND parens AND brackets AND rings AND neutral GROUP BY 1 ORDER BY 2 LIMIT (SELECT greatest(100, count(*) // 20) FROM molecules)),
 p AS (SELECT smiles, cand_id, length(smiles) * 0.375::DOUBLE + cand_id % 7 AS property FROM k)
 SELECT smiles, round(property, 6) AS property, 0::INT AS iter FROM p ORDER BY property DESC, cand_id LIMIT (SELECT ceil(count(*) * 0.5)::BIGINT FROM p)""")
 def _(spark, sf):
@@ -181,7 +181,7 @@ def _(spark, sf):
     mols = molecules(spark, sf)
     predict = lambda c: c.withColumn("mean", F.length("smiles") * 0.375 + F.col("cand_id") % 7)
     score = lambda c: c.select("cand_id", F.lit(1.0).alias("sa_score"))
-    options = discovery.LoopOptions(n_generate=120, attempts=5, max_generation=-1)
+    options = discovery.LoopOptions(n_generate=max(100, mols.count() // 20), attempts=5, max_generation=-1)
     return discovery.discover(mols.where("mol_id % 2 = 0"), mols.where("mol_id % 2 = 1"), predict, score, options)
 
 

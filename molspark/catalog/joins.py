@@ -100,23 +100,25 @@ def _(spark, sf):
 
 
 def _order_means(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_returnflag = 'A'").withColumnRenamed("l_orderkey", "row_id")
+    rows = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "row_id")
     out = ensemble.mean_sigma(rows, "row_id", "l_discount")
     return out.select("row_id", r6(F.col("mean"), "mean"), r6(F.col("sigma"), "sigma"))
 
 
-_ORDER_MEANS = "m AS (SELECT l_orderkey, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS sigma FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)"
+_ORDER_MEANS = "m AS (SELECT l_orderkey, round(avg(l_discount), 6) AS mean, round(stddev_pop(l_discount), 6) AS sigma FROM lineitem GROUP BY 1)"
+# Every seventh order goes by a key that no line has.
+_ROW_ID = "CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END"
 
 
-@query("jon3_write_back", f"WITH {_ORDER_MEANS} SELECT o_orderkey AS row_id, o_totalprice, mean, sigma FROM orders LEFT JOIN m ON o_orderkey = l_orderkey")
+@query("jon3_write_back", f"WITH {_ORDER_MEANS} SELECT {_ROW_ID} AS row_id, o_totalprice, mean, sigma FROM orders LEFT JOIN m ON {_ROW_ID} = l_orderkey")
 def _(spark, sf):
-    base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
+    base = table(spark, sf, "orders").select(F.expr(_ROW_ID).alias("row_id"), "o_totalprice")
     return ensemble.write_back(base, _order_means(spark, sf))
 
 
-@query("jon4_attach", f"WITH {_ORDER_MEANS} SELECT o_orderkey AS row_id, o_orderpriority AS smiles, mean, sigma FROM orders LEFT JOIN m ON o_orderkey = l_orderkey")
+@query("jon4_attach", f"WITH {_ORDER_MEANS} SELECT {_ROW_ID} AS row_id, o_orderpriority AS smiles, mean, sigma FROM orders LEFT JOIN m ON {_ROW_ID} = l_orderkey")
 def _(spark, sf):
-    base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("smiles"))
+    base = table(spark, sf, "orders").select(F.expr(_ROW_ID).alias("row_id"), F.col("o_orderpriority").alias("smiles"))
     return ensemble.attach(base, _order_means(spark, sf), "row_id")
 
 
