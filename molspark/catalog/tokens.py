@@ -26,11 +26,11 @@ def _(spark, sf):
     return heavy(spark, sf, "documents").select("doc_id", F.size(tk.body_tokens(F.col("text"), True)).alias("n"))
 
 
-@query("scl2_ngrams", f"""WITH t AS (SELECT p_partkey, {tok('p_name')} AS k FROM part)
-SELECT p_partkey, {list_text(grams('k', 2))} AS g2, {list_text(grams('k', 3))} AS g3 FROM t""")
+@query("scl2_ngrams", f"""WITH {MOLECULES_SQL}, t AS (SELECT mol_id, {tok('smiles')} AS k FROM molecules)
+SELECT mol_id, {list_text(grams('k', 2))} AS g2, {list_text(grams('k', 3))} AS g3 FROM t""")
 def _(spark, sf):
-    t = table(spark, sf, "part").withColumn("k", tk.tokenize(F.col("p_name")))
-    return t.select("p_partkey", joined(tk.ngrams(F.col("k"), 2), "g2"), joined(tk.ngrams(F.col("k"), 3), "g3"))
+    t = molecules(spark, sf).withColumn("k", tk.tokenize(F.col("smiles")))
+    return t.select("mol_id", joined(tk.ngrams(F.col("k"), 2), "g2"), joined(tk.ngrams(F.col("k"), 3), "g3"))
 
 
 _VOCAB = f"""vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM
@@ -49,27 +49,27 @@ def _(spark, sf):
     return vocabulary.max_length(heavy(spark, sf, "documents").select(tk.tokenize(F.col("text")).alias("tokens")))
 
 
-_ENCODED = f"""WITH v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM
- (SELECT DISTINCT unnest({tok('p_brand')}) AS token FROM part)),
+_ENCODED = f"""WITH {MOLECULES_SQL}, v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM
+ (SELECT DISTINCT unnest({tok('smiles')}) AS token FROM molecules WHERE custkey % 5 = 0)),
 m AS (SELECT map(list(token), list(token_id)) AS m FROM v),
-e AS (SELECT p_partkey, list_transform({tok('p_name')}, lambda x: coalesce(m[x], 1)) AS i FROM part, m),
-f AS (SELECT p_partkey, list_concat(list_transform(range((SELECT max(len(i)) + 1 FROM e) - len(i)), lambda q: 0), i) AS ids FROM e)"""
+e AS (SELECT mol_id, list_transform({tok('smiles')}, lambda x: coalesce(m[x], 1)) AS i FROM molecules, m),
+f AS (SELECT mol_id, list_concat(list_transform(range((SELECT max(len(i)) + 1 FROM e) - len(i)), lambda q: 0), i) AS ids FROM e)"""
 
 
 def _encoded_parts(spark, sf, how):
-    part = table(spark, sf, "part").select("p_partkey", tk.tokenize(F.col("p_name")).alias("tokens"))
-    vocab = vocabulary.build_vocabulary(table(spark, sf, "part").select(tk.tokenize(F.col("p_brand")).alias("tokens")))
-    return how(part, stage(vocab, "vocabulary"), None, "p_partkey")
+    mols = molecules(spark, sf).select("mol_id", tk.tokenize(F.col("smiles")).alias("tokens"))
+    vocab = vocabulary.build_vocabulary(molecules(spark, sf).where("custkey % 5 = 0").select(tk.tokenize(F.col("smiles")).alias("tokens")))
+    return how(mols, stage(vocab, "vocabulary"), None, "mol_id")
 
 
-@query("scl3_encode", f"{_ENCODED} SELECT p_partkey, {list_text('ids')} AS ids FROM f")
+@query("scl3_encode", f"{_ENCODED} SELECT mol_id, {list_text('ids')} AS ids FROM f")
 def _(spark, sf):
-    return _encoded_parts(spark, sf, vocabulary.encode).select("p_partkey", joined(F.col("ids"), "ids"))
+    return _encoded_parts(spark, sf, vocabulary.encode).select("mol_id", joined(F.col("ids"), "ids"))
 
 
-@query("scl3_encode_by_join", f"{_ENCODED} SELECT p_partkey, {list_text('ids')} AS ids FROM f")
+@query("scl3_encode_by_join", f"{_ENCODED} SELECT mol_id, {list_text('ids')} AS ids FROM f")
 def _(spark, sf):
-    return _encoded_parts(spark, sf, vocabulary.encode_by_join).select("p_partkey", joined(F.col("ids"), "ids"))
+    return _encoded_parts(spark, sf, vocabulary.encode_by_join).select("mol_id", joined(F.col("ids"), "ids"))
 
 
 @query("jon1_token_lookup", f"""WITH known AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS token_id FROM
@@ -111,32 +111,32 @@ def _ids_of(docs, vocab):
     return pairs.select("doc_id", F.col("p.token_id").alias("ids"))
 
 
-@query("scl5_decode_names", f"SELECT p_partkey, array_to_string({body('p_name')}, '') AS decoded FROM part")
+@query("scl5_decode_names", f"WITH {MOLECULES_SQL} SELECT mol_id, array_to_string({body('smiles')}, '') AS decoded FROM molecules")
 def _(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", tk.tokenize(F.col("p_name")).alias("tokens"))
-    vocab = stage(vocabulary.build_vocabulary(part), "vocabulary")
-    coded = vocabulary.encode(part, vocab, None, "p_partkey")
-    return vocabulary.decode(coded, vocab, "p_partkey").select("p_partkey", "decoded")
+    mols = molecules(spark, sf).select("mol_id", tk.tokenize(F.col("smiles")).alias("tokens"))
+    vocab = stage(vocabulary.build_vocabulary(mols), "vocabulary")
+    coded = vocabulary.encode(mols, vocab, None, "mol_id")
+    return vocabulary.decode(coded, vocab, "mol_id").select("mol_id", "decoded")
 
 
-@query("scl6_rotate", f"""WITH t AS (SELECT p_partkey, {tok('p_name')} AS t, (p_partkey % 13)::INT % len({tok('p_name')}) AS k FROM part)
-SELECT p_partkey, array_to_string(list_concat(t[k + 1:], t[:k]), '') AS rotated FROM t""")
+@query("scl6_rotate", f"""WITH {MOLECULES_SQL}, t AS (SELECT mol_id, {tok('smiles')} AS t, (mol_id % 13)::INT % len({tok('smiles')}) AS k FROM molecules)
+SELECT mol_id, array_to_string(list_concat(t[k + 1:], t[:k]), '') AS rotated FROM t""")
 def _(spark, sf):
-    part = table(spark, sf, "part").withColumn("t", tk.tokenize(F.col("p_name")))
-    by = (F.col("p_partkey") % 13).cast("int")
-    return part.select("p_partkey", F.array_join(tk.rotate(F.col("t"), by), "").alias("rotated"))
+    mols = molecules(spark, sf).withColumn("t", tk.tokenize(F.col("smiles")))
+    by = (F.col("mol_id") % 13).cast("int")
+    return mols.select("mol_id", F.array_join(tk.rotate(F.col("t"), by), "").alias("rotated"))
 
 
-_ROTATIONS = f"""r AS (SELECT p_partkey, unnest(range(len(t))) AS k, t FROM (SELECT p_partkey, {body('p_name')} AS t FROM part)),
-d AS (SELECT p_partkey, array_to_string(list_concat(t[k + 1:], t[:k]), '') AS variant, min(k) AS first FROM r GROUP BY ALL),
-v AS (SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY first) - 1)::INT AS variant_no, variant FROM d
- UNION ALL SELECT p_partkey, 0, '' FROM part WHERE len({body('p_name')}) = 0)"""
+_ROTATIONS = f"""r AS (SELECT mol_id, unnest(range(len(t))) AS k, t FROM (SELECT mol_id, {body('smiles')} AS t FROM molecules)),
+d AS (SELECT mol_id, array_to_string(list_concat(t[k + 1:], t[:k]), '') AS variant, min(k) AS first FROM r GROUP BY ALL),
+v AS (SELECT mol_id, (row_number() OVER (PARTITION BY mol_id ORDER BY first) - 1)::INT AS variant_no, variant FROM d
+ UNION ALL SELECT mol_id, 0, '' FROM molecules WHERE len({body('smiles')}) = 0)"""
 
 
-@query("scl7_rotation_variants", f"WITH {_ROTATIONS} SELECT * FROM v")
+@query("scl7_rotation_variants", f"WITH {MOLECULES_SQL}, {_ROTATIONS} SELECT * FROM v")
 def _(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", augment.rotation_variants(F.col("p_name")).alias("variants"))
-    return augment.explode_variants(part)
+    mols = molecules(spark, sf).select("mol_id", augment.rotation_variants(F.col("smiles")).alias("variants"))
+    return augment.explode_variants(mols)
 
 
 @query("scl8_two_forms", f"""SELECT p_partkey, array_to_string(CASE WHEN len(f) = 0 THEN [p_name] ELSE f END, '~') AS forms FROM
@@ -150,11 +150,11 @@ def _(spark, sf):
     return part.select("p_partkey", joined(forms, "forms"))
 
 
-@query("scl9_prefixes", f"""WITH t AS (SELECT p_partkey, {body('p_name')} AS t FROM part)
-SELECT p_partkey, (unnest(range(len(t))))::INT AS pos, array_to_string(t[:unnest(range(len(t))) + 1], '') AS prefix FROM t""")
+@query("scl9_prefixes", f"""WITH {MOLECULES_SQL}, t AS (SELECT mol_id, {body('smiles')} AS t FROM molecules)
+SELECT mol_id, (unnest(range(len(t))))::INT AS pos, array_to_string(t[:unnest(range(len(t))) + 1], '') AS prefix FROM t""")
 def _(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", tk.tokenize(F.col("p_name")).alias("tokens"))
-    return interpret.prefix_rows(part, "p_partkey")
+    mols = molecules(spark, sf).select("mol_id", tk.tokenize(F.col("smiles")).alias("tokens"))
+    return interpret.prefix_rows(mols, "mol_id")
 
 
 @query("scl11_precision", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN v = 0 THEN '0.3'
@@ -210,15 +210,15 @@ def _(spark, sf):
     )
 
 
-@query("scl18_align_weights", f"""WITH t AS (SELECT p_partkey, {body('p_name')} AS t FROM part)
-SELECT p_partkey, (unnest(range(len(t))))::INT AS pos, unnest(t) AS token,
-(p_partkey % 10 + 29 - len(t) + unnest(range(len(t))))::DOUBLE AS weight FROM t""")
+@query("scl18_align_weights", f"""WITH {MOLECULES_SQL}, t AS (SELECT mol_id, {body('smiles')} AS t FROM molecules)
+SELECT mol_id, (unnest(range(len(t))))::INT AS pos, unnest(t) AS token,
+(mol_id % 10 + 29 - len(t) + unnest(range(len(t))))::DOUBLE AS weight FROM t""")
 def _(spark, sf):
-    part = table(spark, sf, "part").select(
-        "p_partkey", tk.tokenize(F.col("p_name")).alias("tokens"),
-        F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: (F.col("p_partkey") % 10 + i).cast("double")).alias("weights"),
+    mols = molecules(spark, sf).select(
+        "mol_id", tk.tokenize(F.col("smiles")).alias("tokens"),
+        F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: (F.col("mol_id") % 10 + i).cast("double")).alias("weights"),
     )
-    return interpret.aligned_tokens(part, "p_partkey")
+    return interpret.aligned_tokens(mols, "mol_id")
 
 
 @query("prj5_join_strings", """SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, p_brand,
@@ -230,13 +230,13 @@ def _(spark, sf):
     )
 
 
-@query("prj6_explode_variants", f"""WITH {_ROTATIONS} SELECT p_partkey, variant_no, variant, p_retailprice AS property, p_size
-FROM v JOIN part USING (p_partkey)""")
+@query("prj6_explode_variants", f"""WITH {MOLECULES_SQL}, {_ROTATIONS} SELECT mol_id, variant_no, variant, property, custkey
+FROM v JOIN molecules USING (mol_id)""")
 def _(spark, sf):
-    part = table(spark, sf, "part").select(
-        "p_partkey", F.col("p_retailprice").alias("property"), "p_size", augment.rotation_variants(F.col("p_name")).alias("variants")
+    mols = molecules(spark, sf).select(
+        "mol_id", "property", "custkey", augment.rotation_variants(F.col("smiles")).alias("variants")
     )
-    return augment.explode_variants(part)
+    return augment.explode_variants(mols)
 
 
 def _some_null(spark, sf):
@@ -267,15 +267,15 @@ def _(spark, sf):
     return augment.explode_variants(rows)
 
 
-@query("prj11_padded_rows", f"""WITH t AS (SELECT p_partkey, list_transform({body('p_name')}, lambda x: ascii(x)) AS i FROM part),
+@query("prj11_padded_rows", f"""WITH {MOLECULES_SQL}, t AS (SELECT mol_id, list_transform({body('smiles')}, lambda x: ascii(x)) AS i FROM molecules),
 w AS (SELECT max(len(i)) AS w FROM t),
-p AS (SELECT p_partkey, list_concat(i, list_transform(range(w - len(i)), lambda q: 0)) AS ids,
+p AS (SELECT mol_id, list_concat(i, list_transform(range(w - len(i)), lambda q: 0)) AS ids,
  list_concat(list_transform(i, lambda q: 1), list_transform(range(w - len(i)), lambda q: 0)) AS mask FROM t, w)
-SELECT p_partkey, {list_text('ids')} AS input_ids, {list_text('mask')} AS attention_mask, {list_text('ids')} AS labels FROM p""")
+SELECT mol_id, {list_text('ids')} AS input_ids, {list_text('mask')} AS attention_mask, {list_text('ids')} AS labels FROM p""")
 def _(spark, sf):
-    ids = F.transform(tk.body_tokens(F.col("p_name")), lambda t: F.ascii(t))
-    rows = selection.training_rows(table(spark, sf, "part").select("p_partkey", ids.alias("ids")))
-    return rows.select("p_partkey", *[joined(F.col(c), c) for c in ("input_ids", "attention_mask", "labels")])
+    ids = F.transform(tk.body_tokens(F.col("smiles")), lambda t: F.ascii(t))
+    rows = selection.training_rows(molecules(spark, sf).select("mol_id", ids.alias("ids")))
+    return rows.select("mol_id", *[joined(F.col(c), c) for c in ("input_ids", "attention_mask", "labels")])
 
 
 _DEPTH = """list_reduce(list_concat([0], list_transform(regexp_extract_all({0}, '[()]'), lambda c: CASE c WHEN '(' THEN 1 ELSE -1 END)),
