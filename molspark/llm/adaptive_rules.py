@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from molspark.llm.text import per_text, text_udf
+from molspark.llm.text import per_text, small_batches, text_udf
 from molspark.staging import broadcast_checked, stage
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -210,6 +210,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = (
     go or stay together, texts of any length are measured whole, an empty table gives
     an empty one.
     """
+    small_batches(docs.sparkSession)
     measure = text_udf(_measure, {n: "bigint" for n in _STATISTICS})
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), measure(text_col).alias("_m"))
     measured = stage(rows.select("_row", *(f"_k{i}" for i in range(len(keys))), "_m.*"), "measured")

@@ -3,7 +3,7 @@
 Counting goes from words to pairs, and from pairs of phrases to longer phrases:
 
 1. Each task numbers the words of its texts and keeps them as chunks: the numbers of
-   some hundred thousand words of one language in a row, with marks between pieces, and the
+   some ten thousand words of one language in a row, with marks between pieces, and the
    words they stand for. Words are counted over all chunks; those too rare to be in
    any phrase drop out, the others get ids by falling frequency.
 2. The adjacent ids of a chunk are counted in tiles of 1,024 by 1,024 ids. As ids are
@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from molspark.llm.text import slices, text_bytes
+from molspark.llm.text import returned, slices, small_batches, text_bytes
 from molspark.operators.rank import ordinal
 from molspark.staging import stage
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 SENT_ROWS = 400_000
-CHUNK_WORDS, COUNT_WORDS, SLICE_BYTES = 1 << 19, 1 << 20, 4 << 20
+CHUNK_WORDS, COUNT_WORDS, SLICE_BYTES = 1 << 17, 1 << 19, 2 << 20
 TILE, TILES, THIN = 1024, 8, 16  # ids a side, tiles a side, cells per pair from which a tile is thin
 _ROWS = 256
 _BREAK = 0xFF  # a byte that no UTF-8 text holds
@@ -106,8 +106,9 @@ def chunks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
             yield chunk.row(number, lang)
             number += 1
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "chunk bigint, lang string, codes binary, words array<string>, counts array<bigint>")
+    return chosen.mapInArrow(lambda batches: returned(run(batches)), "chunk bigint, lang string, codes binary, words array<string>, counts array<bigint>")
 
 
 def pair_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +208,7 @@ class _Ids:
                         codes = recoded(codes, *(sent.get(lang, (_NONE, _NONE)) if sent is not None else (own, ids)))
                 yield row["chunk"].as_py(), lang, codes
 
-        return wide.select(*columns).mapInArrow(lambda batches: function(named_chunks(batches)), schema)
+        return wide.select(*columns).mapInArrow(lambda batches: returned(function(named_chunks(batches))), schema)
 
 
 _NONE = np.zeros(0, np.int64)
@@ -305,7 +306,7 @@ class _Same(_Ids):
             for batch in slices(batches, 1):
                 yield batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), np.frombuffer(batch.column(2)[0].as_buffer(), "<i4")
 
-        return held.select("chunk", "lang", "codes").mapInArrow(lambda batches: function(plain(batches)), schema)
+        return held.select("chunk", "lang", "codes").mapInArrow(lambda batches: returned(function(plain(batches))), schema)
 
 
 def _ranked(counted: DataFrame, key: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from molspark.llm.text import WordHasher, gram_hashes, slices, text_bytes, text_udf
+from molspark.llm.text import WordHasher, gram_hashes, slices, small_batches, text_bytes, text_udf
 
 GRAM, SHORT_WORDS, PASSAGE, STEP, THRESHOLD = 3, 8, 256, 128, 0.5
 EXCERPT = 100
@@ -276,6 +276,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     gives an empty one. Texts of any length are searched whole. Only a flag per row
     comes back from Python, and one worker per task searches all blocks in turn.
     """
+    small_batches(docs.sparkSession)
     out = docs
     for block in blocks(benchmark, item_col, block_words):
         scanners: list[Scanner] = []

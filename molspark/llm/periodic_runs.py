@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from molspark.llm.text import slices, text_bytes
+from molspark.llm.text import slices, small_batches, text_bytes
 
 MIN_LENGTH = 12
 _DIRECT = 15  # periods below are found by shifting
@@ -264,6 +264,7 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     columns are not read; an empty table gives an empty one. A text is searched whole,
     in memory of some 4 bytes per word and power of two up to its longest repeat.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     run = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+BATCH_BYTES = 4 << 20
 _PIECE, _ROWS = 1 << 20, 512
 _ARROW = {
     "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
@@ -15,6 +18,21 @@ _ARROW = {
 }
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits what Spark sends to a Python worker at once; a batch, its copies and its results lie in memory outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def returned(results: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The results; then the worker, which Spark keeps for later tasks, gives back memory that it no longer uses."""
+    yield from results
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of each text of a string column."""
     return column.cast(pa.binary()).to_pylist()
@@ -39,6 +57,7 @@ def per_text(
     ``function`` gets some texts of an Arrow batch and returns a list per field.
     Numbered names keep any column of ``docs`` from clashing with a field.
     """
+    small_batches(docs.sparkSession)
     names = [f"_{i}" for i in range(len(keep))]
     within = keep.index(text_col) if text_col in keep else len(keep)
     columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]

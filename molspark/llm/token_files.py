@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from molspark.llm.text import slices, text_bytes
+from molspark.llm.text import slices, small_batches, text_bytes
 from molspark.staging import fresh_path
 
 MAGIC, MANIFEST = b"IDPACK01", "manifest.json"
@@ -168,6 +168,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     Null and empty texts have the end id alone. Rows keep their order and partition.
     """
+    small_batches(docs.sparkSession)
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     end = b"" if end_id is None else struct.pack("<I", end_id)
     kind = docs.schema[id_col].dataType.simpleString()
