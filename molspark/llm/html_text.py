@@ -132,6 +132,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool] | None]:
     """The lines of a page. Elements that are never closed end with the page or an enclosing element."""
     out, stack, opened = _Lines(), [], Counter()
     dropped = mains = links = at = 0
+    link = -1  # place of the open link, of which there is one at most
     while at < len(html):
         tag = _TAG.search(html, at)
         if not dropped:
@@ -155,6 +156,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool] | None]:
                 last, drops, main = stack.pop()
                 opened[last] -= 1
                 dropped, mains, links = dropped - drops, mains - main, links - (last == "a")
+                link = -1 if last == "a" else link
                 if last == name:
                     break
             out.closed(len(stack))
@@ -167,10 +169,12 @@ def lines_of(html: str) -> list[tuple[str, int, bool] | None]:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif not tag[3].endswith("/") or name in BLOCKS or name in DROPPED:
-            if name == "a" and opened["a"]:
-                links -= 1  # links do not nest: a new one ends the last
-                stack[max(i for i, s in enumerate(stack) if s[0] == "a")] = ("", *stack[max(i for i, s in enumerate(stack) if s[0] == "a")][1:])
-                opened["a"] -= 1
+            if name == "a":
+                if link >= 0:  # links do not nest: a new one ends the last
+                    links -= 1
+                    stack[link] = ("", *stack[link][1:])
+                    opened["a"] -= 1
+                link = len(stack)
             stack.append((name, drops, main))
             opened[name] += 1
             dropped, mains, links = dropped + drops, mains + main, links + (name == "a")

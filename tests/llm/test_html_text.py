@@ -90,3 +90,16 @@ def test_extract(spark):
 def test_driver_pages(spark):
     found = html_text.extract(spark.read.parquet(f"{FOLDER}/pages.parquet")).collect()
     assert len(found) == 50 and all(r.n_chars > 0 and "&copy;" not in r.text and "<" not in r.text[:1] for r in found)
+
+
+def test_many_unclosed_links_take_linear_time():
+    import time
+    page = "<div>" + "".join(f"<a href=x>link {i}" for i in range(100_000)) + "</div><p>" + "A real sentence of the text. " * 20 + "</p>"
+    began = time.time()
+    text = html_text.main_text(page)
+    assert time.time() - began < 6 and text.endswith("A real sentence of the text.")
+
+
+def test_open_link_is_forgotten_with_its_parent():
+    lines = html_text.lines_of("<div><a>one<a>two</div>three<a>four</a>five")
+    assert [(line[0], line[1]) for line in lines if line] == [("onetwo", 6), ("threefourfive", 4)]
