@@ -128,7 +128,12 @@ class Slice(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Options: ``path``; ``payload`` (default true) unpacks payloads; ``verify`` (default true) checks their digests."""
+    """Options: ``path``; ``payload`` (default true) unpacks payloads; ``verify`` (default true) checks digests that this module has written.
+
+    A folder without a manifest is read as the ``*.warc.gz`` files below it, one record
+    per gzip member, one partition per file. Their payload lengths are known only where
+    the payload is unpacked.
+    """
 
     def __init__(self, options: dict) -> None:
         self._path = options["path"].rstrip("/")
@@ -147,11 +152,17 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Slice]:
         fs, base = _open(self._path)
+        if fs.get_file_info(f"{base}/{MANIFEST}").type == pafs.FileType.NotFound:  # archives from elsewhere: a partition per file
+            found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
+            names = sorted((f.path.removeprefix(base).lstrip("/"), f.size) for f in found if f.is_file and f.path.endswith(".warc.gz") and f.size)
+            return [Slice(f"{self._path}/{name}", 0, size) for name, size in names]
         with fs.open_input_stream(f"{base}/{MANIFEST}") as file:
             files = json.loads(file.read())["files"]
         return [Slice(f"{self._path}/{f['name']}", a, b) for f in files for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]])]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what a folder without archives is read by
+            return
         fs, path = _open(partition.path)
         columns, size = [[] for _ in _NAMES], 0
         with fs.open_input_file(path) as file:
@@ -162,7 +173,7 @@ class WarcReader(DataSourceReader):
                 length, payload = headers.get("X-Payload-Length"), None
                 if self._payload and headers.get("WARC-Type") == "response":
                     payload = record.block().partition(b"\r\n\r\n")[2]
-                    if self._verify and f"sha1:{digest(payload)}" != headers.get("WARC-Payload-Digest"):
+                    if self._verify and length is not None and f"sha1:{digest(payload)}" != headers.get("WARC-Payload-Digest"):
                         raise ValueError(f"payload of {row[0]} does not match its digest")
                     length = len(payload)
                 for column, value in zip(columns, [*row, None if length is None else int(length), payload]):
@@ -249,7 +260,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(folder)``, of folders written by the same format."""
+    """``spark.read.format("warc").load(folder)``, of folders written by the same format or of plain ``*.warc.gz`` files."""
 
     @classmethod
     def name(cls) -> str:

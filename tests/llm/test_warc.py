@@ -123,3 +123,32 @@ def test_empty_and_driver_pages(spark):
     table = spark.read.parquet(f"{FOLDER}/pages.parquet")
     found = warc.archive_round_trip(table)
     assert sorted(map(tuple, found.collect()), key=repr) == expected([(r.page_id, r.url, r.html) for r in table.collect()])
+
+
+def test_archives_from_elsewhere(spark):
+    """Plain files without a manifest or length fields, with other records, folded over folders."""
+    import gzip
+    import pathlib
+    folder = fresh_path(spark, "foreign")
+    root = pathlib.Path(folder.removeprefix("file:"))
+
+    def record(kind, number, body, **more):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body if kind == "response" else body
+        headers = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{number}>", "WARC-Target-URI": f"http://example.org/{number}", **more}
+        lines = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
+        return gzip.compress(f"WARC/1.0\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    for part in range(3):
+        (root / f"segment{part}").mkdir(parents=True)
+        packed = [record("warcinfo", f"i{part}", b"software: other")]
+        for k in range(20):
+            packed.append(record("request", f"q{part}-{k}", b"GET / HTTP/1.1\r\n\r\n"))
+            packed.append(record("response", f"r{part}-{k}", f"<p>page {part} {k}</p>".encode() * 200, **({"WARC-Payload-Digest": "sha1:OTHER"} if k % 2 else {})))
+        (root / f"segment{part}" / "a.warc.gz").write_bytes(b"".join(packed))
+        (root / f"segment{part}" / "notes.txt").write_text("not an archive")
+    assert warc.read_records(spark, folder).rdd.getNumPartitions() == 3
+    found = {r.target_uri: bytes(r.payload) for r in warc.read_records(spark, folder).where("record_type = 'response'").collect()}
+    assert found == {f"http://example.org/r{p}-{k}": f"<p>page {p} {k}</p>".encode() * 200 for p in range(3) for k in range(20)}
+    one = warc.read_records(spark, folder, payload=False).where("target_uri = 'http://example.org/r1-7'").collect()
+    assert [(r.record_type, r.payload_digest, r.payload) for r in one] == [("response", "sha1:OTHER", None)]
+    assert warc.read_records(spark, folder).count() == 3 * 41
