@@ -36,7 +36,7 @@ from molspark.staging import stage
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 SENT_ROWS = 400_000
-CHUNK_WORDS, COUNT_WORDS, SLICE_BYTES = 1 << 17, 1 << 19, 2 << 20
+CHUNK_WORDS, COUNT_WORDS, PHRASE_WORDS, SLICE_BYTES = 1 << 17, 1 << 19, 1 << 21, 2 << 20
 TILE, TILES, THIN = 1024, 8, 16  # ids a side, tiles a side, cells per pair from which a tile is thin
 _ROWS = 256
 _BREAK = 0xFF  # a byte that no UTF-8 text holds
@@ -225,14 +225,14 @@ def _rows(lang: str, keys: np.ndarray, **columns: np.ndarray) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([langs, *map(pa.array, some.values())], ["lang", *some])
 
 
-def _counted(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """``lang, key, n``: the pairs of some chunks of a language at a time."""
+def _counted(held: Iterator[tuple[int, str, np.ndarray]], words: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``lang, key, n``: the pairs of some chunks of a language at a time, of ``words`` codes together."""
     parts: dict[str, list[np.ndarray]] = {}
     size = 0
     for _, lang, codes in held:
         parts.setdefault(lang, []).extend([codes, np.zeros(1, np.int32)])
         size += len(codes)
-        if size > COUNT_WORDS:
+        if size > (words or COUNT_WORDS):
             largest = max(parts, key=lambda x: sum(map(len, parts[x])))
             codes = np.concatenate(parts.pop(largest))
             keys, counts = pair_counts(codes)
@@ -243,6 +243,11 @@ def _counted(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordB
         yield from _rows(lang, keys, n=counts)
 
 
+def _counted_phrases(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The same for codes of phrases, of which a task has fewer: those of a whole task, as a rule, add up before they move."""
+    return _counted(held, PHRASE_WORDS)
+
+
 def _held(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """``lang, key, chunk``: the distinct pairs of each chunk."""
     for chunk, lang, codes in held:
@@ -273,7 +278,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     tables = [level.select("lang", F.lit(1).alias("size"), "id", "f", "phrase", F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))]
     ids, before = _Ids(level, own, words=True), None
     for size in range(2, max_words + 1):
-        pairs = ids.map(held, _counted, "lang string, key bigint, n bigint", before)
+        pairs = ids.map(held, _counted if ids.words else _counted_phrases, "lang string, key bigint, n bigint", before)
         added = pairs.groupBy("lang", "key").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         ranked = _ranked(added, ["key"]).select("lang", "id", "f", "key", F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("right"))
         first = level.select("lang", F.col("id").alias("left"), F.col("phrase").alias("_first"))
