@@ -6,14 +6,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from molspark.functions.hashing import normal, normals
 from molspark.functions.scores import binary_class
-from molspark.operators.rank import prefix
+from molspark.operators.rank import ordinal, prefix
+from molspark.operators.shaping import match_keys
+from molspark.staging import stage
 
 REGRESSION = ["rmse", "mae", "r2"]
 REPLICA_ROWS = 200_000  # rows that may travel to the tasks for their replicas
+CELL_ROWS = 1 << 21  # scores of a replica that meet in one task
 CLASSIFICATION = ["accuracy", "precision", "recall", "f1", "pr_auc"]
 
 
@@ -210,6 +213,127 @@ def _replica_metrics(rows: pa.Table, spark: SparkSession, n_mc: int, seed: int)
     return replicas.mapInArrow(run, "_g bigint, rep bigint, " + ", ".join(f"{m} double" for m in CLASSIFICATION))
 
 
+def _sortable(score: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the scores, equal for equal ones."""
+    bits = (score + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def _packed(order: np.ndarray, hit: np.ndarray) -> bytes:
+    """Ascending numbers as differences, bytes of equal place together (most are zero), then a bit per hit."""
+    steps = np.diff(order.view(np.uint64), prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes() + np.packbits(hit).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8, 8 * n).reshape(8, n)
+    steps = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
+    return np.cumsum(steps, dtype=np.uint64).view(np.int64), np.unpackbits(np.frombuffer(data, np.uint8, offset=8 * n), count=n).astype(bool)
+
+
+def _dealt_scores(rows: DataFrame, n_mc: int, seed: int, edges: Sequence[float], whole: bool) -> DataFrame:
+    """``_g, rep, cell, n, pos, data``: per task, group, replica and range of scores their numbers, and with ``whole`` the sorted scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, target, pred, sigma = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4))
+            prefixes = np.array([f"{seed}|{i}|".encode() for i in batch.column(1).to_pylist()])
+            hit, names = target == 1, np.unique(group)
+            own = np.searchsorted(names, group)
+            for rep in range(n_mc):
+                score = pred + normals(prefixes, str(rep).encode()) * sigma
+                cell = np.searchsorted(edges, score) if len(edges) else np.zeros(len(score), np.int64)
+                key = _sortable(score)
+                order = np.lexsort((key, cell, own)) if len(edges) or len(names) > 1 else np.argsort(key)
+                slot = (own * (len(edges) + 1) + cell)[order]
+                starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+                ends = np.r_[starts[1:], len(slot)]
+                sorted_hit, sorted_key = hit[order], key[order]
+                found = np.add.reduceat(sorted_hit, starts, dtype=np.int64)
+                data = [_packed(sorted_key[i:j], sorted_hit[i:j]) if whole else None for i, j in zip(starts.tolist(), ends.tolist())]
+                columns = [names[slot[starts] // (len(edges) + 1)], np.full(len(starts), rep), slot[starts] % (len(edges) + 1), ends - starts, found]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(data, pa.binary())], ["_g", "rep", "cell", "n", "pos", "data"])
+
+    return rows.mapInArrow(run, "_g bigint, rep bigint, cell bigint, n bigint, pos bigint, data binary")
+
+
+def _cell_sums(dealt: DataFrame) -> DataFrame:
+    """``_g, rep`` and the sums of every range of scores: ``tp, called, n, pos, area``; ``_pos, _above, _hits`` count the whole replica and what lies above the range."""
+
+    def sums(n_pos: int, above: int, hits: int, parts: list[tuple[bytes, int]]) -> tuple:
+        sides = [_unpacked(*p) for p in parts]
+        key, hit = np.concatenate([k for k, _ in sides]), np.concatenate([h for _, h in sides])
+        order = np.argsort(key)[::-1]
+        key, hit = key[order], hit[order]
+        last = np.flatnonzero(np.r_[key[1:] != key[:-1], True])  # equal scores are one step
+        called = int((key > _sortable(np.array([0.5]))[0]).sum())
+        tp = int(hit[:called].sum())
+        found = np.cumsum(hit)[last]
+        precision = (hits + found) / (above + last + 1.0)
+        before = 1.0 if above == 0 else hits / above
+        if n_pos:
+            width = np.diff(found, prepend=0) / n_pos
+        else:
+            width = np.r_[1.0 if above == 0 else 0.0, np.zeros(len(last) - 1)]
+        area = float((width * (precision + np.r_[before, precision[:-1]]) / 2).sum())
+        return tp, called, len(hit), int(hit.sum()), area
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, parts = None, None, []
+
+        def result() -> pa.RecordBatch:
+            values = [*name[:2], *sums(*held, parts)]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.float64() if k == 6 else pa.int64()) for k, v in enumerate(values)], ["_g", "rep", "tp", "called", "n", "pos", "area"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != name:
+                    if parts:
+                        yield result()
+                    name, held, parts = row[:3], row[5:8], []
+                parts.append((row[4], row[3]))
+        if parts:
+            yield result()
+
+    keys = ["_g", "rep", "cell"]
+    sorted_in_tasks = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_in_tasks.select(*keys, "n", "data", "_pos", "_above", "_hits").mapInArrow(
+        run, "_g bigint, rep bigint, tp bigint, called bigint, n bigint, pos bigint, area double"
+    )
+
+
+def _dealt_metrics(rows: DataFrame, n_rows: int, n_mc: int, seed: int, cell_rows: int) -> DataFrame:
+    """Like :func:`_replica_metrics` for more rows than may travel: ``_g, rep`` and the metrics.
+
+    Every task draws all replicas of its own rows and sends the sorted scores once, packed;
+    the scores of a group and replica meet in ranges of some ``cell_rows``. With several
+    ranges, a first pass counts what lies above each.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22)
+    cells = -(-n_rows // cell_rows)
+    edges = sorted(set(rows.approxQuantile("_p", [k / cells for k in range(1, cells)], 0.01))) if cells > 1 else []
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = stage(rows.repartition(parts, "_id"), "noise-rows")
+    dealt = _dealt_scores(rows, n_mc, seed, edges, True)
+    if edges:
+        counts = stage(_dealt_scores(rows, n_mc, seed, edges, False).groupBy("_g", "rep", "cell").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), "cells")
+        each = Window.partitionBy("_g", "rep")  # as many rows as there are ranges
+        higher = each.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+        total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+        above = counts.select("_g", "rep", "cell", total("pos", each).alias("_pos"), total("n", higher).alias("_above"), total("pos", higher).alias("_hits"))
+        dealt = dealt.drop("pos").join(above, ["_g", "rep", "cell"])
+        sums = _cell_sums(dealt)
+    else:
+        hits = rows.groupBy("_g").agg(F.count_if(F.col("_y") == 1).alias("_pos"))
+        sums = _cell_sums(dealt.drop("pos").join(hits, "_g").withColumns({"_above": F.lit(0).cast("bigint"), "_hits": F.lit(0).cast("bigint")}))
+    whole = sums.groupBy("_g", "rep").agg(*(F.sum(c).alias(c) for c in ("tp", "called", "n", "pos", "area")))
+    tp, n = F.col("tp"), F.col("n")
+    fp, fn = F.col("called") - tp, F.col("pos") - tp
+    counted = whole.select("_g", "rep", tp, fp.alias("fp"), fn.alias("fn"), (n - tp - fp - fn).alias("tn"), F.col("area").alias("pr_auc"))
+    return counted.select(*_counts_to_metrics(["_g", "rep"]), "pr_auc")
+
+
 def classification_sigma(
     df: DataFrame,
     row_id: str,
@@ -220,21 +344,26 @@ def classification_sigma(
     pred: str = "pred",
     sigma: str = "sigma",
     limit: int = REPLICA_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Population deviation of the five metrics over noisy replicas.
 
     Up to ``limit`` rows go to the tasks, each of which makes some replicas of all of
     them and returns one row per group and replica, so no replica of a row is ever
-    shuffled. More rows are repeated and ordered over range partitions; the result is
-    the same.
+    shuffled. Of more rows every task draws the replicas of its own, and the sorted
+    scores are shuffled once, packed; the result is the same.
     """
     keys = list(keys)
     chosen = df.select(*keys, row_id, true, pred, sigma)
     if not 0 < chosen.limit(limit + 1).count() <= limit:
-        noisy = noisy_replicas(chosen, row_id, n_mc, seed, pred, sigma)
-        by = [*keys, "rep"]
-        per_rep = curve_metrics(pr_curve(noisy, by, true, pred), by)
-        return per_rep.groupBy(*keys).agg(*[F.stddev_pop(m).alias(f"{m}_sigma") for m in CLASSIFICATION])
+        values = [F.col(c).cast(t).alias(n) for c, t, n in ((row_id, "string", "_id"), (true, "bigint", "_y"), (pred, "double", "_p"), (sigma, "double", "_s"))]
+        fixed = stage(df.select(*keys, *values), "replica-rows")
+        named = stage(ordinal(fixed.select(*keys).distinct(), [F.col(k) for k in keys], name="_g"), "groups") if keys else None
+        placed = match_keys(fixed, named, keys) if keys else fixed.withColumn("_g", F.lit(0))
+        rows = placed.select(F.col("_g").cast("bigint").alias("_g"), "_id", "_y", "_p", "_s")
+        per_rep = _dealt_metrics(rows, fixed.count(), n_mc, seed, cell_rows)
+        spread = per_rep.groupBy("_g").agg(*[F.stddev_pop(m).alias(f"{m}_sigma") for m in CLASSIFICATION])
+        return named.join(spread, "_g").drop("_g") if keys else spread.drop("_g")
     rows = chosen.select(
         F.struct(*keys).alias("_k") if keys else F.lit(0).alias("_k"), F.col(row_id).cast("string").alias("_id"),
         F.col(true).cast("bigint").alias("_y"), F.col(pred).cast("double").alias("_p"), F.col(sigma).cast("double").alias("_s"),
