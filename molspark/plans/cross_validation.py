@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import islice
 from multiprocessing.pool import ThreadPool
+from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from molspark.functions.hashing import fragment_id, uniform
-from molspark.functions.tokens import bound, join_strings, ngrams, tokenize
+from molspark.functions.tokens import SENTINEL, TOKEN_PATTERN, bound, join_strings, ngrams, tokenize
 from molspark.operators import ensemble, metrics, splits, tuning
 from molspark.operators.augment import explode_variants, split_rejected
 from molspark.operators.scaling import fit_robust, fit_robust_columns, inverse_transform
 from molspark.staging import stage
 
 FITS_AT_ONCE = 4
+GRAMS_KEPT = 200_000  # digests that a task remembers
 # Cumulative probabilities of a unit Poisson count, for bootstrap weights.
 _POISSON_ONE = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
 
@@ -102,11 +110,41 @@ def hashed_grams(text: Column, n_features: int) -> Column:
     return F.transform(grams, lambda g: (fragment_id(g) % n_features).cast("int"))
 
 
+def _gram_counter(n_features: int) -> Callable[[str | None], np.ndarray]:
+    """The counts of :func:`hashed_grams` for one string, digests of known grams kept."""
+    matches, known = re.compile(TOKEN_PATTERN).findall, {}
+
+    def count(text: str | None) -> np.ndarray:
+        tokens = [SENTINEL, *matches(text or ""), SENTINEL]
+        grams = Counter(tokens)
+        grams.update(map(add, tokens, islice(tokens, 1, None)))
+        if len(known) > GRAMS_KEPT:
+            known.clear()
+        for gram in grams.keys() - known.keys():
+            known[gram] = int(hashlib.md5(gram.encode()).hexdigest()[:8], 16) % n_features
+        places = np.fromiter(map(known.__getitem__, grams), np.int64, len(grams))
+        return np.bincount(places, np.fromiter(grams.values(), np.float64, len(grams)), n_features)
+
+    return count
+
+
 def featurise(df: DataFrame, text: str, n_features: int) -> DataFrame:
-    """Hashed counts of tokens and token pairs in ``features``."""
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_features)], inputCol="_g", outputCol="features")
-    names = F.transform(hashed_grams(F.col(text), n_features), lambda i: i.cast("string"))
-    return counter.transform(df.withColumn("_g", names)).drop("_g")
+    """Hashed counts of tokens and token pairs in ``features``.
+
+    The strings alone go to Python, in bounded batches; a digest per different gram of a
+    string is looked up, where an expression makes one per occurrence.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22)
+
+    @F.arrow_udf("array<double>")
+    def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        count = _gram_counter(n_features)
+        for batch in texts:
+            rows = [count(t) for t in batch.to_pylist()]
+            flat = np.concatenate(rows) if rows else np.zeros(0)
+            yield pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * n_features, flat)
+
+    return df.withColumn("features", array_to_vector(counted(F.col(text))))
 
 
 def bootstrap_weight(seed: int, *keys: Column) -> Column:
