@@ -13,6 +13,10 @@ Counting goes from words to pairs, and from pairs of phrases to longer phrases:
 3. Frequent pairs are ranked in turn, and each place of a chunk gets the id of the pair
    that begins there. Neighbouring pairs share a word, so adjacent ids are phrases of
    three words, which are counted by step 2, and so on.
+4. Most places of two frequent phrases in a row hold a longer one that is rare. Where
+   there are many, the tasks first add up what falls into each of a fixed number of
+   hashed cells. A phrase is at most as frequent as its cell, so only the phrases of
+   cells with enough are counted, and each task adds up its own before they move.
 
 No phrase can be more frequent than a part of it, so nothing is lost on the way. The
 ids reach the chunks as a table sent to the tasks while it has at most ``SENT_ROWS``
@@ -24,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,8 @@ from molspark.staging import stage
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 SENT_ROWS = 400_000
-CHUNK_WORDS, COUNT_WORDS, PHRASE_WORDS, SLICE_BYTES = 1 << 17, 1 << 19, 1 << 21, 2 << 20
+CHUNK_WORDS, COUNT_WORDS, PHRASE_WORDS, TALLIED, SLICE_BYTES = 1 << 17, 1 << 19, 1 << 21, 1 << 20, 2 << 20
+CELL_PLACES, PLACES_PER_CELL, CELL_BITS, BLOCK_BITS = 1 << 20, 4, (10, 26), 16  # places from which cells are made, cells per language
 TILE, TILES, THIN = 1024, 8, 16  # ids a side, tiles a side, cells per pair from which a tile is thin
 _ROWS = 256
 _BREAK = 0xFF  # a byte that no UTF-8 text holds
@@ -225,14 +231,14 @@ def _rows(lang: str, keys: np.ndarray, **columns: np.ndarray) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([langs, *map(pa.array, some.values())], ["lang", *some])
 
 
-def _counted(held: Iterator[tuple[int, str, np.ndarray]], words: int | None = None) -> Iterator[pa.RecordBatch]:
-    """``lang, key, n``: the pairs of some chunks of a language at a time, of ``words`` codes together."""
+def _counted(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """``lang, key, n``: the pairs of some chunks of a language at a time."""
     parts: dict[str, list[np.ndarray]] = {}
     size = 0
     for _, lang, codes in held:
         parts.setdefault(lang, []).extend([codes, np.zeros(1, np.int32)])
         size += len(codes)
-        if size > (words or COUNT_WORDS):
+        if size > COUNT_WORDS:
             largest = max(parts, key=lambda x: sum(map(len, parts[x])))
             codes = np.concatenate(parts.pop(largest))
             keys, counts = pair_counts(codes)
@@ -243,9 +249,113 @@ def _counted(held: Iterator[tuple[int, str, np.ndarray]], words: int | None = No
         yield from _rows(lang, keys, n=counts)
 
 
-def _counted_phrases(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """The same for codes of phrases, of which a task has fewer: those of a whole task, as a rule, add up before they move."""
-    return _counted(held, PHRASE_WORDS)
+def _cell(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of each pair, of ``1 << bits``."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _tallied(held: Iterator[tuple[int, str, np.ndarray]], promising: dict[str, tuple[int, np.ndarray]] | None) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Pairs and their counts, those of a whole task together unless they are too many.
+
+    ``promising`` has for some languages the number of bits and the marked cells; the
+    pairs of other cells are passed over.
+    """
+    parts: dict[str, list[np.ndarray]] = {}
+    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    size = 0
+
+    def added(lang: str) -> None:
+        keys, counts = pair_counts(np.concatenate(parts.pop(lang)))
+        if promising and lang in promising:
+            bits, marked = promising[lang]
+            cell = _cell(keys, bits)
+            good = marked[cell >> 3] >> (cell & 7).astype(np.uint8) & 1 > 0
+            keys, counts = keys[good], counts[good]
+        if lang in sums:
+            keys, at = np.unique(np.concatenate([sums[lang][0], keys]), return_inverse=True)
+            both = np.zeros(len(keys), np.int64)
+            np.add.at(both, at, np.concatenate([sums[lang][1], counts]))
+            counts = both
+        sums[lang] = keys, counts
+
+    for _, lang, codes in held:
+        parts.setdefault(lang, []).extend([codes, np.zeros(1, np.int32)])
+        size += len(codes)
+        if size > PHRASE_WORDS:
+            for own in list(parts):
+                added(own)
+            size = 0
+            while sum(len(k) for k, _ in sums.values()) > TALLIED:
+                largest = max(sums, key=lambda x: len(sums[x][0]))
+                yield largest, *sums.pop(largest)
+    for own in list(parts):
+        added(own)
+    for lang, (keys, counts) in sums.items():
+        yield lang, keys, counts
+
+
+def _counted_phrases(held: Iterator[tuple[int, str, np.ndarray]], promising: dict[str, tuple[int, np.ndarray]] | None = None) -> Iterator[pa.RecordBatch]:
+    """``lang, key, n`` for codes of phrases."""
+    for lang, keys, counts in _tallied(held, promising):
+        yield from _rows(lang, keys, n=counts)
+
+
+def _cells(held: Iterator[tuple[int, str, np.ndarray]], bits: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """``lang, block, cells, counts``: what falls into the cells, those above 0 of a block in a row."""
+    for lang, keys, counts in _tallied(((c, lang, x) for c, lang, x in held if lang in bits), None):
+        cell = _cell(keys, bits[lang])
+        order = np.argsort(cell)
+        cell, first = np.unique(cell[order], return_index=True)
+        sums = np.add.reduceat(counts[order], first) if len(first) else counts
+        ends = np.r_[np.flatnonzero(np.diff(cell >> BLOCK_BITS)) + 1, len(cell)]
+        for begin, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+            if end > begin:
+                block = int(cell[begin]) >> BLOCK_BITS
+                inside = (cell[begin:end] & (1 << BLOCK_BITS) - 1).astype("<u2")
+                row = [[lang], [block], [inside.tobytes()], [sums[begin:end].astype("<i8").tobytes()]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, row)), ["lang", "block", "cells", "counts"])
+
+
+def _marked(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, block, bits`` from rows sorted by the first two: a bit is set if its cell holds ``least`` or more."""
+    at, sums = None, np.zeros(1 << BLOCK_BITS, np.int64)
+
+    def row() -> Iterator[pa.RecordBatch]:
+        if (sums >= least).any():
+            bits = np.packbits(sums >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]]), pa.array([bits], pa.binary())], ["lang", "block", "bits"])
+
+    for batch in slices(batches, 64):
+        for lang, block, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lang, block) != at:
+                yield from row()
+                at = lang, block
+                sums[:] = 0
+            sums[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<i8")  # a row has each cell once
+    yield from row()
+
+
+def _promising(ids: "_Ids", held: DataFrame, least: int) -> dict[str, tuple[int, np.ndarray]]:
+    """Per language with many places the cells that ``least`` or more of them fall into, as bits.
+
+    The number of cells follows that of the places up to 8 MB of bits a language;
+    beyond that fewer pairs are passed over, and none is lost.
+    """
+    places = {r.lang: r.places for r in held.groupBy("lang").agg(F.sum("places").alias("places")).where(F.col("places") > CELL_PLACES).collect()}
+    if not places:
+        return {}
+    low, high = CELL_BITS
+    bits = {lang: min(high, max(low, (n // PLACES_PER_CELL).bit_length())) for lang, n in places.items()}
+    found = ids.map(held, lambda chunks: _cells(chunks, bits), "lang string, block bigint, cells binary, counts binary")
+    dealt = found.repartition("lang", "block").sortWithinPartitions("lang", "block")
+    marks = dealt.mapInArrow(lambda batches: returned(_marked(least, batches)), "lang string, block bigint, bits binary")
+    out = {lang: (n, np.zeros(max(1 << n, 1 << BLOCK_BITS) // 8, np.uint8)) for lang, n in bits.items()}
+    wide = (1 << BLOCK_BITS) // 8
+    for row in marks.toLocalIterator():
+        out[row.lang][1][row.block * wide : (row.block + 1) * wide] = np.frombuffer(row.bits, np.uint8)
+    return out
 
 
 def _held(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +368,8 @@ def _held(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatc
 def _coded(held: Iterator[tuple[int, str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for chunk, lang, codes in held:
         if codes.any():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([lang]), pa.array([codes.astype("<i4").tobytes()], pa.binary())], ["chunk", "lang", "codes"])
+            places = int(((codes[:-1] > 0) & (codes[1:] > 0)).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([lang]), pa.array([codes.astype("<i4").tobytes()], pa.binary()), pa.array([places])], ["chunk", "lang", "codes", "places"])
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -278,7 +389,11 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     tables = [level.select("lang", F.lit(1).alias("size"), "id", "f", "phrase", F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))]
     ids, before = _Ids(level, own, words=True), None
     for size in range(2, max_words + 1):
-        pairs = ids.map(held, _counted if ids.words else _counted_phrases, "lang string, key bigint, n bigint", before)
+        if ids.words:
+            count = _counted
+        else:
+            count = partial(_counted_phrases, promising=_promising(ids, held, min_count))
+        pairs = ids.map(held, count, "lang string, key bigint, n bigint", before)
         added = pairs.groupBy("lang", "key").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         ranked = _ranked(added, ["key"]).select("lang", "id", "f", "key", F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("right"))
         first = level.select("lang", F.col("id").alias("left"), F.col("phrase").alias("_first"))
@@ -290,9 +405,9 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max
             break
         pair_ids = _Ids(level, ids.map(held, _held, "lang string, key bigint, chunk bigint", before), words=False)
         if ids.words:
-            held = stage(pair_ids.map(held, _coded, "chunk bigint, lang string, codes binary", ids), "codes")
+            held = stage(pair_ids.map(held, _coded, "chunk bigint, lang string, codes binary, places bigint", ids), "codes")
         else:
-            held = stage(pair_ids.map(held, _coded, "chunk bigint, lang string, codes binary"), "codes")
+            held = stage(pair_ids.map(held, _coded, "chunk bigint, lang string, codes binary, places bigint"), "codes")
         ids, before = _Same(), None
     out = tables[0]
     for table in tables[1:]:

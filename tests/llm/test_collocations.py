@@ -104,3 +104,29 @@ def test_scores_beyond_64_bits(spark):
 def test_empty_table_and_no_frequent_phrase(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
     assert collocations.collocations(table(spark, [(1, "a b c", "en", None, None), (2, None, None, None, None)])).collect() == []
+
+
+def test_cells_pass_over_rare_phrases_only(spark, monkeypatch):
+    """With cells from the first place on the rows stay the same, and few rare phrases are counted."""
+    data = texts(11)
+    expected = brute(data, 20)
+    monkeypatch.setattr(collocations, "CELL_PLACES", 0)
+    monkeypatch.setattr(collocations, "CELL_BITS", (17, 26))
+    monkeypatch.setattr(collocations, "PHRASE_WORDS", 500)
+    assert plain(collocations.collocations(table(spark, data), min_count=20), *COLUMNS) == expected
+    monkeypatch.setattr(collocations, "CELL_BITS", (1, 1))  # cells so few that none can be passed over
+    assert plain(collocations.collocations(table(spark, data), min_count=20), *COLUMNS) == expected
+
+
+def test_a_task_emits_frequent_phrases_alone():
+    rnd = np.random.default_rng(2)
+    codes = rnd.integers(1, 1000, 200_000).astype(np.int32)  # nearly every pair is rare
+    codes[::20], codes[1::20] = 7, 8
+    keys, counts = collocations.pair_counts(codes)
+    sums = np.bincount(collocations._cell(keys, 20), counts, 1 << 20)
+    marked = np.packbits(sums >= 100, bitorder="little")
+    rows = [dict(zip(b.column("key").to_pylist(), b.column("n").to_pylist())) for b in collocations._counted_phrases([(0, "en", codes)], {"en": (20, marked)})]
+    wanted = dict(zip(keys[counts >= 100].tolist(), counts[counts >= 100].tolist()))
+    found = {k: n for r in rows for k, n in r.items()}
+    assert wanted and {k: found[k] for k in wanted} == wanted
+    assert len(found) < len(wanted) + len(keys) / 100
